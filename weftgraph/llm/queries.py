@@ -18,7 +18,27 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weftgraph.llm.token_store import positions, read_ids, write_ids
+
+    folder = write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return positions(read_ids(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weftgraph.llm.sentencepieces import encode
+
+    done = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_sentencepieces": op5_sentencepieces,
     "op8_language_id": op8_language_id,
+    "op10_token_store": op10_token_store,
 }
 ORACLES: dict[str, str] = {}
