@@ -27,6 +27,13 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(read_ids(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.quality import judge
+
+    done = judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +44,7 @@ def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op5_sentencepieces": op5_sentencepieces,
     "op8_language_id": op8_language_id,
     "op10_token_store": op10_token_store,
