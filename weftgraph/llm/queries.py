@@ -12,6 +12,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.pii import pseudonymize
+
+    return pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.mixing import mix
+
+    done = mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return done.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), "n_tokens", "take_tokens")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm.language_id import identify
 
@@ -64,6 +77,8 @@ def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op5_sentencepieces": op5_sentencepieces,
+    "op6_pseudonyms": op6_pseudonyms,
+    "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_metric_search": op9_metric_search,
     "op10_token_store": op10_token_store,
