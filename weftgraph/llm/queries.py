@@ -65,6 +65,35 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.suffix_dedup import remove_repeats
+
+    done = remove_repeats(_table(spark, sf_dir, "documents"), width=400)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.block_dedup import remove_repeats
+
+    done = remove_repeats(_table(spark, sf_dir, "documents"), width=50)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+low AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN low USING (h) WHERE m < doc_id),
+per AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, len(ws) AS n, coalesce(len(ps), 0) AS r,
+                CASE WHEN ps IS NULL THEN array_to_string(ws, ' ')
+                     ELSE array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(ps, i)), lambda i: ws[i]), ' ') END AS t
+         FROM d LEFT JOIN per USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept
+"""
+
+
 def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +105,8 @@ def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_block_dedup": op4_block_dedup,
     "op5_sentencepieces": op5_sentencepieces,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_mixing": op7_mixing,
@@ -84,5 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": op10_token_store,
 }
 ORACLES: dict[str, str] = {
+    "op4_block_dedup": OP4_SQL,
     "op9_metric_search": OP9_SQL,
 }
