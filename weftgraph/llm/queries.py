@@ -72,6 +72,24 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.ngram_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), n=4, threshold="0.85")
+
+
+OP3_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 3], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+r AS (SELECT a AS doc_id, b AS c FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce((SELECT min(c) FROM r WHERE r.doc_id = d.doc_id), d.doc_id)) AS BIGINT) AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op4_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm.block_dedup import remove_repeats
 
@@ -106,6 +124,7 @@ def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op4_block_dedup": op4_block_dedup,
     "op5_sentencepieces": op5_sentencepieces,
     "op6_pseudonyms": op6_pseudonyms,
@@ -115,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": op10_token_store,
 }
 ORACLES: dict[str, str] = {
+    "op3_ngram_join": OP3_SQL,
     "op4_block_dedup": OP4_SQL,
     "op9_metric_search": OP9_SQL,
 }
