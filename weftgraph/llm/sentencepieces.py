@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from weftgraph.llm.kernel import list_array, texts
 
@@ -218,8 +220,8 @@ class PieceModel:
         return source[ends - size], source[ends]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids, begins, ends, decoded): ids with the end id last, byte spans of the original text, and the decoded text."""
+def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, then ids, begins, ends, decoded: ids with the end id last, byte spans of the original text, and the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceModel.shared(model)
@@ -233,7 +235,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id")
             decoded = pieces.library.decode([i.tolist() for i in ids])
             counts = np.array([len(i) for i in ids])
             flat = [np.concatenate(x) for x in (ids, [np.append(b, n) for (b, _), n in zip(spans, size, strict=True)], [np.append(e, n) for (_, e), n in zip(spans, size, strict=True)])]
-            yield pa.RecordBatch.from_arrays([part.rows.column(key), *(list_array(x.astype(np.int32), counts, pa.int32()) for x in flat), pa.array(decoded, pa.string())], ["key", "ids", "begins", "ends", "decoded"])
+            yield pa.RecordBatch.from_arrays([*(part.rows.column(c) for c in keep), *(list_array(x.astype(np.int32), counts, pa.int32()) for x in flat), pa.array(decoded, pa.string())], [*keep, "ids", "begins", "ends", "decoded"])
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string").withColumnRenamed("key", key)
+    ints = ArrayType(IntegerType())
+    added = [StructField("ids", ints), StructField("begins", ints), StructField("ends", ints), StructField("decoded", StringType())]
+    schema = StructType([*(docs.schema[c] for c in keep), *added])
+    return docs.select(*keep, F.col(text).alias(text)).mapInArrow(run, schema)
