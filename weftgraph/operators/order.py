@@ -86,7 +86,8 @@ def order_siblings(nodes: DataFrame, weights: DataFrame) -> DataFrame:
         order = sibling_order(name, weight)
         return pd.DataFrame({"parent": key[0], "node_id": order, "position": range(len(order))}).astype("int64")
 
-    done = kids.groupBy("parent").cogroup(both.select("parent", "src", "dst", "weight").groupBy("parent")).applyInPandas(kernel, "parent long, node_id long, position long")
+    deps = both.select(F.col("other").alias("of"), "src", "dst", "weight")
+    done = kids.groupBy("parent").cogroup(deps.groupBy("of")).applyInPandas(kernel, "parent long, node_id long, position long")
     return done.select(F.nullif("parent", F.lit(-1)).alias("parent_id"), "node_id", "position")
 
 
