@@ -10,10 +10,12 @@ Exact, without a cap, in four steps:
    Empty slices say nothing and aren't sent: a set with fewer than m - k of them is sure to
    agree with any similar set in another slice.  A set with more (rare) is sliced again by other
    hash functions, and after the last it sends its empty slices too.
-3. Candidate groups (components of "agree in a slice") are tiles of similar sizes, a bounded number of
-   elements each, and pairs of such tiles.  Within one, each set has a bitmap of the parities of its
-   hashed elements: the bits in which two differ bound from below the elements in which the sets
-   differ, and so the overlap from above.  What passes is settled by intersecting the sorted arrays.
+3. Each set has a bitmap of the parities of its hashed elements: the bits in which two differ bound from below the
+   elements in which the sets differ, and so the overlap from above.  All sets that agree in a slice meet in the
+   block of the least of them; within a block, bitmaps that allow the threshold are joined.
+   Components of these are groups, in which texts that merely share a passage don't meet.
+   A group's texts form tiles of similar sizes, a bounded number of elements each; within tiles, and between
+   those of similar sizes, what the bitmaps allow is settled by intersecting the sorted arrays.
    Pairs that earlier links already join aren't looked at again, unless all links are asked for.
 4. The links' components, spread to equal sets.
 
@@ -24,7 +26,7 @@ takes part with its text but can't name a class unless all ids of its class are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -33,9 +35,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.kernel import U64, PrefixHash, Texts, as_long, fold_ascii, mix, texts
-from weftgraph.llm.shared import connected_components, materialize
+from weftgraph.llm.shared import connected_components, materialize, release
 
 SALTS = 4
+MOST_BITS = 1 << 12
 BAND = 1.6  # sizes in a band: R / L
 
 
@@ -110,15 +113,36 @@ def slice_hashes(sets: np.ndarray, offsets: np.ndarray, t: Fraction) -> tuple[np
     return np.concatenate(who), np.concatenate(what)
 
 
+def parity_bitmap(elements: np.ndarray) -> bytes:
+    """Parities of the elements by their low bits: about as many bits as elements, a power of two from 64 to ``MOST_BITS``."""
+    width = 64
+    while width < min(len(elements), MOST_BITS):
+        width *= 2
+    return np.packbits((np.bincount((elements & U64(width - 1)).astype(np.int64), minlength=width) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def same_width(bitmaps: list[bytes], width: int | None = None) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, all folded (half upon half) to the width of the least."""
+    width = width or min(map(len, bitmaps))
+    out = np.empty((len(bitmaps), width // 8), U64)
+    for i, b in enumerate(bitmaps):
+        x = np.frombuffer(b, U64)
+        while len(x) > width // 8:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
+
+
 def measured(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, fp) of every row."""
+    """(doc_id, n_shingles, fp, bitmap) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in texts(batches):
             sets, offsets = ngram_sets(part, n)
-            yield pa.RecordBatch.from_arrays([part.rows.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(as_long(fingerprints(sets, offsets)))], ["doc_id", "n_shingles", "fp"])
+            bitmaps = [parity_bitmap(sets[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.rows.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(as_long(fingerprints(sets, offsets))), pa.array(bitmaps, pa.binary())], ["doc_id", "n_shingles", "fp", "bitmap"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long, bitmap binary")
 
 
 def agreeing(docs: DataFrame, n: int, t: Fraction, remember: int = 200_000) -> DataFrame:
@@ -145,50 +169,68 @@ def agreeing(docs: DataFrame, n: int, t: Fraction, remember: int = 200_000) -> D
     return least.where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
-class Linker:
-    """Links within a tile (or between two): sets in order of size, joined ones skipped unless all links are asked for."""
-
-    def __init__(self, t: Fraction, every: bool):
-        self.t, self.every = t, every
-
-    def links(self, ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(id, id, overlap, union) ; ``side``: 0 one tile, else pairs of 1 and 2 only."""
-        size = np.array([len(s) for s in sets])
-        order = np.argsort(size, kind="stable")
-        ids, size, side, sets = ids[order], size[order], side[order], [sets[i] for i in order.tolist()]
-        width = 64
-        while width < min(int(size.max(initial=1)), 1 << 14):
-            width *= 2
-        bitmap = np.zeros((len(sets), width // 8), np.uint8)
-        for i, s in enumerate(sets):
-            bitmap[i] = np.packbits((np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width) & 1).astype(bool))
-        bitmap = bitmap.view(U64)
-        top, bottom = self.t.numerator, self.t.denominator
-        root = np.arange(len(sets))
-        out: list[tuple[int, int, int, int]] = []
-        begin = np.searchsorted(size * bottom, size * top, "left")  # bottom * a >= top * b
-        for i in range(len(sets)):
-            low = int(begin[i])
-            if low >= i:
-                continue
+def joinable(size: np.ndarray, bitmap: np.ndarray, t: Fraction, settle: Callable[[int, int], bool] | None = None, side: np.ndarray | None = None, every: bool = False) -> list[tuple[int, int]]:
+    """Pairs of rows (in order of ``size``) whose bitmaps allow a similarity of ``t`` and that ``settle`` confirms.
+
+    Only a spanning forest of them, unless ``every``: rows that pairs already join aren't compared again.
+    ``side``: 0, or rows of 1 are paired with rows of 2 only.
+    """
+    top, bottom = t.numerator, t.denominator
+    begin = np.searchsorted(size * bottom, size * top, "left")  # bottom * a >= top * b
+    root, parts, out = np.arange(len(size)), len(size), []
+    for i in range(1, len(size)):
+        for low in (max(int(begin[i]), i - 8), int(begin[i])):  # neighbours in size first: copies mostly are
+            if low >= i or (not every and parts == len(size) - i):
+                continue  # all before are joined with this one
             total = size[low:i] + size[i]
             apart = np.bitwise_count(bitmap[low:i] ^ bitmap[i]).sum(1, dtype=np.int64)
             # overlap <= (total - apart) / 2; similar: (bottom + top) * overlap >= top * total
             able = (bottom + top) * (total - apart) >= 2 * top * total
-            if side[i]:
+            if side is not None and side[i]:
                 able &= side[low:i] != side[i]
-            if not self.every:
+            if every:
+                able &= low == begin[i]
+            else:
                 able &= root[low:i] != root[i]
-            todo = np.flatnonzero(able)[::-1] + low
-            for j in todo.tolist():
-                if not self.every and root[j] == root[i]:
+            for j in (np.flatnonzero(able)[::-1] + low).tolist():
+                if not every and root[j] == root[i]:
                     continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if bottom * both >= top * (size[i] + size[j] - both):
-                    out.append((int(ids[i]), int(ids[j]), both, int(size[i] + size[j] - both)))
-                    if not self.every:
+                if settle is None or settle(i, j):
+                    out.append((i, j))
+                    if not every:
                         root[root == root[j]] = root[i]
-        return out
+                        parts -= 1
+            if every and low == begin[i]:
+                break
+    return out
+
+
+def compatible(agreed: DataFrame, sizes: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b): fingerprints of a block (all that agree with its least one) whose bitmaps allow the threshold; a forest of each block's."""
+    one = sizes.groupBy("fp").agg(F.max("n_shingles").alias("n"), F.max("bitmap").alias("bitmap"))
+    rows = agreed.select("a", F.col("b").alias("block")).union(agreed.select(F.col("b").alias("a"), "b").distinct())
+    placed = rows.join(one, rows["a"] == one["fp"]).select("block", "fp", "n", "bitmap")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        last = None
+
+        def close() -> pa.RecordBatch:
+            ids = np.array([f for f, _, _ in held], np.int64)
+            found = joinable(np.array([k for _, k, _ in held]), same_width([b for _, _, b in held]), t)
+            return pa.RecordBatch.from_arrays([pa.array(ids[[p[x] for p in found]] if found else [], pa.int64()) for x in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for block, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "fp", "n", "bitmap")), strict=True):
+                if block != last:
+                    if len(held) > 1:
+                        yield close()
+                    held, last = [], block
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield close()
+
+    return placed.repartition("block").sortWithinPartitions("block", "n", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, sizes: DataFrame, n: int, t: Fraction, every: bool = False, tile: int = 1_000_000) -> DataFrame:
@@ -196,7 +238,11 @@ def links(docs: DataFrame, sizes: DataFrame, n: int, t: Fraction, every: bool =
 
     ``sizes``: what ``measured`` gives.  ``tile``: elements in a tile, but for single larger sets.
     """
-    groups = connected_components(materialize(agreeing(docs, n, t), "agreeing"))
+    agreed = materialize(agreeing(docs, n, t), "agreeing")
+    release(docs.sparkSession)  # the slices' shuffle is the largest
+    near_maps = materialize(compatible(agreed, sizes, t), "compatible")
+    release(docs.sparkSession)
+    groups = connected_components(near_maps)
     members = sizes.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("doc_id")).join(groups.withColumnRenamed("id", "fp"), "fp")
     upto = F.sum("n_shingles").over(Window.partitionBy("component").orderBy("n_shingles", "fp"))
     members = materialize(members.where("doc_id is not null").withColumn("tile", F.floor((upto - 1) / tile).cast("int")), "members")
@@ -209,14 +255,22 @@ def links(docs: DataFrame, sizes: DataFrame, n: int, t: Fraction, every: bool =
     placed = members.join(one.union(two), ["component", "tile"]).select("component", "i", "j", "side", "doc_id", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linker = Linker(t, every)
         held: dict[int, tuple[np.ndarray, int]] = {}
         last = None
 
         def close() -> pa.RecordBatch:
-            found = linker.links(np.array(list(held), np.int64), [s for s, _ in held.values()], np.array([x for _, x in held.values()]))
+            rows = sorted(held.items(), key=lambda r: (len(r[1][0]), r[0]))
+            sets = [x for _, (x, _) in rows]
+            overlap: dict[tuple[int, int], int] = {}
+
+            def similar(i: int, j: int) -> bool:
+                both = overlap[i, j] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                return t.denominator * both >= t.numerator * (len(sets[i]) + len(sets[j]) - both)
+
+            found = joinable(np.array([len(x) for x in sets]), same_width([parity_bitmap(x) for x in sets]), t, similar, np.array([y for _, (_, y) in rows]), every)
+            out = [(rows[i][0], rows[j][0], overlap[i, j], len(sets[i]) + len(sets[j]) - overlap[i, j]) for i, j in found]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 4)], ["a", "b", "overlap", "union"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["a", "b", "overlap", "union"])
 
         for part in texts(batches):
             sets, offsets = ngram_sets(part, n)
@@ -244,7 +298,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = materialize(measured(docs, n), "sizes")
     full = sizes.where("n_shingles > 0")
-    classes = connected_components(materialize(links(docs, full, n, t), "links"))
+    linked = materialize(links(docs, full, n, t), "links")
+    release(docs.sparkSession)
+    classes = materialize(connected_components(linked), "classes")
     least = full.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("least"))
     named = least.join(classes.withColumnRenamed("id", "least"), "least", "left").select("fp", "n_shingles", F.coalesce("component", "least").alias("component_id"))
     return full.join(named, ["fp", "n_shingles"]).select("doc_id", "n_shingles", "component_id").union(sizes.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
