@@ -67,8 +67,13 @@ def test_two_crates(spark, tmp_path):
     assert got[("crate-a::alpha", "crate-a::beta")] == ["run"]
     assert got[("crate-a::beta", "crate-a::alpha")] == ["Alpha"] and ("crate-a::beta", "serde") in got
     assert set(arcs(g, "crate_dep")) == {("crate-a", "crate_b"), ("crate-a", "serde")}
+    (tmp_path / "crate-a/tests/deep").mkdir(parents=True)
+    (tmp_path / "crate-a/tests/flow.rs").write_text("use crate_a::alpha::Alpha;")
+    (tmp_path / "crate-a/tests/deep/skip.rs").write_text("use crate_a::beta::B;")
     tests = Workspace(spark, doc, root, WorkspaceOptions(include_tests=True)).graph()
-    assert ("crate-a::test_utils", "crate-a::alpha") in arcs(tests)
+    got = arcs(tests)
+    assert ("crate-a::test_utils", "crate-a::alpha") in got and ("crate-a::tests::flow", "crate-a::alpha") in got
+    assert {r["ctx_sub_kind"] for r in tests.edges.where("ctx_kind = 'test' and edge_type = 'module_dep'").collect()} == {"unit", "integration"}
 
 
 def test_reexports(spark, tmp_path):

@@ -39,7 +39,7 @@ class Metadata:
         target = lambda ks: F.filter("targets", lambda t: F.arrays_overlap(t["kind"], F.array(*map(F.lit, ks))))
         path = lambda ts: F.transform(ts, lambda t: t["src_path"])
         own = self.packages.join(self.members, "id", "left_semi")
-        own = own.select("id", "name", normalize_crate_name(F.col("name")).alias("code_name"), F.get(path(target(LIBRARY_KINDS)), F.lit(0)).alias("lib_root"), path(target(("bin",))).alias("bin_roots"), F.map_keys("features").alias("features"))
+        own = own.select("id", "name", normalize_crate_name(F.col("name")).alias("code_name"), F.get(path(target(LIBRARY_KINDS)), F.lit(0)).alias("lib_root"), path(target(("bin",))).alias("bin_roots"), "manifest_path", F.map_keys("features").alias("features"))
         per = self.deps.where("in_workspace").groupBy(F.col("from_id").alias("id")).agg(
             F.sort_array(F.collect_set(F.when(F.col("kind") == "normal", F.col("to_name")))).alias("dependencies"), F.sort_array(F.collect_set(F.when(F.col("kind") == "dev", F.col("to_name")))).alias("dev_dependencies"))
         none = F.array().cast("array<string>")

@@ -62,6 +62,15 @@ def module_tree(crates: DataFrame, declared: DataFrame, files: DataFrame, includ
     return settle(out.select("crate", "module", "file", "test").distinct())
 
 
+def integration_tests(crates: DataFrame, files: DataFrame) -> DataFrame:
+    """(crate, module, file, test): each file right under a package's ``tests`` folder, as crate::tests::stem."""
+    root = F.coalesce("lib_root", F.get("bin_roots", F.lit(0)))
+    packages = crates.select(F.col("code_name").alias("crate"), F.coalesce(_folder(F.col("manifest_path")), F.regexp_replace(_folder(root), "/src(/.*)?$", "")).alias("package"))
+    found = files.select("file", F.regexp_replace(_folder(F.col("file")), "/tests$", "").alias("package")).where(F.col("file").rlike("/tests/[^/]+\\.rs$"))
+    stem = F.regexp_extract("file", "([^/]+)\\.rs$", 1)
+    return found.join(packages, "package").select("crate", F.concat_ws("::", "crate", F.lit("tests"), stem).alias("module"), "file", F.lit(True).alias("test"))
+
+
 def absolute(rows: DataFrame, modules: DataFrame, crates: DataFrame, externals: DataFrame) -> DataFrame:
     """``rows`` (crate, module, segments, inline) with abs: the segments from the crate's name on; and external: the id of an external crate.
 
@@ -129,11 +138,16 @@ class Workspace:
         files = source_files(spark, root)
         # crates are chosen before any file is scanned
         folders = self.crates.select(F.explode(F.filter(F.concat(F.array("lib_root"), "bin_roots"), lambda x: x.isNotNull())).alias("r")).select(_folder(F.col("r")).alias("folder")).distinct()
-        mine = files.join(folders, F.col("file").startswith(F.concat("folder", F.lit("/"))), "left_semi").withColumn("crate", F.lit(""))
-        self.files = settle(mine)
+        mine = files.join(folders, F.col("file").startswith(F.concat("folder", F.lit("/"))), "left_semi")
+        extra = integration_tests(self.crates, files)
+        if options.include_tests:
+            mine = mine.union(files.join(extra.select("file").distinct(), "file", "left_semi").select("file", "text")).dropDuplicates(["file"])
+        self.files = settle(mine.withColumn("crate", F.lit("")))
         self.facts = settle(facts(self.files))
         self.errors = self.facts.where("fact = 'error'")
         self.tree = module_tree(self.crates, self.facts.where("fact = 'mod'"), self.files, options.include_tests)
+        if options.include_tests:
+            self.tree = settle(self.tree.union(extra.select("crate", "module", "file", "test")))
         if options.externals:
             self.externals = settle(self.metadata.externals(options.transitive).withColumn("node_key", F.col("id")))
         else:
@@ -209,7 +223,8 @@ class Workspace:
         """Nodes and edges.  Ids: crates by name, then modules by path, then externals by name and version."""
         none = F.lit(None)
         crates = self.crates.select(F.lit(0).alias("t"), F.col("code_name").alias("key"), F.lit("crate").alias("kind"), "name", F.col("code_name").alias("crate"), none.cast("string").alias("parent"), none.cast("string").alias("version"), none.cast("string").alias("package_id"), none.cast("boolean").alias("is_direct"))
-        mods = self.tree.where("module <> crate").select("module", "crate").distinct()
+        groups = self.tree.where(F.col("module").startswith(F.concat("crate", F.lit("::tests::")))).select(F.concat("crate", F.lit("::tests")).alias("module"), "crate")  # the folder of integration tests
+        mods = self.tree.where("module <> crate").select("module", "crate").union(groups).distinct()
         modules = mods.select(F.lit(1).alias("t"), F.col("module").alias("key"), F.lit("module").alias("kind"), F.element_at(F.split("module", "::"), -1).alias("name"), "crate", F.regexp_replace("module", "::[^:]*$", "").alias("parent"), none.cast("string").alias("version"), none.cast("string").alias("package_id"), none.cast("boolean").alias("is_direct"))
         outside = self.externals.select(F.lit(2).alias("t"), F.col("node_key").alias("key"), F.lit("external").alias("kind"), "name", none.cast("string").alias("crate"), none.cast("string").alias("parent"), "version", F.col("id").alias("package_id"), "is_direct")
         # node ids are one sequence over the nodes of a workspace, a small table
@@ -217,7 +232,7 @@ class Workspace:
         ids = keyed.where("t < 2").select("key", "node_id")
         up = keyed.join(ids.toDF("parent", "parent_id"), "parent", "left").join(keyed.where("t = 0").select(F.col("key").alias("crate"), F.col("node_id").alias("owner")), "crate", "left")
         nodes = with_paths(up.select("node_id", "kind", "name", F.when(F.col("kind") == "module", F.col("owner")).alias("crate_id"), "parent_id", "version", "package_id", "is_direct"))
-        kind, sub = F.when(F.col("is_test"), TEST).otherwise(PRODUCTION), F.when(F.col("is_test"), "unit")
+        kind, sub = F.when(F.col("is_test"), TEST).otherwise(PRODUCTION), F.when(F.col("is_test") & F.col("file").rlike("/tests/[^/]+\\.rs$"), "integration").when(F.col("is_test"), "unit")
         to = F.coalesce(F.col("target_module"), F.col("external"))
         refs = self.refs.join(ids.toDF("module", "src"), "module").withColumn("to", to).join(keyed.select(F.col("key").alias("to"), F.col("node_id").alias("dst")), "to")
         refs = refs.select("src", "dst", F.col("file").alias("source_file"), "line", F.col("item").alias("symbol"), F.col("target_module").alias("module_path"), "via_reexport", kind.alias("ctx_kind"), sub.alias("ctx_sub_kind"), F.array().cast("array<string>").alias("features"), "ord")
