@@ -107,7 +107,7 @@ def as_edges(pairs: DataFrame, edge_type: str = MODULE_DEP, shift: int = 0) -> D
 
 def nation_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions and nations; every pair of nations that trade is a module dependency."""
-    return PropertyGraph(place_nodes(spark, sf_dir, levels=2), as_edges(nation_pairs(spark, sf_dir), shift=NATION))
+    return PropertyGraph(place_nodes(spark, sf_dir, levels=2), as_edges(nation_pairs(spark, sf_dir), shift=NATION)).cache()
 
 
 def brand_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -115,7 +115,7 @@ def brand_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     brands = table(spark, sf_dir, "part").select(brand_id().alias("node_id"), F.col("p_brand").alias("name")).distinct()
     root = spark.createDataFrame([(0, "crate", "shop", None, None)], "node_id long, kind string, name string, crate_id long, parent_id long")
     nodes = root.unionByName(brands.select("node_id", F.lit("module").alias("kind"), "name", F.lit(0).cast("long").alias("crate_id"), F.lit(0).cast("long").alias("parent_id")))
-    return PropertyGraph(with_paths(nodes), as_edges(brand_edges(spark, sf_dir)))
+    return PropertyGraph(with_paths(nodes), as_edges(brand_edges(spark, sf_dir))).cache()
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
