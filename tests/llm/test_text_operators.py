@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from weftgraph.llm import block_dedup, language_id, ngram_join, quality, suffix_dedup
+from weftgraph.llm import block_dedup, language_id, ngram_join, quality, suffix_dedup, suffix_sort
 from weftgraph.llm.shared import connected_components
 from weftgraph.llm.suffix_sort import suffix_order
 
@@ -47,8 +47,9 @@ def docs(spark):
     return spark.createDataFrame(corpus(), DOCS)
 
 
-@pytest.mark.parametrize("budget", [8, 10**6])
-def test_suffix_order(budget):
+@pytest.mark.parametrize(("budget", "large"), [(8, 10**6), (10**6, 10**6), (10**6, 4)])
+def test_suffix_order(monkeypatch, budget, large):
+    monkeypatch.setattr(suffix_sort, "LARGE", large)
     rng = random.Random(3)
     for _ in range(400):
         t = [rng.randint(0, rng.randint(1, 3)) for _ in range(rng.randint(1, 50))] * rng.choice([1, 1, 2])

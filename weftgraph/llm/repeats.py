@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.kernel import BYTE_VALUE, PrefixHash, Texts, as_long, owners, texts
-from weftgraph.llm.shared import materialize
+from weftgraph.llm.shared import discard, materialize, release
 
 
 @dataclass(frozen=True)
@@ -70,9 +70,13 @@ def runs(docs: DataFrame, unit: Unit) -> DataFrame:
 
 def shared_runs(found: DataFrame) -> DataFrame:
     """``runs`` whose anchor occurs twice or more: with mixed (the anchor has differing contents) and first_doc (its least doc_id)."""
+    found = materialize(found, "runs")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("doc_id").alias("first_doc"))
     shared = anchors.where("c > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), "first_doc")
-    return materialize(found.join(shared, "anchor"), "shared")
+    out = materialize(found.join(shared, "anchor"), "shared")
+    discard(found)
+    release(found.sparkSession)
+    return out
 
 
 def contents(shared: DataFrame) -> DataFrame:
@@ -152,6 +156,8 @@ def solve(sent: DataFrame, solver: Solver, schema: str, batch_bytes: int = 8 <<
 
 def joined_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` (doc_key, doc_id, text) with begins and ends: the windows' spans to remove (null: none)."""
+    spans = materialize(spans, "spans")
+    release(docs.sparkSession)  # what shipped the runs isn't needed for the rest
     per = spans.groupBy("doc_key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
     return docs.join(per, "doc_key", "left")
 

@@ -24,6 +24,7 @@ from weftgraph.llm.repeats import Unit, contents, covered, joined_spans, runs, s
 from weftgraph.llm.shared import materialize
 from weftgraph.llm.suffix_sort import suffix_order
 
+SHARD_BYTES = 1 << 20  # contents sorted at once, but for single larger groups
 SOLVED = "anchor long, content long, begin int, end int"
 
 
@@ -51,9 +52,15 @@ def solved_batch(table: pa.Table, sizes: np.ndarray, n: np.ndarray, mask: np.nda
 
 def suffix_solver(width: int, budget: int = 1 << 22):
     def solver(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        items = [np.frombuffer(x, np.uint8) for x in table.column("items").to_pylist()]
+        items = table.column("items").to_pylist()
         sizes = np.array([len(x) + 1 for x in items])
-        flat = np.concatenate([np.append(x.astype(np.int32), 256) for x in items])
+        flat = np.empty(sizes.sum(), np.int16)
+        end = 0
+        for x, size in zip(items, sizes.tolist(), strict=True):
+            flat[end : end + size - 1] = np.frombuffer(x, np.uint8)
+            end += size
+            flat[end - 1] = 256
+        del items
         order, lcp = suffix_order(flat, width, budget=budget)
         mask = np.zeros(len(flat), bool)
         hit = np.flatnonzero(lcp >= width)
@@ -63,7 +70,7 @@ def suffix_solver(width: int, budget: int = 1 << 22):
     return solver
 
 
-def repeated_spans(docs: DataFrame, width: int, gram: int = 40, most_contents: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int, gram: int = 40, most_contents: int = 50_000) -> DataFrame:
     """(doc_key, begin, end): byte spans of the repeated windows of ``docs`` (doc_key, doc_id, text)."""
     unit = Unit(words=False, width=width, gram=min(gram, width))
     shared = shared_runs(runs(docs, unit))
@@ -71,7 +78,7 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = 40, most_contents: i
     whole = shared.where("not mixed").select("doc_key", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + width).alias("end"))
     mixed = shared.where("mixed").join(classes.select("anchor", "content", "copies"), ["anchor", "content"])
     copied = mixed.where("copies > 1").select("doc_key", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + width).alias("end"))
-    solved = solve(shipped(docs, classes, unit, most_contents), suffix_solver(width), SOLVED)
+    solved = solve(shipped(docs, classes, unit, most_contents), suffix_solver(width), SOLVED, SHARD_BYTES)
     single = classes.where("copies = 1").join(solved, ["anchor", "content"])
     looked = single.select("doc_key", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end") - 1 + width).alias("end"))
     return whole.union(copied).union(looked)

@@ -13,6 +13,9 @@ turn.  Its alphabet is too large for queues by character, so that level is sorte
 prefix doubling instead.
 
 Common-prefix lengths are capped: what is asked is whether they reach a width.
+
+Arrays of a text's length lie in memory-mapped files for texts beyond ``LARGE``; the folder goes when the
+sort is done.
 """
 
 from __future__ import annotations
@@ -23,10 +26,58 @@ import tempfile
 
 import numpy as np
 
-from weftgraph.llm.kernel import BYTE_VALUE, PrefixHash
+from weftgraph.llm.kernel import BYTE_VALUE, mix
 
 CHUNK = 1 << 16
-ITEM = np.dtype([("at", "<i8"), ("lcp", "<i4")])
+LARGE = 1 << 20
+ITEM = np.dtype([("at", "<i4"), ("lcp", "<i4")])
+
+
+class Store:
+    """Makes arrays: in memory, or mapped to files of a folder that lasts as long as the store is open."""
+
+    def __init__(self, n: int):
+        self.folder = tempfile.TemporaryDirectory(prefix="suffixes-") if n > LARGE else None
+        self.made = 0
+
+    def array(self, n: int, kind: np.dtype | type) -> np.ndarray:
+        if self.folder is None or not n:
+            return np.empty(n, kind)
+        self.made += 1
+        return np.memmap(os.path.join(self.folder.name, str(self.made)), kind, "w+", shape=(n,))
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self.folder:
+            self.folder.cleanup()
+
+
+class SliceHash:
+    """Hashes of slices of a text: h(i + 1) = h(i) * P + value, so a slice's is h(end) - h(start) * P ** length."""
+
+    BASE, BITS = 0x9E3779B97F4A7C15, 14
+
+    def __init__(self, text: np.ndarray, values: np.ndarray, store: Store):
+        size = 1 << self.BITS
+        base = np.uint64(self.BASE)
+        self.low = np.cumprod(np.append(np.uint64(1), np.full(size, base)), dtype=np.uint64)
+        self.high = np.cumprod(np.append(np.uint64(1), np.full(len(text) // size + 1, self.low[size])), dtype=np.uint64)
+        inverse = np.cumprod(np.append(np.uint64(1), np.full(size, pow(self.BASE, -1, 2**64), np.uint64)), dtype=np.uint64)
+        self.sums = store.array(len(text) + 1, np.uint64)
+        self.sums[0] = last = np.uint64(0)
+        for at in range(0, len(text), size):
+            part = values[text[at : at + size]]
+            n = len(part)
+            run = np.cumsum(part * inverse[1 : n + 1], dtype=np.uint64)
+            self.sums[at + 1 : at + n + 1] = (run + last) * self.low[1 : n + 1]
+            last = self.sums[at + n]
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = end - start
+        power = self.low[length & ((1 << self.BITS) - 1)] * self.high[length >> self.BITS]
+        return mix(self.sums[end] - self.sums[start] * power)
 
 
 class CharacterQueue:
@@ -138,26 +189,25 @@ class Pusher:
 def _types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(is the suffix smaller than the next one's, length of the run of equal characters from here)."""
     n = len(text)
-    change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)  # last place of each run
-    run_end = change[np.searchsorted(change, np.arange(n))]
-    following = np.append(text, 0)[run_end + 1]
-    small = text < following
-    small[run_end == n - 1] = True
-    return small, (run_end - np.arange(n) + 1).astype(np.int32)
+    change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1).astype(np.int32)  # last place of each run
+    size = np.diff(change, prepend=np.int32(-1))
+    after = np.append(text, text.dtype.type(0))[change + 1]
+    small = np.repeat(text[change] < after, size)
+    small[n - int(size[-1]) :] = True
+    return small, np.repeat(change, size) - np.arange(n, dtype=np.int32) + np.int32(1)
 
 
-def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray, alphabet: int, cap: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray, alphabet: int, cap: int, budget: int, store: Store) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, and each one's common prefix with the one before, from the LMS suffixes' (grouped by character)."""
     n = len(text)
     heads = np.searchsorted(text[lms], np.arange(alphabet + 1))
     queue = CharacterQueue(alphabet, budget)
-    larges: list[np.ndarray] = []
+    larges, ends = store.array(n, ITEM), [0]
     try:
         pusher = Pusher(queue, alphabet, cap)
         pusher.least[:] = -1
         for c in range(alphabet):
-            done: list[np.ndarray] = []
-            last = None
+            filled, last = ends[-1], None
             while (batch := queue.pop(c)) is not None:
                 if last is None:
                     batch["lcp"][0] = 0
@@ -169,9 +219,10 @@ def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarra
                 keep &= ~small[before[source]]
                 source = source[keep]
                 pusher.scan(batch["lcp"], source, text[before[source]].astype(np.int64), before[source])
-                done.append(batch)
+                larges[filled : filled + len(batch)] = batch
+                filled += len(batch)
                 last = at[-1]
-            larges.append(np.concatenate(done) if done else np.empty(0, ITEM))
+            ends.append(filled)
             mine = slice(heads[c], heads[c + 1])
             if heads[c + 1] > heads[c]:
                 at, lcp = lms[mine], lms_lcp[mine].copy()
@@ -182,7 +233,7 @@ def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarra
     finally:
         queue.close()
     queue = CharacterQueue(alphabet, budget)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    order, lcps, free = store.array(n, np.int32), store.array(n, np.int32), n
     try:
         pusher = Pusher(queue, alphabet, cap)
         pusher.least[:] = -1
@@ -199,9 +250,7 @@ def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarra
                 pusher.scan(batch["lcp"], source[keep], text[before[keep]].astype(np.int64), before[keep])
                 smalls.append(batch)
                 last = at[-1]
-            if c == text[n - 1]:  # the end itself: the least suffix of its character among the small ones
-                pass
-            large = larges[c]
+            large = np.asarray(larges[ends[c] : ends[c + 1]])
             if len(large):
                 at = large["at"][::-1]
                 lcp = np.append(0, large["lcp"][:0:-1]).astype(np.int32)
@@ -218,11 +267,11 @@ def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarra
                 lcp[len(large)] = min(run[large["at"][-1]], run[up["at"][0]], cap) if len(large) else 0
             if len(at):
                 lcp[0] = 0
-                parts.append((at, lcp))
+                order[free - len(at) : free], lcps[free - len(at) : free] = at, lcp
+                free -= len(at)
     finally:
         queue.close()
-    parts.reverse()
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    return order[free:], lcps[free:]  # all but the end, which nothing induces
 
 
 def _sort_names(names: np.ndarray) -> np.ndarray:
@@ -242,7 +291,7 @@ def _sort_names(names: np.ndarray) -> np.ndarray:
         rank, width = new, width * 2
 
 
-def _common(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, n: int, cap: int) -> np.ndarray:
+def _common(hashes: SliceHash, a: np.ndarray, b: np.ndarray, n: int, cap: int) -> np.ndarray:
     """Common prefix of suffixes a and b, by bisection over hashes of their prefixes."""
     low, high = np.zeros(len(a), np.int64), np.minimum(cap, n - np.maximum(a, b))
     while (low < high).any():
@@ -258,30 +307,45 @@ def suffix_order(text: np.ndarray, cap: int, alphabet: int = 257, budget: int =
     ``text``: small whole numbers below ``alphabet``; its end counts as smaller than any
     character.  ``budget``: queue elements held in memory.
     """
-    text = np.append(text.astype(np.int32) + 1, 0)  # an end smaller than all
-    alphabet, n = alphabet + 1, len(text)
-    small, run = _types(text)
-    lms = np.flatnonzero(small & ~np.append(True, small[:-1]))
-    if not len(lms) or lms[-1] != n - 1:
-        lms = np.append(lms, n - 1)
-    hashes = PrefixHash(np.append(BYTE_VALUE, [np.uint64(0x1234567)] * max(0, alphabet - 256)).astype(np.uint64)[text])
+    plain = text
+    alphabet, n = alphabet + 1, len(plain) + 1
+    with Store(n) as store:
+        text = store.array(n, np.int16)
+        text[:-1] = plain
+        text[:-1] += 1
+        text[-1] = 0  # an end smaller than all
+        small, run = _types(text)
+        lms = np.flatnonzero(small & ~np.append(True, small[:-1])).astype(np.int32)
+        if not len(lms) or lms[-1] != n - 1:
+            lms = np.append(lms, np.int32(n - 1))
+        order, lcp = lms, np.zeros(len(lms), np.int32)
+        if len(lms) > 1:
+            values = np.append(BYTE_VALUE, np.full(max(0, alphabet - 256), 0x1234567, np.uint64))
+            hashes = SliceHash(text, values, store)
+            order = _sorted_lms(text, small, run, lms, hashes, alphabet, cap, budget)
+            for at in range(1, len(order), CHUNK):
+                lcp[at : at + CHUNK] = _common(hashes, order[at - 1 : at - 1 + CHUNK][: len(order) - at], order[at : at + CHUNK], n, cap)
+            del hashes
+        order, lcp = _induce(text, small, run, order, lcp, alphabet, cap, budget, store)
+        keep = order != n - 1
+        return order[keep], lcp[keep]
+
+
+def _sorted_lms(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarray, hashes: SliceHash, alphabet: int, cap: int, budget: int) -> np.ndarray:
+    """LMS suffixes in order."""
+    n = len(text)
     grouped = lms[np.argsort(text[lms], kind="stable")]
-    if len(lms) > 1:
-        order, _ = _induce(text, small, run, grouped, np.zeros(len(lms), np.int32), alphabet, cap, budget)
+    with Store(n) as store:
+        order, _ = _induce(text, small, run, grouped, np.zeros(len(lms), np.int32), alphabet, cap, budget, store)
         mark = np.zeros(n, bool)
         mark[lms] = True
-        order = np.append(n - 1, order[mark[order] & (order != n - 1)])
-        place = np.searchsorted(lms, order)
-        end = np.minimum(np.append(lms[1:], n - 1)[place] + 1, n)
-        h, size = hashes.of(order, end), end - order
-        name = np.cumsum(np.append(0, (h[1:] != h[:-1]) | (size[1:] != size[:-1])))
-        names = np.empty(len(lms), np.int64)
-        names[place] = name
-        if name[-1] + 1 < len(lms):
-            order = lms[_sort_names(names)]
-        lcp = np.append(0, _common(hashes, order[:-1], order[1:], n, cap)).astype(np.int32)
-    else:
-        order, lcp = lms, np.zeros(1, np.int32)
-    order, lcp = _induce(text, small, run, order, lcp, alphabet, cap, budget)
-    keep = order != n - 1
-    return order[keep], lcp[keep]
+        order = np.append(np.int32(n - 1), order[mark[order] & (order != n - 1)])
+    place = np.searchsorted(lms, order)
+    end = np.minimum(np.append(lms[1:], np.int32(n - 1))[place] + 1, n)
+    h, size = hashes.of(order, end), end - order
+    name = np.cumsum(np.append(0, (h[1:] != h[:-1]) | (size[1:] != size[:-1])))
+    if name[-1] + 1 == len(lms):
+        return order
+    names = np.empty(len(lms), np.int64)
+    names[place] = name
+    return lms[_sort_names(names)]
