@@ -55,7 +55,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm.token_store import positions, read_ids, write_ids
 
     folder = write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return positions(read_ids(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return positions(read_ids(spark, folder, with_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = size - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    wide = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control, wide[np.arange(4) < size[:, None]]
+    most = int(size.max(initial=1))  # columns of bytes beyond the longest code aren't looked at
+    wide = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :most]
+    return control, wide[np.arange(most) < size[:, None]] if most > 1 else wide.reshape(-1)
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -57,7 +58,7 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     at = np.cumsum(size) - size
     padded = np.append(data, np.zeros(4, np.uint8))
     out = padded[at].astype(np.uint32)
-    for k in range(1, 4):
+    for k in range(1, int(size.max(initial=1))):
         longer = np.flatnonzero(size > k)
         out[longer] |= padded[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -100,9 +101,9 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordTokenizer.shared(tokenizer)
-        kind = encode.kind(end_id)
+        end = np.array([end_id], encode.dtype).tobytes()
         for part in texts(batches, text):
-            ids = [np.append(x, end_id).astype(kind).tobytes() for x in encode(part.rows.column(text).cast(pa.large_binary()).to_pylist())]
+            ids = [x + end for x in encode(part.rows.column(text).cast(pa.large_binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.rows.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids binary")
@@ -124,7 +125,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
     parts = max(1, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * ids_per_file)))
     ranged = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     done = materialize(tokenize(ranged, tokenizer, end_id).withColumn("seq", F.monotonically_increasing_id()), "ids")
-    kind = WordTokenizer.shared(tokenizer).kind(end_id)
+    kind = WordTokenizer.shared(tokenizer).dtype
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -171,8 +172,12 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
     return folder
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, file, place, n_tokens, ids, ids_crc32) of every document in the files of ``folder``."""
+def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, file, place, before, n_tokens, ids_crc32, ids) of every document in the files of ``folder``.
+
+    place and before: the documents and ids before it in its file.  Without ``with_ids`` the ids are
+    decoded and summed up all the same, but not returned.
+    """
     ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").first()[0]
     sent = spark.sparkContext.broadcast(np.frombuffer(ranks, "<u4"))
 
@@ -186,7 +191,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                     to = min(at + 512, len(doc_ids))
                     a = ends[at - 1] if at else 0
                     crc = [zlib.crc32(flat[e - c : e].tobytes()) for e, c in zip(ends[at:to], counts[at:to], strict=True)]
-                    cols = [pa.array(doc_ids[at:to], pa.int64()), pa.array([path.rsplit("/", 1)[1]] * (to - at)), pa.array(range(at, to), pa.int64()), pa.array(ends[at:to] - counts[at:to], pa.int64()), pa.array(counts[at:to], pa.int64()), pa.array(crc, pa.int64()), list_array(flat[a : ends[to - 1]].astype(np.int64), counts[at:to], pa.int64())]
+                    cols = [pa.array(doc_ids[at:to], pa.int64()), pa.array([path.rsplit("/", 1)[1]] * (to - at)), pa.array(range(at, to), pa.int64()), pa.array(ends[at:to] - counts[at:to], pa.int64()), pa.array(counts[at:to], pa.int64()), pa.array(crc, pa.int64()), list_array(flat[a : ends[to - 1]].astype(np.int64), counts[at:to], pa.int64()) if with_ids else pa.nulls(to - at, pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "file", "place", "before", "n_tokens", "ids_crc32", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder)
@@ -194,7 +199,8 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def positions(read: DataFrame) -> DataFrame:
-    """``read_ids`` with ``start``: the ids of all documents before each, over all files in order."""
+    """``read_ids`` without the ids, with ``start``: the ids of all documents before each, over all files in order."""
+    read = materialize(read.drop("ids"), "read")
     totals = read.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row per file
     starts = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("file_start"))
     return read.join(F.broadcast(starts), "file").withColumn("start", F.col("file_start") + F.col("before")).drop("file_start")

@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+TAIL = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n])")
+
 
 class WordTokenizer:
     _made: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
@@ -28,7 +31,12 @@ class WordTokenizer:
         self.by_word = any(s.get("type") == "Split" and s.get("invert") and s.get("behavior") == "Removed" and "\\s" in s["pattern"].get("Regex", "") for s in steps) and not any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"])
         added = [t for t in spec.get("added_tokens", []) if t.get("special")]
         self.mark = added[0] if added else None
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        normal = (spec.get("normalizer") or {}).get("normalizers", [])
+        self.lower = self.by_word and any(n.get("type") == "Lowercase" for n in normal)
+        #: letters and digits never share a token with a full stop or comma after them
+        self.loose = self.by_word and any("[^\\s\\p{L}\\p{N}]+" in s["pattern"].get("Regex", "") for s in steps if "pattern" in s)
 
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
@@ -37,32 +45,41 @@ class WordTokenizer:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def kind(self, end_id: int) -> np.dtype:
-        return np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+    def _encode(self, words: list[bytes]) -> list[bytes]:
         """Ids of single words.  Many go through the library in one text, a special token between them."""
         plain = [w.decode("utf-8", "replace") for w in words]
+        pack = lambda ids: np.array(ids, np.uint32).astype(self.dtype).tobytes()
         if self.mark is None or any(self.mark["content"] in w for w in plain):
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-        out: list[np.ndarray] = []
+            return [pack(e.ids) for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+        out: list[bytes] = []
+        size = self.dtype.itemsize
         for at in range(0, len(plain), 2000):
             text = f" {self.mark['content']} ".join(plain[at : at + 2000])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            first, *rest = np.split(ids, np.flatnonzero(ids == self.mark["id"]))
-            out += [first, *(x[1:] for x in rest)]
+            marks = np.flatnonzero(ids == self.mark["id"])
+            data = ids.astype(self.dtype).tobytes()
+            starts, ends = [0, *((marks + 1) * size).tolist()], [*(marks * size).tolist(), len(data)]
+            out += [data[i:j] for i, j in zip(starts, ends, strict=True)]
         return out
 
-    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """Ids of each text (UTF-8; null: none), without special tokens."""
+    def _words(self, text: bytes | None) -> list[bytes]:
+        if not text:
+            return []
+        if self.lower and b"<|" not in text:
+            text = text.lower()  # ASCII letters only; the library does the rest
+        if self.loose:
+            text = TAIL.sub(rb" \1", text)
+        return text.split()  # bytes are split at ASCII white space only
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each text (UTF-8; null: none), without special tokens, as numbers of ``dtype`` end to end."""
         if not self.by_word:
             return self._encode([t or b"" for t in texts])
-        split = [t.split() if t else [] for t in texts]  # bytes are split at ASCII white space only
+        split = [self._words(t) for t in texts]
         words = set().union(*split)
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most_words:
             self.known, new = {}, list(words)
-        known = self.known
-        known.update(zip(new, self._encode(new), strict=True))
-        none = np.zeros(0, np.uint32)
-        return [np.concatenate([known[w] for w in ws]) if ws else none for ws in split]
+        self.known.update(zip(new, self._encode(new), strict=True))
+        get = self.known.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
