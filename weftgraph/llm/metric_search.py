@@ -45,7 +45,7 @@ class Node:
 
 
 class MTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = 128, fan: int = 8, seed: int = 9):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = 1024, fan: int = 8, seed: int = 9):
         self.ids, self.vectors = ids, vectors.astype(np.float64)
         norm = (self.vectors**2).sum(1)
         self.most = norm.max() if len(norm) else 0.0
