@@ -101,6 +101,20 @@ def test_slices_find_every_similar_pair():
         assert set(what[who == 0]) & set(what[who == 1])
 
 
+@pytest.mark.parametrize("t", ["0.85", "0.8", "0.7"])
+def test_what_a_set_sends_does_not_depend_on_its_slice(t):
+    """A set and one that has an element more agree in what they send, each the largest of its own slice; the larger set's company changes nothing."""
+    t = Fraction(t)
+    x = np.unique(np.random.default_rng(5).integers(0, 2**63, 400, dtype=np.uint64))
+    sent = lambda *sets: ngram_join.slice_hashes(np.concatenate(sets), np.append(0, np.cumsum([len(s) for s in sets])), t)
+    for size in range(2, 170):
+        a = set(sent(x[:size])[1])
+        if size >= t * (size + 1):
+            assert a & set(sent(x[: size + 1])[1])
+        who, what = sent(x[:size], x)
+        assert set(what[who == 0]) == a
+
+
 def test_tiles_of_bounded_size_lose_no_link(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(i, base.replace(f"w{i} ", f"v{i} ")) for i in range(30)]

@@ -64,14 +64,13 @@ def fingerprints(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def bands(t: Fraction, largest: int) -> list[tuple[int, int, int, int]]:
-    """(L, R, k, m) of the size bands up to ``largest``; sets below the first can only be similar when equal."""
+    """(L, R, k, m) of all size bands that a set of ``largest`` or fewer is in; sets below the first can only be similar when equal."""
     out: list[tuple[int, int, int, int]] = []
     apart = (1 - t) / (1 + t)
     right = 1
     while int(2 * (right + 1) * apart) == 0:
         right += 1
-    while right < largest:
-        left = int(t * right) + 1
+    while (left := int(t * right) + 1) <= largest:
         right = max(right + 1, int(left * BAND))
         k = int(2 * right * apart)
         out.append((left, right, k, k + 1 + -(-3 * k // 20)))
