@@ -185,6 +185,22 @@ def test_pseudonyms(spark):
     assert [got[i]["n_private"] for i in range(40, 52)] == [2, 3, 1, 1, 1, 1, 0, 0, 1, 0, 0, 1]
 
 
+def test_cards_beside_other_digits(spark):
+    card = "4111111111111111"
+    rows = ["card 4111111111111111 12/27", "card 4111 1111 1111 1111 123 cvv", "order 17 4111111111111111 ok"]
+    rows += ["1234 5678 9012 4111 1111 1111 1111 0000 0000", f"{card} {card}", f"{card} 123-45-6789 x", f"{card} 10.0.0.1", f"{card} 2024-02-29", "00000000000000000000001 " + card, f"{card} 12th", "1 " * 3000 + card]
+    got = {r["doc_id"]: r for r in pii.pseudonymize(table(spark, rows)).collect()}
+    out = [got[i]["text"] for i in range(len(rows))]
+    alone = pii.pseudonymize(table(spark, [f"a {card}"])).collect()[0]["text"][2:]
+    assert alone != card and luhn(alone)
+    spaced = " ".join(alone[i : i + 4] for i in range(0, 16, 4))
+    assert out[:3] == [f"card {alone} 12/27", f"card {spaced} 123 cvv", f"order 17 {alone} ok"]
+    assert all(card not in t.replace(" ", "") for t in out)
+    assert out[4] == f"{alone} {alone}" and got[4]["n_private"] == 2
+    assert all(out[i].startswith(alone) and out[i][17:] != rows[i][17:] and got[i]["n_private"] == 2 for i in (5, 6, 7))
+    assert out[8] == f"00000000000000000000001 {alone}" and out[9] == f"{alone} 12th"
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(15 * 7).select((F.col("id") / 7).cast("long").alias("a"), (F.col("id") % 7).alias("b"))
     a, b = pii.permute_pair(F.col("a"), 15, F.col("b"), 7, "k", "t")

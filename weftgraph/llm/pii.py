@@ -17,6 +17,10 @@ date      of the calendar, 1900 to 2099           year and day of the year (29 F
 card      13 to 19 digits, Luhn sum right         all digits but the last, which keeps the sum right
 ========  ======================================  ===================================================
 
+Cards are looked for in whole chains of digit groups (one space or hyphen between two): any groups in a row with 13 to
+19 digits and the right sum, those with most digits first, then from the left; what is beside them is searched for dates,
+ssns and phones.
+
 Text halves take turns: one is shifted, character by character within its class (digit, small or
 capital letter), by amounts drawn from SHA-2 of the key, the round and the other half.  Numbers do
 the same with two residues.  Anything else, invalid values included, stays as it is.
@@ -42,8 +46,12 @@ PATTERNS = {
     "date": EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})" + END,
     "ssn": EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END,
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + END,
-    "card": r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}" + END,
 }
+#: A whole chain of digit groups, however long; groups that begin an address or a dotted date aren't of it.
+OTHER = r"(?!(?:[0-9]{1,3}\.){3}[0-9]|[0-9]{2}[./][0-9]{2}[./][0-9]{4}|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-])"
+PATTERNS["card"] = r"(?<![0-9A-Za-z.])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++" + END + "(?:[ -]" + OTHER + "[0-9]++" + END + ")*+"
+#: What may stand beside the cards of a chain.
+BESIDE = "|".join(f"(?:{PATTERNS[k]})" for k in ("date", "ssn", "phone"))
 FINDER = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -51,6 +59,11 @@ def _is(value: Column, kind: str) -> Column:
     return value.rlike(f"^(?:{PATTERNS[kind]})$")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _keyed(key: str, kind: str, i: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), other), 512)
 
@@ -58,13 +71,14 @@ def _keyed(key: str, kind: str, i: Column, other: Column) -> Column:
 def _shift(text: Column, stream: Column) -> Column:
     """Every character moved within its class by a byte of the stream."""
 
-    def one(c: Column, j: Column) -> Column:
+    def one(c: Column, j: Column, stream: Column) -> Column:
         by = F.conv(F.substring(stream, (j % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
         at = F.ascii(c)
         moved = lambda first, n: F.char(F.pmod(at - first + by, F.lit(n)) + first)
         return F.when(at.between(48, 57), moved(48, 10)).when(at.between(97, 122), moved(97, 26)).when(at.between(65, 90), moved(65, 26)).otherwise(c)
 
-    return F.when(F.length(text) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+    moved = _let(stream, lambda known: F.array_join(F.transform(F.split(text, ""), lambda c, j: one(c, j, known)), ""))
+    return F.when(F.length(text) == 0, F.lit("")).otherwise(moved)
 
 
 def permute_text(text: Column, key: str, kind: str) -> Column:
@@ -105,12 +119,52 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.split(F.reverse(digits), ""), F.struct(F.lit(0).alias("t"), F.lit(True).alias("odd")), weigh, lambda acc: acc["t"])
 
 
+def _is_card(value: Column) -> Column:
+    digits = _digits(value)
+    return F.length(digits).between(13, 19) & ((_luhn_sum(F.substring(digits, F.lit(1), F.length(digits) - 1)) + F.substring(digits, -1, 1).cast("int")) % 10 == 0)
+
+
 def _card(value: Column, key: str) -> Column:
     digits = _digits(value)
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    valid = (_luhn_sum(body) + F.substring(digits, -1, 1).cast("int")) % 10 == 0
-    fresh = permute_text(body, key, "card")
-    return F.when(valid, _refill(value, F.concat(fresh, F.pmod(-_luhn_sum(fresh), F.lit(10)).cast("string")))).otherwise(value)
+    fresh = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    whole = _let(fresh, lambda x: F.concat(x, F.pmod(-_luhn_sum(x), F.lit(10)).cast("string")))
+    return _let(whole, lambda x: _refill(value, x))
+
+
+def _chain(value: Column, key: str) -> Column:
+    """(v, p) parts of a chain of digit groups, end to end."""
+    groups = F.split(value, "(?<=[ -])", -1)  # each with the separator that follows it
+    joined = lambda g, i, n: F.array_join(F.slice(g, i + 1, n), "")
+
+    def spans(g: Column) -> Column:
+        ends = lambda i: F.sequence(i, F.least(i + 18, F.size(g) - 1))
+        runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.transform(ends(i), lambda j: F.struct((-F.length(_digits(joined(g, i, j - i + 1)))).alias("few"), i.alias("i"), j.alias("j")))))
+        cards = F.array_sort(F.filter(runs, lambda r: r["few"].between(-19, -13) & _is_card(joined(g, r["i"], r["j"] - r["i"] + 1))))
+        free = lambda acc, r: ~F.exists(acc, lambda x: (x["i"] <= r["j"]) & (r["i"] <= x["j"]))
+        none = F.array().cast("array<struct<i:int,j:int>>")
+        return F.array_sort(F.aggregate(cards, none, lambda acc, r: F.when(free(acc, r), F.array_append(acc, F.struct(r["i"].alias("i"), r["j"].alias("j")))).otherwise(acc)))
+
+    def parts(g: Column, s: Column) -> Column:
+        def part(x: Column, k: Column) -> Column:
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.get(s, k - 1)["j"] + 1)
+            card = joined(g, x["i"], x["j"] - x["i"] + 1)
+            return F.array_append(_replaced(joined(g, begin, x["i"] - begin), BESIDE, ("date", "ssn", "phone"), key), F.struct(card.alias("v"), _card(card, key).alias("p")))
+
+        done = F.when(F.size(s) > 0, F.element_at(s, -1)["j"] + 1).otherwise(F.lit(0))
+        return F.concat(F.flatten(F.transform(s, part)), _replaced(joined(g, done, F.size(g) - done), BESIDE, ("date", "ssn", "phone"), key))
+
+    return _let(groups, lambda g: _let(spans(g), lambda s: parts(g, s)))
+
+
+def _replaced(text: Column, pattern: str, kinds: tuple[str, ...], key: str) -> Column:
+    """(v, p) parts of ``text``, end to end: what the pattern finds, and what is between."""
+    same = lambda g: F.struct(g.alias("v"), g.alias("p"))
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+
+    def part(g: Column, v: Column) -> Column:
+        return F.when(v.isNull(), F.array(same(g))).otherwise(F.array(same(g), F.struct(v.alias("v"), pseudonym(v, key, kinds).alias("p"))))
+
+    return F.flatten(F.zip_with(F.split(text, pattern, -1), found, part))
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -176,15 +230,14 @@ CHANGES: dict[str, Callable[[Column, str], Column]] = {
     "date": _date,
     "ssn": _ssn,
     "phone": _phone,
-    "card": _card,
 }
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    """What replaces a value that ``FINDER`` found."""
+def pseudonym(value: Column, key: str, kinds: tuple[str, ...] = tuple(CHANGES)) -> Column:
+    """What replaces a value that ``FINDER`` found, unless it is a chain of digit groups."""
     out = value
-    for kind, change in reversed(CHANGES.items()):
-        out = F.when(_is(value, kind), change(value, key)).otherwise(out)
+    for kind in reversed(kinds):
+        out = F.when(_is(value, kind), CHANGES[kind](value, key)).otherwise(out)
     return out
 
 
@@ -193,9 +246,14 @@ def pseudonymize(docs: DataFrame, key: str = "weftgraph", text: str = "text") ->
     found = F.regexp_extract_all(F.col(text), F.lit(FINDER), 0)
     mark = "__values"
     some = docs.withColumn(mark, F.when(F.col(text).rlike("[0-9@=:]"), found))
-    pairs = F.transform(F.col(mark), lambda v: F.struct(v.alias("v"), pseudonym(v, key).alias("p")))
-    some = some.withColumn(mark, F.when(F.size(mark) > 0, pairs))
+    single = "|".join(f"(?:{PATTERNS[k]})" for k in CHANGES)
+
+    def replace(v: Column) -> Column:
+        parts = F.when(v.rlike(f"^(?:{single})$"), F.array(F.struct(v.alias("v"), pseudonym(v, key).alias("p")))).otherwise(_chain(v, key))
+        return _let(parts, lambda x: F.struct(F.array_join(F.transform(x, lambda y: y["p"]), "").alias("p"), F.size(F.filter(x, lambda y: y["v"] != y["p"])).alias("n")))
+
+    some = some.withColumn(mark, F.when(F.size(mark) > 0, F.transform(F.col(mark), replace)))
     gaps = F.split(F.col(text), FINDER, -1)
     rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(mark), i)["p"], F.lit("")))), "")
-    changed = F.size(F.filter(F.col(mark), lambda x: x["v"] != x["p"]))
+    changed = F.aggregate(F.col(mark), F.lit(0), lambda n, x: n + x["n"])
     return some.withColumns({text: F.when(F.col(mark).isNotNull(), rebuilt).otherwise(F.col(text)), "n_private": F.when(F.col(mark).isNotNull(), changed).otherwise(0)}).drop(mark)
