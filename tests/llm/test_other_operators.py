@@ -185,6 +185,18 @@ def test_pseudonyms(spark):
     assert [got[i]["n_private"] for i in range(40, 52)] == [2, 3, 1, 1, 1, 1, 0, 0, 1, 0, 0, 1]
 
 
+def test_long_secrets_and_keys_of_letters(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    values = [("token=", word(800)), ("password: ", word(513)), ("", "ghp_" + word(129)), ("", "sk-" + word(20_000)), ("", "AKIA" + word(16).upper()), ("", "gho_" + word(36)), ("token=", word(20_000))]
+    got = {r["doc_id"]: r for r in pii.pseudonymize(table(spark, [f"my {a}{b} end" for a, b in values])).collect()}
+    for i, (a, b) in enumerate(values):
+        fresh = re.fullmatch(f"my {a}([A-Za-z_-]+) end", got[i]["text"])[1]
+        head = re.match("AKIA|ghp_|gho_|sk-|", b)[0]
+        assert got[i]["n_private"] == 1 and len(fresh) == len(b) and fresh.startswith(head)
+        assert all(fresh[k : k + 12] != b[k : k + 12] for k in range(len(head), len(b) - 11))
+
+
 def test_cards_beside_other_digits(spark):
     card = "4111111111111111"
     rows = ["card 4111111111111111 12/27", "card 4111 1111 1111 1111 123 cvv", "order 17 4111111111111111 ok"]
