@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.language_id import UNDETERMINED, identify
+from weftgraph.llm.language_id import UNDETERMINED, held_out, identify
 from weftgraph.llm.mixing import WEIGHTS, MixPlan, mix
 from weftgraph.llm.ngram_join import near_duplicates
 from weftgraph.llm.pii import pseudonymize
@@ -14,16 +14,31 @@ from weftgraph.llm.sentencepieces import encode
 from weftgraph.llm.shared import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Below this cosine with every language's prototype a text is in none of them.
+#: Below this cosine with every language's prototype a text is in none of them, however short.
 LEAST_SCORE = 0.02
+#: Else the least cosine is this share of a quantile of the scores that training rows of about the same length have with their own language.
+SHARE, QUANTILE = 0.5, 0.01
 #: One pass over the texts at most, and nine tenths of the tokens: no text is repeated.
 PLAN = MixPlan(WEIGHTS, share=0.9, max_epochs=1)
 
 
+def least_scores(done: DataFrame, band: Column) -> Column:
+    """The least score that a text may have, by its band of length: from the training rows of this band and those beside it, or of the next shorter."""
+    rows = done.where(~held_out() & (F.col("lang") == F.col("lang_pred"))).select("score", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    found = {r["band"]: SHARE * r["q"] for r in rows.groupBy("band").agg(F.percentile_approx("score", QUANTILE, 10_000).alias("q")).collect()}  # a row a power of two
+    out = F.lit(LEAST_SCORE)
+    for at, least in sorted(found.items()):
+        out = F.when(band >= at, max(least, LEAST_SCORE)).otherwise(out)
+    return out
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what is in a known language, and sets lang to it."""
-    done = identify(docs.select(*COLUMNS)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return done.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    done = identify(docs.select(*COLUMNS)).withColumn("band", F.floor(F.log2(F.greatest(letters, F.lit(1)))).cast("int"))
+    done = materialize(done, "scored")
+    kept = done.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_scores(done, F.col("band"))))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -314,3 +314,22 @@ def test_pipeline(spark):
     assert counts[0] == 201  # the odd rows go
     assert counts[1] < 200 and counts[2] == counts[1] and counts[3] <= counts[2] and counts[4] == counts[3]
     assert docs.select("doc_id").distinct().count() == counts[4]
+
+
+def test_pipeline_keeps_clean_short_texts_and_drops_foreign_and_junk(spark):
+    import base64
+
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    junk = [base64.b64encode(rng.randbytes(400)).decode() for _ in range(20)]
+    junk += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(80)) for _ in range(20)]
+    junk += ["Türkiye Cumhuriyeti, topraklarının büyük bölümü Anadolu'da, küçük bir bölümü ise Balkanlar'ın uzantısı olan Trakya'da bulunan bir ülkedir. Kuzeybatıda Bulgaristan, batıda Yunanistan ile komşudur."]
+    junk += ["中华人民共和国位于亚洲东部，太平洋西岸，是世界上人口最多的国家之一，首都为北京。" * 3]
+    clean = ["the house", "This is the story of a man who went to the sea with his brother."]
+    more = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(junk + clean)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.union(more), "").select("doc_id").collect()}
+    assert {i - 10**9 for i in kept if i >= 10**9} == {len(junk), len(junk) + 1}
+    before = {r["doc_id"] for r in docs.where("text rlike '[a-zA-Z]'").select("doc_id").collect()}
+    assert len(before - kept) <= len(before) // 1000
