@@ -127,6 +127,26 @@ def test_token_files(spark):
         start += len(ids)
 
 
+@pytest.mark.parametrize("bits", [3, 8, 16])
+def test_word_table_gives_what_the_encoder_gives(bits):
+    from weftgraph.llm.word_table import WordTable
+
+    def encode(words):
+        ids = [np.frombuffer(w, np.uint8).astype(np.int32) for w in words]
+        count = np.array([len(x) for x in ids])
+        return np.concatenate(ids), np.cumsum(count) - count, count
+
+    rng, table = random.Random(bits), WordTable(encode, bits=bits, most_ids=3000)
+    for _ in range(30):
+        words = [bytes(rng.choice(b"ab\x00") for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 16, 17, 23, 24, 25, 300]))) for _ in range(rng.randint(0, 200))]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words]).astype(np.int64)
+        starts = ends - np.array([len(w) for w in words], np.int64)
+        first, count = table.look_up(data, starts, ends)
+        assert count.tolist() == [len(w) for w in words]
+        assert table.ids(first, count).tolist() == list(b"".join(words))
+
+
 def test_variable_length_codes():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 4, 5, 1000):
@@ -142,7 +162,9 @@ def test_variable_length_codes():
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     folder = token_store.write_ids(none, P.path("word_bpe_49k.json"))
-    assert folder
+    read = token_store.read_ids(spark, folder)
+    assert read.count() == 0
+    assert token_store.positions(read).count() == 0
     assert sentencepieces.encode(none, P.path("piece_bpe_32k.model")).count() == 0
     assert pii.pseudonymize(none).count() == 0
     assert mixing.mix(none).count() == 0

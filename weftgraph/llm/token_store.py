@@ -13,7 +13,7 @@ zero bytes; the lengths stand apart, two bits an id, in the control bytes.  Layo
 
 A reader turns four lengths at once from a control byte into numbers by table lookup, sums
 them up to the places of the ids, and gathers the data bytes in numpy; no loop runs over ids.
-The rank table (rank -> id) is a file of its own beside the data files: ``ranks.bin`` (u32).
+The rank table (rank -> id) is a file of its own beside the data files: ``ranks.bin`` (u32: how many, then the ids).
 
 Files lie in a shared folder.  Each is written under a name of its own attempt and then
 renamed, so that a repeated task leaves the same files.
@@ -36,6 +36,7 @@ from weftgraph.llm.shared import materialize, scratch_path
 from weftgraph.llm.word_tokens import WordTokenizer
 
 MAGIC = b"WFTIDS01"
+FIELDS = ["doc_id", "ids", "n", "used", "times"]
 #: Lengths (1 to 4 bytes) of the four ids that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -87,6 +88,14 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(d) if k else None for d, k in zip(numbers, known, strict=True)], counts.astype(np.int64), decode_ranks(control, data, n)
 
 
+def _bytes_of(column: pa.Array) -> pa.Buffer:
+    """The values of a binary column without nulls, end to end."""
+    column = column.cast(pa.large_binary())
+    offsets, values = column.buffers()[1:]
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    return values.slice(int(at[0]), int(at[-1] - at[0])) if values is not None else pa.py_buffer(b"")
+
+
 def _put(folder: str, name: str, content: bytes) -> None:
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
@@ -97,16 +106,30 @@ def _put(folder: str, name: str, content: bytes) -> None:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row, in the order of the rows; ids: little-endian numbers of 2 or 4 bytes, the end id last."""
+    """(doc_id, ids, n, used, times) of every row, in the order of the rows; ids: n little-endian numbers of 2 or 4 bytes, the end id last.
+
+    Each task adds one row without ids, that tells how many times it used which ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordTokenizer.shared(tokenizer)
-        end = np.array([end_id], encode.dtype).tobytes()
+        size = encode.dtype.itemsize
+        total = np.zeros(0, np.int64)
         for part in texts(batches, text):
-            ids = [x + end for x in encode(part.rows.column(text).cast(pa.large_binary()).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.rows.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            flat, count = encode(part)
+            ends = np.cumsum(count + 1)
+            ids = np.insert(flat, ends - np.arange(1, part.n + 1), end_id).astype(encode.dtype)
+            seen = np.bincount(ids)
+            total = np.pad(total, (0, max(0, len(seen) - len(total))))
+            total[: len(seen)] += seen
+            packed = pa.Array.from_buffers(pa.large_binary(), part.n, [None, pa.py_buffer(np.append(0, ends * size)), pa.py_buffer(ids)])
+            none = pa.nulls(part.n, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.rows.column("doc_id"), packed.cast(pa.binary()), pa.array(count + 1), none, none], FIELDS)
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), *(list_array(x, [len(used)], pa.int64()) for x in (used, total[used]))], FIELDS)
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids binary, n long, used array<long>, times array<long>")
 
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, ids_per_file: int = 4_000_000) -> str:
@@ -127,48 +150,46 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
     done = materialize(tokenize(ranged, tokenizer, end_id).withColumn("seq", F.monotonically_increasing_id()), "ids")
     kind = WordTokenizer.shared(tokenizer).dtype
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind)
-            seen = np.bincount(flat)
-            total = np.pad(total, (0, max(0, len(seen) - len(total))))
-            total[: len(seen)] += seen
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
-
-    counts = done.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = done.where("used is not null").select(F.explode(F.arrays_zip("used", "times")).alias("x")).groupBy(F.col("x.used").alias("id")).agg(F.sum("x.times").alias("n"))
     ranked = [r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()]  # at most the vocabulary
-    _put(folder, "ranks.bin", np.array(ranked, "<u4").tobytes())
+    _put(folder, "ranks.bin", np.array([len(ranked), *ranked], "<u4").tobytes())
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
     sent = spark.sparkContext.broadcast(rank_of)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A file for each run of consecutive rows, named by the place of its first row."""
-        held: list[tuple[int | None, bytes]] = []
-        first, size = 0, 0
+        held: list[pa.RecordBatch] = []
+        first, rows, size = 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(x for _, x in held), kind)
+            flat = np.concatenate([np.frombuffer(x, kind) for part in held for x in [_bytes_of(part.column("ids"))]])
             name = f"ids-{first:020d}.bin"
-            counts = np.array([len(x) for _, x in held]) // kind.itemsize
-            _put(folder, name, pack([d for d, _ in held], counts, sent.value[flat]))
+            counts = np.concatenate([np.asarray(part.column("n")) for part in held])
+            _put(folder, name, pack([d for part in held for d in part.column("doc_id").to_pylist()], counts, sent.value[flat]))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(flat)], pa.int64())], ["file", "n"])
 
         for batch in batches:
-            for q, d, x in zip(*(batch.column(c).to_pylist() for c in ("seq", "doc_id", "ids")), strict=True):
-                if held and (q != first + len(held) or size + len(x) > ids_per_file * kind.itemsize):
+            seq, n = np.asarray(batch.column("seq")), np.asarray(batch.column("n"))
+            at = 0
+            while at < len(seq):
+                if held and (seq[at] != first + rows or size + n[at] > ids_per_file):
                     yield flush()
-                    held = []
+                    held, rows, size = [], 0, 0
                 if not held:
-                    first, size = q, 0
-                held.append((d, x))
-                size += len(x)
+                    first = int(seq[at])
+                follows = np.flatnonzero(np.diff(seq[at:]) != 1)
+                end = at + int(follows[0]) + 1 if len(follows) else len(seq)
+                room = int(np.searchsorted(size + np.cumsum(n[at:end]), ids_per_file, "right"))
+                end = at + max(room, 0 if held else 1)
+                if end == at:  # the next row doesn't fit
+                    continue
+                held.append(batch.slice(at, end - at))
+                rows, size, at = rows + end - at, size + int(n[at:end].sum()), end
         if held:
             yield flush()
 
-    done.select("seq", "doc_id", "ids").mapInArrow(write, "file string, n long").agg(F.sum("n")).collect()
+    done.where("n is not null").select("seq", "doc_id", "ids", "n").mapInArrow(write, "file string, n long").agg(F.sum("n")).collect()
     return folder
 
 
@@ -178,8 +199,8 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFra
     place and before: the documents and ids before it in its file.  Without ``with_ids`` the ids are
     decoded and summed up all the same, but not returned.
     """
-    ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").first()[0]
-    sent = spark.sparkContext.broadcast(np.frombuffer(ranks, "<u4"))
+    ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").first()[0]  # the vocabulary at most
+    sent = spark.sparkContext.broadcast(np.frombuffer(ranks or b"", "<u4")[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
