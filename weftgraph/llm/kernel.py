@@ -88,7 +88,7 @@ class Texts:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().decode("utf-8", "replace")
 
 
-def texts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[Texts]:
+def texts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[Texts]:
     """Slices of the batches with at most ``most`` bytes of text each (or one row)."""
     for batch in batches:
         lengths = batch.column(column).cast(pa.large_binary())
@@ -103,6 +103,7 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2
         if begin < len(size):
             part = batch.slice(begin)
             yield Texts(part, part.column(column))
+    pa.default_memory_pool().release_unused()  # the worker waits for other tasks
 
 
 _FOLD = np.arange(256, dtype=np.uint8)

@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random +-1 vector (seeded by a slot of its code point).  A letter
+Each letter has a random +-1 vector (seeded by its code point).  A letter
 n-gram is the element-wise product (binding) of its letters' vectors, each permuted
 (rotated) by its place; a text is the sum (bundling) of its n-grams' vectors.  A
 language's prototype bundles all its training texts; the prediction is the prototype
@@ -8,7 +8,8 @@ with the largest cosine.
 
 Bundling is linear, so training only counts n-grams by language (one bounded-memory
 pass, summed in Spark) and bundles the counts.  What the driver holds and
-sends to the tasks is one vector of ``dim`` floats per language.
+sends to the tasks is one vector of ``dim`` floats per language.  Vectors of n-grams are made
+from their letters a chunk at a time and never kept, so that memory doesn't grow with the scripts there are.
 
 Defined results: a null, empty or letterless text gives language ``und`` and score 0;
 without any usable training row every text is ``und``; ties go to the alphabetically
@@ -26,85 +27,118 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from weftgraph.llm.kernel import list_array, texts
+from weftgraph.llm.kernel import U64, list_array, mix, texts
 
 UNDETERMINED = "und"
-SLOTS = 251  # letters are told apart by code point modulo this prime
-BASE = SLOTS + 1  # slot 0: anything that isn't a letter
+POINT = 21  # bits of a code point; 0 stands for anything that isn't a letter
+WORDS = 64  # signs in a number
 
 
 class NgramSpace:
-    """Vectors of letter trigrams, made when first met."""
+    """Vectors of letter trigrams: signs as bits (0: +1), made from the letters' code points, ``CHUNK`` at once and never kept."""
+
+    CHUNK = 1024
 
     def __init__(self, dim: int, seed: int):
-        rng = np.random.default_rng(seed)
-        letters = (rng.integers(0, 2, (BASE, dim), dtype=np.int8) * 2 - 1).astype(np.float32)
-        self.places = [np.roll(letters, shift, axis=1) for shift in (2, 1, 0)]
-        self.row = np.full(BASE**3, -1, np.int32)
-        self.vectors = np.zeros((0, dim), np.float32)
-
-    def rows(self, codes: np.ndarray) -> np.ndarray:
-        """Row numbers in ``vectors`` of these trigram codes."""
-        found = self.row[codes]
-        if (found < 0).any():
-            new = np.unique(codes[found < 0])
-            a, b, c = self.places
-            made = a[new // BASE**2] * b[new // BASE % BASE] * c[new % BASE]
-            self.row[new] = np.arange(len(self.vectors), len(self.vectors) + len(new))
-            self.vectors = np.concatenate([self.vectors, made])
-            found = self.row[codes]
-        return found
-
-    def take(self, codes: np.ndarray) -> np.ndarray:
-        rows = self.rows(codes)
-        return self.vectors[rows]
-
-
-_LETTER_SLOT: list[np.ndarray] = []
-
-
-def _letter_slot() -> np.ndarray:
-    if not _LETTER_SLOT:
-        table = np.zeros(0x110000, np.uint8)
+        if dim % WORDS:
+            raise ValueError(f"dim must be a multiple of {WORDS}")
+        self.dim, self.seed = dim, U64(seed * 0x9E3779B97F4A7C15 % 2**64)
+
+    def _letters(self, points: np.ndarray) -> np.ndarray:
+        """Random bits of letters: a row of numbers each."""
+        at = points.astype(U64)[:, None] * U64(1 << 16) + np.arange(self.dim // WORDS, dtype=U64)
+        return mix(mix(at ^ self.seed) + U64(0xA0761D6478BD642F))
+
+    def chunk(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors of +-1 of some trigram codes: letters permuted (rotated) by their place, then bound (signs multiplied)."""
+        mask = (1 << POINT) - 1
+        a, b, c = (self._letters(x) for x in (codes >> 2 * POINT, codes >> POINT & mask, codes & mask))
+        bits = np.roll(a, 2, axis=1) ^ np.roll(b, 1, axis=1) ^ c
+        return 1 - 2 * np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32)
+
+    def bundles(self, counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For every row of ``counts``: the sum of the vectors of ``codes``, each as often as it says; exact for sums below 2**24 in a chunk."""
+        out = np.zeros((len(counts), self.dim), np.float64)
+        for at in range(0, len(codes), self.CHUNK):
+            out += counts[:, at : at + self.CHUNK].astype(np.float32) @ self.chunk(codes[at : at + self.CHUNK])
+        return out
+
+
+_LOWER: list[np.ndarray] = []
+
+
+def _letters() -> np.ndarray:
+    """Code point -> the letter in lower case, or 0."""
+    if not _LOWER:
+        table = np.zeros(0x110000, np.int32)
         points = np.array([c for c in range(0x110000) if chr(c).isalpha()])
-        lower = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in points])
-        table[points] = 1 + lower % SLOTS
-        _LETTER_SLOT.append(table)
-    return _LETTER_SLOT[0]
+        table[points] = [ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in points]
+        _LOWER.append(table)
+    return _LOWER[0]
 
 
-def trigrams(values: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, trigram code) of all texts, words padded by one non-letter; letters of each text."""
+def trigrams(values: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, place in the list of codes) of all texts' trigrams, words padded by one non-letter; the codes; letters of each text."""
     values = [f"\n{v}\n" if v else "\n\n" for v in values]
     lengths = np.array([len(v) for v in values])
-    slots = _letter_slot()[np.frombuffer("".join(values).encode("utf-32-le", "replace"), np.uint32)]
-    doc = np.repeat(np.arange(len(values)), lengths)
-    letters = np.bincount(doc[slots > 0], minlength=len(values))
-    keep = (slots > 0) | np.append(True, slots[:-1] > 0)  # runs of non-letters count as one
-    slots, doc = slots[keep].astype(np.int64), doc[keep]
-    codes = slots[:-2] * BASE**2 + slots[1:-1] * BASE + slots[2:]
-    ok = (doc[:-2] == doc[2:]) & (slots[1:-1] > 0)
-    return doc[:-2][ok], codes[ok], letters
-
-
-def learn(train: DataFrame, text: str = "text", lang: str = "lang", dim: int = 2048, seed: int = 8) -> tuple[list[str], np.ndarray]:
-    """Prototypes of the languages, from all given rows: names in order, unit vectors."""
+    point = _letters()[np.frombuffer("".join(values).encode("utf-32-le", "replace"), np.uint32)]
+    doc = np.repeat(np.arange(len(values), dtype=np.int32), lengths)
+    letters = np.bincount(doc[point > 0], minlength=len(values))
+    keep = (point > 0) | np.append(True, point[:-1] > 0)  # runs of non-letters count as one
+    point, doc = point[keep], doc[keep]
+    seen = np.zeros(0x110000, bool)
+    seen[point] = seen[0] = True
+    alphabet = np.flatnonzero(seen)  # 0 is the first
+    number = np.zeros(0x110000, np.int32)
+    number[alphabet] = np.arange(len(alphabet))
+    point, base = number[point].astype(np.int64), len(alphabet)
+    ok = (doc[:-2] == doc[2:]) & (point[1:-1] > 0)
+    codes = ((point[:-2] * base + point[1:-1]) * base + point[2:])[ok]
+    if base**3 <= 1 << 22:
+        seen = np.zeros(base**3, bool)
+        seen[codes] = True
+        distinct = np.flatnonzero(seen)
+        number = np.zeros(base**3, np.int32)
+        number[distinct] = np.arange(len(distinct))
+        place = number[codes]
+    else:
+        distinct, place = np.unique(codes, return_inverse=True)
+    a, b, c = alphabet[distinct // base**2], alphabet[distinct // base % base], alphabet[distinct % base]
+    return doc[:-2][ok], place, a << 2 * POINT | b << POINT | c, letters
+
+
+def counted(row: np.ndarray, place: np.ndarray, n: int, m: int) -> np.ndarray:
+    """How often each place is in each of n rows."""
+    return np.bincount(row * np.int64(m) + place, minlength=n * m).reshape(n, m)
+
+
+def learn(train: DataFrame, text: str = "text", lang: str = "lang", dim: int = 2048, seed: int = 8, most_counts: int = 200_000) -> tuple[list[str], np.ndarray]:
+    """Prototypes of the languages, from all given rows: names in order, unit vectors.  A task bundles what it has counted whenever it holds ``most_counts``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[int, int]] = {}
-        for part in texts(batches, text):
-            langs = np.array(part.rows.column(lang).to_pylist(), dtype=object).astype(str)
-            doc, codes, _ = trigrams(part.rows.column(text).to_pylist())
-            names, of = np.unique(langs, return_inverse=True)
-            pairs, n = np.unique(of[doc] * BASE**3 + codes, return_counts=True)
-            for pair, v in zip(pairs.tolist(), n.tolist(), strict=True):
-                mine = total.setdefault(names[pair // BASE**3], {})
-                mine[pair % BASE**3] = mine.get(pair % BASE**3, 0) + v
         space = NgramSpace(dim, seed)
-        for name, n in total.items():
-            codes, weights = np.array(list(n)), np.array(list(n.values()))
-            bundle = weights.astype(np.float64) @ space.take(codes).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), list_array(bundle.astype(np.int64), [dim], pa.int64())], ["lang", "bundle"])
+
+        def bundled() -> Iterator[pa.RecordBatch]:
+            for name, n in total.items():
+                codes, weights = np.array(list(n), np.int64), np.array(list(n.values()), np.int64)
+                bundle = np.zeros(dim)
+                for bits in range(0, int(weights.max(initial=0)).bit_length(), 13):  # so that a chunk's sums stay exact
+                    bundle += space.bundles((weights >> bits & 0x1FFF)[None], codes)[0] * float(1 << bits)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), list_array(bundle.astype(np.int64), [dim], pa.int64())], ["lang", "bundle"])
+            total.clear()
+
+        for part in texts(batches, text):
+            names, of = np.unique(np.array(part.rows.column(lang).to_pylist(), dtype=object).astype(str), return_inverse=True)
+            doc, place, codes, _ = trigrams(part.rows.column(text).to_pylist())
+            for i, name in enumerate(names.tolist()):
+                n = np.bincount(place[of[doc] == i], minlength=len(codes))
+                some, mine = np.flatnonzero(n), total.setdefault(name, {})
+                for code, v in zip(codes[some].tolist(), n[some].tolist(), strict=True):
+                    mine[code] = mine.get(code, 0) + v
+            if sum(map(len, total.values())) > most_counts:
+                yield from bundled()
+        yield from bundled()
 
     parts = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang).mapInArrow(count, "lang string, bundle array<long>")
     sums = parts.select("lang", F.posexplode("bundle").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
@@ -127,18 +161,15 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, proto = NgramSpace(dim, seed), sent.value
         for part in texts(batches, text, 1 << 20):
-            doc, codes, letters = trigrams(part.rows.column(text).to_pylist())
+            doc, place, codes, letters = trigrams(part.rows.column(text).to_pylist())
             best, value = np.full(part.n, -1), np.zeros(part.n)
-            if len(codes) and len(names):
-                rows, col = np.unique(codes, return_inverse=True)
-                vectors = space.take(rows)
-                for at in range(0, part.n, 256):
-                    mine = (doc >= at) & (doc < at + 256)
-                    n = min(256, part.n - at)
-                    counts = np.bincount((doc[mine] - at) * len(rows) + col[mine], minlength=n * len(rows)).reshape(n, len(rows)).astype(np.float32)
-                    bundle = counts @ vectors
-                    cosine = bundle @ proto.T / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-6)
-                    best[at : at + n], value[at : at + n] = cosine.argmax(1), cosine.max(1)
+            step = max(1, min(256, (1 << 21) // max(1, len(codes))))  # texts at once
+            for at in range(0, part.n if len(codes) and len(names) else 0, step):
+                n = min(step, part.n - at)
+                a, b = np.searchsorted(doc, (at, at + n))
+                bundle = space.bundles(counted(doc[a:b] - at, place[a:b], n, len(codes)), codes)
+                cosine = bundle @ proto.T / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-6)
+                best[at : at + n], value[at : at + n] = cosine.argmax(1), cosine.max(1)
             best[(letters == 0) | part.null] = -1
             value = np.where(best < 0, 0.0, np.clip(value, 0.0, 1.0))
             chosen = np.array([*names, UNDETERMINED], dtype=object)[best]

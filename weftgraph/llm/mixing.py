@@ -11,11 +11,14 @@ holds its budget: whole epochs, then documents up to a cut.  The cut is one row
 leaf, found from token sums of hash ranges and a look into the range where the budget ends;
 so no leaf, however large, is ever sorted or gathered as a whole, and selecting is a filter.
 
+The text of the document where the cut falls is cut itself, after the last of its tokens that the budget wants.
+
 A token is a word ``[^\\x20\\x09-\\x0D]+``.  The driver holds one row per leaf; more than ``max_leaves`` raise an error.
 
 Defined results: null domain, language or source count as ``unknown``; null and empty texts have no tokens, and
 are taken with the epoch they stand in; a leaf without tokens gives nothing; weights that aren't
-named are ``default_weight``; repeated rows are taken together when the cut falls on them; extra columns are passed on.
+named are ``default_weight``; repeated rows are taken together when the cut falls on them, each cut alike; extra columns
+are passed on, but for those of the names that ``mix`` adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -49,17 +52,6 @@ class MixPlan:
         return self.default_weight
 
 
-#: Domains of the synthetic sources, by number.
-def numbered_domain(source: Column) -> Column:
-    n = F.regexp_extract(source, "([0-9]{1,9})$", 1)
-    number = F.when(n != "", n.cast("int"))
-    return F.when(number < 5, "web").when(number < 10, "news").when(number < 15, "books").when(number.isNotNull(), "forum").otherwise("unknown")
-
-
-#: Production parameters of the query and the pipeline.
-WEIGHTS = {("web",): 4, ("news",): 2, ("books",): 3, ("forum",): 1, ("*", "en"): 4, ("*", "de"): 2, ("*", "fr"): 2, ("*", "es"): 2}
-
-
 def split_budget(amount: int, children: list[tuple[str, int, int]]) -> dict[str, int]:
     """``amount`` among (name, weight, capacity), by weight, nobody above capacity, what is left over to the others."""
     got = {name: 0 for name, _, _ in children}
@@ -142,20 +134,30 @@ def cuts(base: DataFrame, plan: MixPlan) -> DataFrame:
     return whole.join(cut, list(LEVELS), "left")
 
 
-def mix(docs: DataFrame, plan: MixPlan | None = None, domain: Column | None = None) -> DataFrame:
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), 0), F.lit(1), n.cast("int")), "")
+
+
+def mix(docs: DataFrame, plan: MixPlan, domain: Column) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, ...) once for each epoch that takes them: with mix_domain, mix_epoch, n_tokens, take_tokens.
 
-    take_tokens is n_tokens but for the last document of a leaf, of which the budget may want a first part only.
+    ``domain``: a source's domain, by the columns of ``docs``.  take_tokens is n_tokens but for the last document of a leaf, of which
+    the budget may want a first part only; its text is cut to that.
     """
-    plan = plan or MixPlan(WEIGHTS)
     docs = docs.drop(*LEVELS, "mix_tie", "mix_epoch", "n_tokens", "take_tokens")
-    keyed = _keyed(docs, numbered_domain(F.col("source")) if domain is None else domain).withColumn("n_tokens", n_tokens(F.col("text")))
+    keyed = _keyed(docs, domain).withColumn("n_tokens", n_tokens(F.col("text")))
     base = materialize(keyed.select("doc_id", "mix_tie", *LEVELS, "n_tokens"), "mix")
-    cut = F.broadcast(materialize(cuts(base, plan), "cuts"))  # one row per leaf, max_leaves at most
-    here = F.struct(_order(plan, F.col("whole")).alias("place"), "doc_id", "mix_tie")
-    part = F.col("cut").isNotNull() & (here <= F.col("cut"))
-    epochs = F.sequence(F.lit(0).cast("long"), F.col("whole") - F.when(part, 0).otherwise(1))
-    out = keyed.join(cut, list(LEVELS)).where((F.col("whole") > 0) | part).withColumn("mix_epoch", F.explode(epochs))
-    last = (F.col("mix_epoch") == F.col("whole")) & (here == F.col("cut"))
-    out = out.withColumn("take_tokens", F.when(last, F.least("cut_tokens", "n_tokens")).otherwise(F.col("n_tokens")))
+    inner = "mix_cut"
+    while inner in docs.columns:
+        inner += "_"
+    leaf = F.col(inner)
+    cut = materialize(cuts(base, plan), "cuts").select(*LEVELS, F.struct("whole", "cut", "cut_tokens").alias(inner))
+    here = F.struct(_order(plan, leaf["whole"]).alias("place"), "doc_id", "mix_tie")
+    part = leaf["cut"].isNotNull() & (here <= leaf["cut"])
+    epochs = F.sequence(F.lit(0).cast("long"), leaf["whole"] - F.when(part, 0).otherwise(1))
+    out = keyed.join(F.broadcast(cut), list(LEVELS)).where((leaf["whole"] > 0) | part).withColumn("mix_epoch", F.explode(epochs))  # one row per leaf, max_leaves at most
+    last = (F.col("mix_epoch") == leaf["whole"]) & (here == leaf["cut"])
+    out = out.withColumn("take_tokens", F.when(last, F.least(leaf["cut_tokens"], "n_tokens")).otherwise(F.col("n_tokens")))
+    out = out.withColumn("text", F.when(F.col("take_tokens") < F.col("n_tokens"), first_words(F.col("text"), F.col("take_tokens"))).otherwise(F.col("text")))
     return out.select(*docs.columns, LEVELS[0], "mix_epoch", "n_tokens", "take_tokens")

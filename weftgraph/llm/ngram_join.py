@@ -12,7 +12,8 @@ Exact, without a cap, in four steps:
    hash functions, and after the last it sends its empty slices too.
 3. Each set has a bitmap of the parities of its hashed elements: the bits in which two differ bound from below the
    elements in which the sets differ, and so the overlap from above.  All sets that agree in a slice meet in the
-   block of the least of them; within a block, bitmaps that allow the threshold are joined.
+   block of the least of them; within a block, bitmaps that allow the threshold are joined.  A large block is dealt to
+   parts of a bounded size, and every two parts meet in a task of their own.
    Components of these are groups, in which texts that merely share a passage don't meet.
    A group's texts form tiles of similar sizes, a bounded number of elements each; within tiles, and between
    those of similar sizes, what the bitmaps allow is settled by intersecting the sorted arrays.
@@ -132,16 +133,22 @@ def same_width(bitmaps: list[bytes], width: int | None = None) -> np.ndarray:
     return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_key, doc_id, text): repeated rows have one key."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def measured(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, fp, bitmap) of every row."""
+    """(doc_key, doc_id, n_shingles, fp, bitmap) of every row."""
+    names = ["doc_key", "doc_id", "n_shingles", "fp", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in texts(batches):
             sets, offsets = ngram_sets(part, n)
             bitmaps = [parity_bitmap(sets[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.rows.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(as_long(fingerprints(sets, offsets))), pa.array(bitmaps, pa.binary())], ["doc_id", "n_shingles", "fp", "bitmap"])
+            yield pa.RecordBatch.from_arrays([part.rows.column("doc_key"), part.rows.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(as_long(fingerprints(sets, offsets))), pa.array(bitmaps, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long, bitmap binary")
+    return keyed(docs).mapInArrow(run, "doc_key long, doc_id long, n_shingles long, fp long, bitmap binary")
 
 
 def agreeing(docs: DataFrame, n: int, t: Fraction, remember: int = 200_000) -> DataFrame:
@@ -204,54 +211,77 @@ def joinable(size: np.ndarray, bitmap: np.ndarray, t: Fraction, settle: Callable
     return out
 
 
-def compatible(agreed: DataFrame, sizes: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b): fingerprints of a block (all that agree with its least one) whose bitmaps allow the threshold; a forest of each block's."""
+def crowded(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` (fp, ``key``, ...) with i, j and side: the part of its group, or the two parts, that a row is compared in.
+
+    A group of more than ``most`` rows is dealt to parts of about ``most``, by hash, and every two parts meet once:
+    side 0 is compared with all of its part, 1 with 2 only.
+    """
+    parts = rows.groupBy(key).agg(F.count("*").alias("count")).where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    dealt = rows.join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(F.lit(17), "fp"), "parts").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return met.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": side}).drop("parts", "own", "other")
+
+
+def compatible(agreed: DataFrame, sizes: DataFrame, t: Fraction, most: int = 8192) -> DataFrame:
+    """(a, b): fingerprints of a block (all that agree with its least one) whose bitmaps allow the threshold; a forest of each part's of a block."""
     one = sizes.groupBy("fp").agg(F.max("n_shingles").alias("n"), F.max("bitmap").alias("bitmap"))
-    rows = agreed.select("a", F.col("b").alias("block")).union(agreed.select(F.col("b").alias("a"), "b").distinct())
-    placed = rows.join(one, rows["a"] == one["fp"]).select("block", "fp", "n", "bitmap")
+    rows = agreed.select(F.col("a").alias("fp"), F.col("b").alias("block")).union(agreed.select("b", F.col("b").alias("block")).distinct())
+    placed = crowded(rows, "block", most).join(one, "fp").select("block", "i", "j", "side", "fp", "n", "bitmap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[pa.RecordBatch] = []
         last = None
 
-        def close() -> pa.RecordBatch:
-            ids = np.array([f for f, _, _ in held], np.int64)
-            found = joinable(np.array([k for _, k, _ in held]), same_width([b for _, _, b in held]), t)
-            return pa.RecordBatch.from_arrays([pa.array(ids[[p[x] for p in found]] if found else [], pa.int64()) for x in (0, 1)], ["a", "b"])
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            if len(rows) > 1:
+                ids, size, side = (np.asarray(rows.column(c).combine_chunks()).astype(np.int64) for c in ("fp", "n", "side"))
+                found = np.array(joinable(size, same_width(rows.column("bitmap").to_pylist()), t, side=side), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, x]]) for x in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for block, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "fp", "n", "bitmap")), strict=True):
-                if block != last:
-                    if len(held) > 1:
-                        yield close()
-                    held, last = [], block
-                held.append(tuple(row))
-        if len(held) > 1:
-            yield close()
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("block", "i", "j")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                if begin == end:
+                    continue
+                if (key := tuple(keys[begin].tolist())) != last and held:
+                    yield from close()
+                last = key
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from close()
 
-    return placed.repartition("block").sortWithinPartitions("block", "n", "fp").mapInArrow(run, "a long, b long").distinct()
+    return placed.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "n", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, sizes: DataFrame, n: int, t: Fraction, every: bool = False, tile: int = 1_000_000) -> DataFrame:
-    """(a, b, overlap, union): links between the least ids of different sets; a spanning forest of them unless ``every``.
+def set_links(docs: DataFrame, sizes: DataFrame, n: int, t: Fraction, every: bool = False, tile: int = 1_000_000, most: int = 8192) -> DataFrame:
+    """(a, b, overlap, union): links between different sets, by their fingerprints; a spanning forest of them unless ``every``.
 
-    ``sizes``: what ``measured`` gives.  ``tile``: elements in a tile, but for single larger sets.
+    ``sizes``: what ``measured`` gives, without empty sets.  ``tile``: about the elements in a tile, but for single larger sets.
     """
     agreed = materialize(agreeing(docs, n, t), "agreeing")
     release(docs.sparkSession)  # the slices' shuffle is the largest
-    near_maps = materialize(compatible(agreed, sizes, t), "compatible")
+    near_maps = materialize(compatible(agreed, sizes, t, most), "compatible")
     release(docs.sparkSession)
     groups = connected_components(near_maps)
-    members = sizes.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("doc_id")).join(groups.withColumnRenamed("id", "fp"), "fp")
-    upto = F.sum("n_shingles").over(Window.partitionBy("component").orderBy("n_shingles", "fp"))
-    members = materialize(members.where("doc_id is not null").withColumn("tile", F.floor((upto - 1) / tile).cast("int")), "members")
-    ranges = members.groupBy("component", "tile").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    members = sizes.groupBy("fp", "n_shingles").agg(F.min("doc_key").alias("doc_key")).join(groups.withColumnRenamed("id", "fp"), "fp")
+    members = materialize(members, "members")
+    # tiles in order of size: from sums over equal sizes, of which large ones are dealt to several tiles by hash
+    sums = members.groupBy("component", "n_shingles").agg(F.sum("n_shingles").alias("total"))
+    before = F.sum("total").over(Window.partitionBy("component").orderBy("n_shingles")) - F.col("total")
+    first = sums.select("component", "n_shingles", F.floor(before / tile).cast("int").alias("first"), F.ceil(F.col("total") / tile).cast("int").alias("over"))
+    tiled = members.join(first, ["component", "n_shingles"]).withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("fp"), "over")).cast("int")).drop("first", "over")
+    ranges = tiled.groupBy("component", "tile").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     left, right = ranges.alias("l"), ranges.alias("r")
-    near = (F.col("l.component") == F.col("r.component")) & (F.col("l.tile") <= F.col("r.tile")) & (t.denominator * F.col("l.high") >= t.numerator * F.col("r.low"))
+    near = (F.col("l.component") == F.col("r.component")) & (F.col("l.tile") <= F.col("r.tile")) & (t.denominator * F.col("l.high") >= t.numerator * F.col("r.low")) & (t.denominator * F.col("r.high") >= t.numerator * F.col("l.low"))
     pairs = left.join(right, near).select(F.col("l.component").alias("component"), F.col("l.tile").alias("i"), F.col("r.tile").alias("j"))
     one = pairs.where("i = j").select("component", "i", "j", F.col("i").alias("tile"), F.lit(0).alias("side"))
     two = pairs.where("i < j").select("component", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("tile"), F.lit(1).alias("side")), F.struct(F.col("j").alias("tile"), F.lit(2).alias("side")))).alias("x")).select("component", "i", "j", "x.*")
-    placed = members.join(one.union(two), ["component", "tile"]).select("component", "i", "j", "side", "doc_id", "fp")
+    placed = tiled.join(one.union(two), ["component", "tile"]).select("component", "i", "j", "side", "doc_key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, int]] = {}
@@ -274,32 +304,44 @@ def links(docs: DataFrame, sizes: DataFrame, n: int, t: Fraction, every: bool =
         for part in texts(batches):
             sets, offsets = ngram_sets(part, n)
             fp = as_long(fingerprints(sets, offsets)).tolist()
-            columns = [part.rows.column(c).to_pylist() for c in ("component", "i", "j", "side", "doc_id", "fp")]
-            for k, (c, i, j, side, doc, wanted) in enumerate(zip(*columns, strict=True)):
+            columns = [part.rows.column(c).to_pylist() for c in ("component", "i", "j", "side", "fp")]
+            for k, (c, i, j, side, wanted) in enumerate(zip(*columns, strict=True)):
                 if (c, i, j) != last:
                     if len(held) > 1:
                         yield close()
                     held.clear()
                     last = (c, i, j)
-                if fp[k] == wanted:  # ids may be repeated with other texts
-                    held[doc] = sets[offsets[k] : offsets[k + 1]].copy(), side
+                if fp[k] == wanted:
+                    held[wanted] = sets[offsets[k] : offsets[k + 1]].copy(), side
         if len(held) > 1:
             yield close()
 
-    rows = docs.select("doc_id", "text").join(placed, "doc_id")
-    tiles = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
+    rows = keyed(docs).select("doc_key", "text").join(placed, "doc_key")
+    tiles = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_key")
     return tiles.mapInArrow(run, "a long, b long, overlap long, union long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text): the least id reachable by links."""
+def links(docs: DataFrame, sizes: DataFrame, n: int, t: Fraction, every: bool = False, tile: int = 1_000_000) -> DataFrame:
+    """(a, b, overlap, union): links between the least ids of different sets (null: a set without ids)."""
+    found = set_links(docs, sizes, n, t, every, tile)
+    least = sizes.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    named = found.join(least.select(F.col("fp").alias("a"), F.col("id").alias("a_id")), "a").join(least.select(F.col("fp").alias("b"), F.col("id").alias("b_id")), "b")
+    return named.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "overlap", "union")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", most: int = 8192) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text): the least id reachable by links.
+
+    ``most``: sets of a block that are compared in one part; parts of larger blocks meet two by two.
+    """
     t = Fraction(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = materialize(measured(docs, n), "sizes")
     full = sizes.where("n_shingles > 0")
-    linked = materialize(links(docs, full, n, t), "links")
+    linked = materialize(set_links(docs, full, n, t, most=most), "links")
     release(docs.sparkSession)
-    classes = materialize(connected_components(linked), "classes")
-    least = full.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("least"))
-    named = least.join(classes.withColumnRenamed("id", "least"), "least", "left").select("fp", "n_shingles", F.coalesce("component", "least").alias("component_id"))
-    return full.join(named, ["fp", "n_shingles"]).select("doc_id", "n_shingles", "component_id").union(sizes.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
+    classes = materialize(connected_components(linked).withColumnRenamed("id", "fp"), "classes")
+    least = full.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = classes.join(least, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = least.join(classes.join(named, "component"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return full.join(named, "fp").select("doc_id", "n_shingles", "component_id").union(sizes.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))

@@ -11,12 +11,17 @@ email     name, host, top-level domain            letters and digits of the name
 secret    after password/token/key = or :         letters and digits of the value
 key       AKIA and 16 characters, ghp_, sk-       letters and digits after the prefix
 ip        four numbers up to 255                  the 32-bit address
+iban      country, check digits, sum right        letters and digits of the account; the check digits follow
 phone     +country or separated 3-3-4 digits      all digits but country code and leading ones
+abroad    + and 8 to 15 digits, set apart or not  all digits but the first three
 ssn       area, group, serial in range            index within all valid numbers
 date      of the calendar, 1900 to 2099           year and day of the year (29 February: the leap year)
 card      13 to 19 digits, Luhn sum right         all digits but the last, which keeps the sum right
 ========  ======================================  ===================================================
 
+Dates are year first, or day first; one that can't be day first is month first (its day is above 12), and is permuted
+among such: year, and up to the 28th month and day.
+
 Cards are looked for in whole chains of digit groups (one space or hyphen between two): any groups in a row with 13 to
 19 digits and the right sum, those with most digits first, then from the left; what is beside them is searched for dates,
 ssns and phones.
@@ -26,14 +31,16 @@ capital letter), by amounts drawn from SHA-2 of the key, the round and the other
 the same with two residues.  Anything else, invalid values included, stays as it is.
 
 Defined results: a null text stays null and counts 0 values; an empty one stays empty; repeated rows
-are treated alike; other columns are passed on (n_private is replaced).
+are treated alike; other columns are passed on (n_private is replaced).  The key is the caller's: who has it can undo the
+pseudonyms, and one key links equal values.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -42,10 +49,12 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + END,
     "secret": EDGE + r"(?i:password|passwd|pwd|token|secret|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_-]{8,}+",
     "key": EDGE + r"(?:AKIA[0-9A-Z]{16}|(?:ghp_|gho_|sk-)[A-Za-z0-9]{20,}+)" + END,
+    "iban": EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + END,
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "date": EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})" + END,
     "ssn": EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END,
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + END,
+    "abroad": r"(?<![0-9A-Za-z+])\+[1-9](?:[ .-]?[(]?[0-9][)]?){7,14}" + END,
 }
 #: A whole chain of digit groups, however long; groups that begin an address or a dotted date aren't of it.
 OTHER = r"(?!(?:[0-9]{1,3}\.){3}[0-9]|[0-9]{2}[./][0-9]{2}[./][0-9]{4}|[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-])"
@@ -188,7 +197,9 @@ def _ssn(value: Column, key: str) -> Column:
 
 def _date(value: Column, key: str) -> Column:
     iso, mark = value.rlike("^[0-9]{4}-"), F.substring(value, 3, 1)
-    day = F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(F.translate(value, "./", "--"), "dd-MM-yyyy"))
+    dashed = F.translate(value, "./", "--")
+    day_first, month_first = F.try_to_date(dashed, "dd-MM-yyyy"), F.try_to_date(dashed, "MM-dd-yyyy")
+    day = F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), day_first, month_first)
     valid = day.isNotNull() & F.year(day).between(1900, 2099)
     leap_day = (F.month(day) == 2) & (F.dayofmonth(day) == 29)
     in_leap = (F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31))) == 366) & (F.month(day) > 2)
@@ -196,8 +207,40 @@ def _date(value: Column, key: str) -> Column:
     plain = F.date_add(F.make_date(F.lit(2001), F.lit(1), F.lit(1)), place.cast("int"))  # a year of 365 days
     usual = F.make_date((year + 1900).cast("int"), F.month(plain), F.dayofmonth(plain))
     nth, _ = permute_pair(F.floor((F.year(day) - 1904) / 4), 49, F.lit(0), 1, key, "leap")
-    fresh = F.when(leap_day, F.make_date((nth * 4 + 1904).cast("int"), F.lit(2), F.lit(29))).otherwise(usual)
-    return F.when(valid & iso, F.date_format(fresh, "yyyy-MM-dd")).when(valid, F.concat(F.date_format(fresh, "dd"), mark, F.date_format(fresh, "MM"), mark, F.date_format(fresh, "yyyy"))).otherwise(value)
+    leap = F.make_date((nth * 4 + 1904).cast("int"), F.lit(2), F.lit(29))
+    fresh = F.when(leap_day, leap).otherwise(usual)
+    year, place = permute_pair(F.year(day) - 1900, 200, (F.month(day) - 1) * 16 + F.dayofmonth(day) - 13, 192, key, "month first")
+    late, _ = permute_pair(F.year(day) - 1900, 200, F.lit(0), 1, key, "late")
+    among = F.when(leap_day, leap).when(F.dayofmonth(day) > 28, F.make_date((late + 1900).cast("int"), F.month(day), F.dayofmonth(day))).otherwise(F.make_date((year + 1900).cast("int"), (F.floor(place / 16) + 1).cast("int"), (place % 16 + 13).cast("int")))
+    parts = lambda x, first, second: F.concat(F.date_format(x, first), mark, F.date_format(x, second), mark, F.date_format(x, "yyyy"))
+    return F.when(valid & iso, F.date_format(fresh, "yyyy-MM-dd")).when(valid & day_first.isNotNull(), parts(fresh, "dd", "MM")).when(valid, parts(among, "MM", "dd")).otherwise(value)
+
+
+def _remainder(chars: Column) -> Column:
+    """Of the number that digits and letters (10 to 35) spell, divided by 97."""
+    add = lambda acc, c: F.when(F.ascii(c) < 58, (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(chars, ""), F.lit(0), add)
+
+
+def _iban(value: Column, key: str) -> Column:
+    def changed(plain: Column) -> Column:
+        country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+        valid = F.length(plain).between(15, 34) & (_remainder(F.concat(account, country, F.substring(plain, 3, 2))) == 1)
+        check = lambda x: F.concat(country, F.lpad((98 - _remainder(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x)
+        return F.when(valid, _let(_let(permute_text(account, key, "iban"), check), lambda x: _spread(value, x))).otherwise(value)
+
+    return _let(F.replace(value, F.lit(" "), F.lit("")), changed)
+
+
+def _spread(value: Column, chars: Column) -> Column:
+    """``value`` with all but its spaces replaced, in order."""
+    put = lambda acc, c: F.when(c != " ", F.struct(F.concat(acc["s"], F.substring(chars, acc["n"], F.lit(1))).alias("s"), (acc["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(acc["s"], c).alias("s"), acc["n"].alias("n")))
+    return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("n")), put, lambda acc: acc["s"])
+
+
+def _abroad(value: Column, key: str) -> Column:
+    digits = _digits(value)
+    return _let(F.concat(F.substring(digits, 1, 3), permute_text(F.substring(digits, F.lit(4), F.length(digits)), key, "abroad")), lambda x: _refill(value, x))
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -228,10 +271,12 @@ CHANGES: dict[str, Callable[[Column, str], Column]] = {
     "email": _email,
     "secret": _after(r"^[A-Za-z_]+\s*[=:]\s*[\"']?", "secret"),
     "key": _after(r"^(?:AKIA|ghp_|gho_|sk-)", "key"),
+    "iban": _iban,
     "ip": _ip,
     "date": _date,
     "ssn": _ssn,
     "phone": _phone,
+    "abroad": _abroad,
 }
 
 
@@ -243,10 +288,21 @@ def pseudonym(value: Column, key: str, kinds: tuple[str, ...] = tuple(CHANGES))
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = "weftgraph", text: str = "text") -> DataFrame:
+#: The setting that holds the key of the query and the pipeline.
+KEY_SETTING = "spark.weftgraph.pseudonym.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's settings; where there is none, a fresh one, which links values within one result only."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+
+
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the values in ``text`` replaced, and n_private: how many were."""
     found = F.regexp_extract_all(F.col(text), F.lit(FINDER), 0)
     mark = "__values"
+    while mark in docs.columns:
+        mark += "_"
     some = docs.withColumn(mark, F.when(F.col(text).rlike(HINT), found))
     single = "|".join(f"(?:{PATTERNS[k]})" for k in CHANGES)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,16 +13,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.llm.pii import pseudonymize
+    from weftgraph.llm.pii import pseudonymize, session_key
 
-    return pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
+
+
+#: Production weights of the mixing query and the pipeline.
+WEIGHTS = {("web",): 4, ("news",): 2, ("books",): 3, ("forum",): 1, ("*", "en"): 4, ("*", "de"): 2, ("*", "fr"): 2, ("*", "es"): 2}
+
+
+def source_domain(source: Column) -> Column:
+    """Domain of a numbered source."""
+    n = F.regexp_extract(source, "([0-9]{1,9})$", 1)
+    number = F.when(n != "", n.cast("int"))
+    return F.when(number < 5, "web").when(number < 10, "news").when(number < 15, "books").when(number.isNotNull(), "forum").otherwise("unknown")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.llm.mixing import mix
+    from weftgraph.llm.mixing import MixPlan, mix
 
-    done = mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return done.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), "n_tokens", "take_tokens")
+    done = mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), MixPlan(WEIGHTS), source_domain(F.col("source")))
+    return done.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), "n_tokens", "take_tokens", F.length("text").cast("long").alias("n_chars"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

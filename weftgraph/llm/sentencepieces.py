@@ -5,10 +5,10 @@ The text is normalised by longest-prefix matches in the model's compiled charact
 normalised byte is recorded on the way.  The pieces of the normalised text are then
 projected to byte spans of the original text.
 
-Pieces come from the library, one call a new segment: a segment is a run of word
+Pieces come from the library, one call a new segment: a segment is a line feed, or a run of word
 separators and what follows, and no piece of the vocabulary reaches across a segment's
 start (checked when the model is loaded; otherwise whole texts go to the library).
-Known segments come from a bounded table.
+Known segments come from a bounded table, many at once.
 
 Defined results: a null text is an empty one and has the end id alone; the end id's span is empty and lies at the
 text's end; repeated rows are encoded each; extra columns don't matter.
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from weftgraph.llm.kernel import list_array, texts
+from weftgraph.llm.kernel import Texts, list_array, texts
+from weftgraph.llm.word_table import WordTable
 
 MARK = "▁"  # stands for a space in pieces
 
@@ -94,10 +95,10 @@ class PieceModel:
 
     _made: dict[str, PieceModel] = {}
 
-    def __init__(self, path: str, most_segments: int = 400_000):
+    def __init__(self, path: str):
         import sentencepiece
 
-        self.library, self.most = sentencepiece.SentencePieceProcessor(model_file=path), most_segments
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
             fields = list(_fields(f.read()))
         pieces = [dict(_fields(v)) for k, v in fields if k == 1]
@@ -118,8 +119,7 @@ class PieceModel:
             and not any(re.search(f"[^{MARK}]{MARK}", s) for s in inside) and not any(k == 4 for k in kinds)
         )
         self.line_alone = self.by_segment and not any("\n" in s for s in inside)
-        self.cut = re.compile(r"\n| +[^ \n]*|[^ \n]+" if self.line_alone else r" +[^ ]*|[^ ]+")
-        self.known: dict[str, np.ndarray] = {}
+        self.table = WordTable(self._segments, bits=20)
 
     @classmethod
     def shared(cls, path: str) -> PieceModel:
@@ -178,33 +178,37 @@ class PieceModel:
             source += [end] * len(space)
         return bytes(out), np.array([*source, end])
 
-    def _segments(self, segments: list[str]) -> list[np.ndarray]:
-        """Ids of segments that aren't in the table: the library's dummy prefix stands for the first space."""
-        ids = self.library.encode([s[1:] if s[0] == " " else "\n" + s for s in segments], num_threads=1)
-        plain = len(self.library.encode("\n")) if self.line_alone else 0
-        return [np.array(x if s[0] == " " else x[plain:], np.int32) for s, x in zip(segments, ids, strict=True)]
-
-    def encode(self, values: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def _segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of segments, where each one's begin, how many it has: the library's dummy prefix stands for the first space."""
+        texts = [s.decode("utf-8") for s in segments]
+        plain = len(self.library.encode("\n"))
+        lone = self.library.encode("\n")[:-1]  # of a space alone: the library makes nothing of an empty text, not even its prefix
+        ids = self.library.encode([s[1:] if s[0] == " " else "\n" + s for s in texts], num_threads=1)
+        own = [lone if s == " " else x if s[0] == " " else x[plain:] for s, x in zip(texts, ids, strict=True)]
+        count = np.array([len(x) for x in own], np.int64)
+        return np.array([i for x in own for i in x], np.int32), np.cumsum(count) - count, count
+
+    def encode(self, part: Texts) -> list[np.ndarray]:
+        """Ids of each text (null: none)."""
         if not self.by_segment or not self.line_alone:
-            return [np.array(x, np.int32) for x in self.library.encode([v or "" for v in values], num_threads=1)]
-        # a dummy space goes before each text; a segment of one space needs the library's prefix alone
-        split = [self.cut.findall(" " + v) if v and MARK not in v else [] for v in values]
-        segments = set().union(*split)
-        new = [s for s in segments if s not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list(segments)
-        known = self.known
-        lone = [s for s in new if s.startswith(" ") and not s[1:]]
-        rest = [s for s in new if s[1:] or not s.startswith(" ")]
-        for s in lone:  # the library makes nothing of an empty text, not even its prefix
-            known[s] = np.array(self.library.encode("\n")[: -1], np.int32)
-        known.update(zip(rest, self._segments(rest), strict=True))
-        none = np.zeros(0, np.int32)
-        out = [np.concatenate([known[s] for s in ss]) if ss else none for ss in split]
-        for i, v in enumerate(values):
-            if v and MARK in v:  # a mark of the text itself may join the space before it
-                out[i] = np.array(self.library.encode(v), np.int32)
+            return [np.array(x, np.int32) for x in self.library.encode([part.text(i) for i in range(part.n)], num_threads=1)]
+        some = np.diff(part.offsets) > 0
+        data = np.insert(part.data, part.offsets[:-1][some], 32)  # a dummy space goes before each text
+        offsets = part.offsets + np.append(0, np.cumsum(some))
+        line, space = data == 10, data == 32
+        opens = line.copy()
+        opens[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        opens[offsets[:-1][some]] = True
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        first, count = self.table.look_up(data, starts, ends)
+        ids = self.table.ids(first, count)
+        edges = np.append(0, np.cumsum(count))[np.searchsorted(starts, offsets)]
+        out = np.split(ids, edges[1:-1])
+        mark = MARK.encode()
+        at = np.flatnonzero((part.data[:-2] == mark[0]) & (part.data[1:-1] == mark[1]) & (part.data[2:] == mark[2]))
+        for i in np.unique(np.searchsorted(part.offsets, at, "right") - 1).tolist():  # a mark of the text itself may join the space before it
+            out[i] = np.array(self.library.encode(part.text(i)), np.int32)
         return out
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +232,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
         end_id = pieces.library.eos_id()
         for part in texts(batches, text, 1 << 20):
             values = [v or "" for v in part.rows.column(text).to_pylist()]
-            ids = pieces.encode(values)
+            ids = pieces.encode(part)
             spans = [pieces.spans(v, i) for v, i in zip(values, ids, strict=True)]
             size = [len(v.encode()) for v in values]
             ids = [np.append(i, end_id) for i in ids]
