@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.language_id import UNDETERMINED, held_out, identify
-from weftgraph.llm.mixing import WEIGHTS, MixPlan, mix
+from weftgraph.llm.mixing import MixPlan, mix
 from weftgraph.llm.ngram_join import near_duplicates
-from weftgraph.llm.pii import pseudonymize
+from weftgraph.llm.pii import pseudonymize, session_key
+from weftgraph.llm.queries import WEIGHTS, source_domain
 from weftgraph.llm.sentencepieces import encode
 from weftgraph.llm.shared import materialize
 
@@ -33,7 +34,11 @@ def least_scores(done: DataFrame, band: Column) -> Column:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what is in a known language, and sets lang to it."""
+    """Keeps what is in a known language, and sets lang to it.
+
+    Null, empty and letterless texts are in none; a null id isn't learned from but is judged like any other; repeated rows are judged alike;
+    without rows to learn from nothing is kept.
+    """
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
     done = identify(docs.select(*COLUMNS)).withColumn("band", F.floor(F.log2(F.greatest(letters, F.lit(1)))).cast("int"))
     done = materialize(done, "scored")
@@ -52,17 +57,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces private values in the texts."""
-    return pseudonymize(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Replaces private values in the texts: every row stays, null and empty texts as they are; n_chars follows the text, null where that is."""
+    return pseudonymize(docs.select(*COLUMNS), session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes from each domain, language and source what the plan gives it."""
-    return mix(docs.select(*COLUMNS), PLAN).select(*COLUMNS)
+    """Takes from each domain, language and source what the plan gives it; the last text of each is cut to that, and n_chars follows.
+
+    Null and empty texts have no tokens and go with the documents around them; repeated rows are taken together; an empty table stays empty.
+    """
+    return mix(docs.select(*COLUMNS), PLAN, source_domain(F.col("source"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every text; its pieces' spans and the decoded text stand beside the ids."""
+    """Encodes every text; its pieces' spans and the decoded text stand beside the ids.  A null text is an empty one: the end id alone."""
     return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
 
 
