@@ -63,17 +63,17 @@ def test_suffix_order(monkeypatch, budget, large):
             assert k == m
 
 
-@pytest.mark.parametrize("most_contents", [2, 20_000])
-def test_suffix_dedup(spark, docs, most_contents):
-    got = suffix_dedup.remove_repeats(docs, width=24, most_contents=most_contents)
+@pytest.mark.parametrize("most_bytes", [64, 1 << 20])
+def test_suffix_dedup(spark, docs, most_bytes):
+    got = suffix_dedup.remove_repeats(docs, width=24, most_bytes=most_bytes)
     mine = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got.collect()}
     assert mine == brute.repeated_bytes([r[:2] for r in corpus()], 24)
     assert any(v[1] for v in mine.values())
 
 
-@pytest.mark.parametrize("most_contents", [2, 20_000])
-def test_block_dedup(spark, docs, most_contents):
-    got = block_dedup.remove_repeats(docs, width=9, most_contents=most_contents)
+@pytest.mark.parametrize(("most_bytes", "most_pairs"), [(256, 1 << 16), (1 << 20, 1 << 16), (1 << 20, 1)])
+def test_block_dedup(spark, docs, most_bytes, most_pairs):
+    got = block_dedup.remove_repeats(docs, width=9, most_bytes=most_bytes, most_pairs=most_pairs)
     mine = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()}
     assert mine == brute.repeated_words([r[:2] for r in corpus()], 9)
 

@@ -344,4 +344,5 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", most: i
     least = full.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = classes.join(least, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(classes.join(named, "component"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = materialize(named, "named")  # so that the join can deal out a set that many rows have
     return full.join(named, "fp").select("doc_id", "n_shingles", "component_id").union(sizes.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))

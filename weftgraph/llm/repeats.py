@@ -8,8 +8,8 @@ crosses groups:
 * where all runs of an anchor have the same content, the hash of that content says all
   (thousands of copies of a text never meet in a task, they are counted);
 * only anchors with differing contents are looked into: one run for each content is sent to its
-  anchor's shard and solved there.  An anchor with more than ``most_contents`` contents is sent window
-  by window to several shards, by the window's hash, so that no task holds an unbounded group.
+  anchor's shard and solved there.  An anchor whose runs hold more than ``most_bytes`` is sent window
+  by window to several shards of about ``most_bytes``, by the window's hash, so that no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -40,6 +40,11 @@ class Unit:
             return part.word_hashes(), part.word_offsets
         return part.data, part.offsets
 
+    @property
+    def size(self) -> int:
+        """Bytes of an item."""
+        return 8 if self.words else 1
+
     def hashes(self, items: np.ndarray) -> PrefixHash:
         return PrefixHash(items if self.words else BYTE_VALUE[items])
 
@@ -72,7 +77,7 @@ def shared_runs(found: DataFrame) -> DataFrame:
     """``runs`` whose anchor occurs twice or more: with mixed (the anchor has differing contents) and first_doc (its least doc_id)."""
     found = materialize(found, "runs")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("doc_id").alias("first_doc"))
-    shared = anchors.where("c > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), "first_doc")
+    shared = materialize(anchors.where("c > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), "first_doc"), "anchors")  # so that the join can deal out a hot anchor
     out = materialize(found.join(shared, "anchor"), "shared")
     discard(found)
     release(found.sparkSession)
@@ -89,9 +94,10 @@ def contents(shared: DataFrame) -> DataFrame:
     )
 
 
-def shipped(docs: DataFrame, wanted: DataFrame, unit: Unit, most_contents: int) -> DataFrame:
+def shipped(docs: DataFrame, wanted: DataFrame, unit: Unit, most_bytes: int) -> DataFrame:
     """(anchor, shard, content, first_doc, offset, n, align, items): the items of the wanted runs, ready for their shards."""
-    crowded = wanted.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > most_contents).select("anchor", F.ceil(F.col("k") / most_contents).cast("int").alias("shards"))
+    whole, single = F.sum(F.col("n") - 1 + unit.width) * unit.size, F.sum("n") * unit.width * unit.size
+    crowded = wanted.groupBy("anchor").agg(whole.alias("whole"), single.alias("single")).where(F.col("whole") > most_bytes).select("anchor", F.ceil(F.col("single") / most_bytes).cast("int").alias("shards"))
     each = wanted.join(crowded, "anchor", "left").groupBy("doc_key").agg(F.collect_list(F.struct("anchor", "content", "first_doc", "start", "n", F.coalesce("shards", F.lit(1)).alias("shards"))).alias("runs"))
     fields = ["anchor", "content", "first_doc", "start", "n", "shards"]
 
@@ -158,8 +164,8 @@ def joined_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` (doc_key, doc_id, text) with begins and ends: the windows' spans to remove (null: none)."""
     spans = materialize(spans, "spans")
     release(docs.sparkSession)  # what shipped the runs isn't needed for the rest
-    per = spans.groupBy("doc_key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    return docs.join(per, "doc_key", "left")
+    per = spans.groupBy("doc_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # copies of a row bring the same spans
+    return docs.join(per.select("doc_key", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends")), "doc_key", "left")
 
 
 def covered(part: Texts, offsets: np.ndarray) -> np.ndarray:

@@ -98,13 +98,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = materialize(_contracted(e).distinct(), "edges")
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")  # so that the join can deal out a hot node
         if low.where("m < u and n > 1").isEmpty():
             break
         large = both.where("v > u").join(low.select("u", F.least("m", "u").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         before, e = e, materialize(_contracted(small.where("u <> v")).distinct(), "edges")
         discard(before)
+        discard(low)
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

@@ -70,7 +70,7 @@ def suffix_solver(width: int, budget: int = 1 << 22):
     return solver
 
 
-def repeated_spans(docs: DataFrame, width: int, gram: int = 40, most_contents: int = 50_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int, gram: int = 40, most_bytes: int = 32 << 20) -> DataFrame:
     """(doc_key, begin, end): byte spans of the repeated windows of ``docs`` (doc_key, doc_id, text)."""
     unit = Unit(words=False, width=width, gram=min(gram, width))
     shared = shared_runs(runs(docs, unit))
@@ -78,7 +78,7 @@ def repeated_spans(docs: DataFrame, width: int, gram: int = 40, most_contents: i
     whole = shared.where("not mixed").select("doc_key", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + width).alias("end"))
     mixed = shared.where("mixed").join(classes.select("anchor", "content", "copies"), ["anchor", "content"])
     copied = mixed.where("copies > 1").select("doc_key", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + width).alias("end"))
-    solved = solve(shipped(docs, classes, unit, most_contents), suffix_solver(width), SOLVED, SHARD_BYTES)
+    solved = solve(shipped(docs, classes, unit, most_bytes), suffix_solver(width), SOLVED, SHARD_BYTES)
     single = classes.where("copies = 1").join(solved, ["anchor", "content"])
     looked = single.select("doc_key", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end") - 1 + width).alias("end"))
     return whole.union(copied).union(looked)

@@ -85,7 +85,7 @@ class CharacterQueue:
 
     def __init__(self, alphabet: int, budget: int):
         self.memory: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
-        self.files: dict[int, str] = {}
+        self.files: dict[int, tuple[str, int]] = {}  # and how much of each was read
         self.folder: str | None = None
         self.held, self.budget = 0, budget
 
@@ -99,7 +99,7 @@ class CharacterQueue:
         self.folder = self.folder or tempfile.mkdtemp(prefix="suffixes-")
         for char, parts in enumerate(self.memory):
             if parts:
-                name = self.files.setdefault(char, os.path.join(self.folder, str(char)))
+                name, _ = self.files.setdefault(char, (os.path.join(self.folder, str(char)), 0))
                 with open(name, "ab") as f:
                     for p in parts:
                         f.write(p.tobytes())
@@ -108,12 +108,14 @@ class CharacterQueue:
 
     def pop(self, char: int) -> np.ndarray | None:
         """Next elements of ``char`` (a chunk's worth from disk, or all that memory holds), or None."""
-        name = self.files.pop(char, None)
-        if name:
-            data = np.fromfile(name, ITEM)
-            os.unlink(name)
-            self.memory[char].insert(0, data)
-            self.held += len(data)
+        if char in self.files:  # what was spilled came before what memory holds
+            name, read = self.files[char]
+            out = np.fromfile(name, ITEM, CHUNK, offset=read * ITEM.itemsize)
+            self.files[char] = name, read + len(out)
+            if (read + len(out)) * ITEM.itemsize >= os.path.getsize(name):
+                del self.files[char]
+                os.unlink(name)
+            return out
         parts = self.memory[char]
         if not parts:
             return None
@@ -123,7 +125,7 @@ class CharacterQueue:
         return out
 
     def close(self) -> None:
-        for name in self.files.values():
+        for name, _ in self.files.values():
             with contextlib.suppress(FileNotFoundError):
                 os.unlink(name)
         if self.folder:
