@@ -156,6 +156,40 @@ def test_quality(spark, docs):
     assert again == {d: r["kept"] for d, r in rows.items()}
 
 
+def test_quality_against_a_plain_version(spark, docs):
+    """Scores, threshold and verdicts by plain counts; only the buckets of n-grams come from the operator."""
+    from collections import Counter
+    from math import floor, log
+
+    import pyarrow as pa
+
+    from weftgraph.llm.kernel import texts
+
+    labels = [(30 + 3 * i, i % 2) for i in range(20)]
+    got = {r["doc_id"]: r for r in quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int"), buckets=256).collect()}
+    sample = spark.createDataFrame(labels, "doc_id long, quality int").select("*", (F.xxhash64(F.lit("half"), "doc_id") % 2 == 0).alias("half")).collect()
+    counted = {r["doc_id"] for r in sample if r["quality"] == 1 and r["half"]}
+    judged = {r["doc_id"]: r["quality"] for r in sample if r["doc_id"] not in counted}
+    grams = {}
+    for doc_id, text, *_ in corpus():
+        part = next(texts(iter([pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"])])))
+        grams[doc_id] = Counter(quality.ngram_buckets(part, 256)[1].tolist())
+    raw, trusted = Counter(), Counter()
+    for d, c in grams.items():
+        raw.update(c)
+        if d in counted:
+            trusted.update(c)
+    share = sum(trusted.values()) / sum(raw.values())
+    weight = lambda b: log(trusted[b] + 8.0 * share) - log(share * (raw[b] + 8.0))
+    score = {d: sum(n * weight(b) for b, n in c.items()) / max(sum(c.values()), 1) for d, c in grams.items()}
+    assert all(abs(got[d]["score"] - score[d]) < 1e-9 for d in score)
+    usable = [(floor(got[d]["score"] / quality.GRID), q) for d, q in judged.items() if not got[d]["base_failed"]]
+    good, bad = ([s for s, q in usable if q == k] for k in (1, 0))
+    apart = {at: sum(s >= at for s in good) / len(good) + sum(s < at for s in bad) / len(bad) for at in {s for s, _ in usable}}
+    at = min(a for a, v in apart.items() if v >= max(apart.values()) - quality.SLACK) * quality.GRID
+    assert all(got[d]["kept"] == (not got[d]["base_failed"] and got[d]["score"] >= at) for d in score)
+
+
 def test_quality_tells_labelled_texts_apart(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.judge(docs, labels).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
@@ -175,6 +209,74 @@ def test_language(spark):
     assert by_id[None]["held_out"] and by_id[None]["lang_pred"] == "en"
 
 
+def plain_mix(h):
+    m = 2**64 - 1
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+    return h ^ h >> 31
+
+
+def plain_profile(text, dim=128, seed=8):
+    """Sum of the trigrams' vectors, by Python numbers: words of letters in lower case, a non-letter (0) at both ends."""
+    def letter(p):
+        words = [plain_mix((plain_mix((p * 65536 + i) ^ (seed * 0x9E3779B97F4A7C15 % 2**64)) + 0xA0761D6478BD642F) % 2**64) for i in range(dim // 64)]
+        return [w >> (8 * (b // 8) + 7 - b % 8) & 1 for w in words for b in range(64)]
+
+    total = [0] * dim
+    word = [0]
+    for c in f"{text}\n":
+        if c.isalpha():
+            word.append(ord(c.lower()) if len(c.lower()) == 1 else ord(c))
+        elif len(word) > 1:
+            word.append(0)
+            for i in range(1, len(word) - 1):
+                bits = zip(np.roll(letter(word[i - 1]), 128), np.roll(letter(word[i]), 64), letter(word[i + 1]), strict=True)
+                total = [t + 1 - 2 * int(a ^ b ^ c) for t, (a, b, c) in zip(total, bits, strict=True)]
+            word = [0]
+    return np.array(total, float)
+
+
+def test_language_against_a_plain_version(spark):
+    rng = random.Random(21)
+    scripts = {"la": "abcdeé", "cy": "абвгдж", "el": "αβγδες", "he": "אבגדהו", "zh": [chr(0x4E00 + i) for i in range(3000)], "und-like": "xyz"}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(sorted(scripts))
+        text = " ".join("".join(rng.choice(scripts[lang]) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 12)))
+        rows.append((i, rng.choice([text, text.upper(), f"12 {text}!"]), lang if i % 9 else None))
+    rows += [(500, "", "la"), (501, "1 2", "cy"), (None, "abc", "la")]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), dim=128).collect()}
+    import zlib
+
+    proto = {}
+    for i, text, lang in rows:
+        if i is not None and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            proto[lang] = proto.get(lang, 0) + plain_profile(text)
+    for i, text, _ in rows:
+        mine = plain_profile(text)
+        assert got[i]["held_out"] == (i is None or zlib.crc32(str(i).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in text):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cosine = {n: float(mine @ p / (np.linalg.norm(mine) * np.linalg.norm(p) + 1e-12)) for n, p in proto.items()}
+        best = max(cosine.values())
+        assert abs(got[i]["score"] - max(best, 0)) < 1e-4 and cosine[got[i]["lang_pred"]] > best - 1e-4
+
+
+def test_language_memory_is_bounded():
+    """Texts of very many distinct trigrams are profiled a chunk at a time."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    text = "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(60_000))
+    tracemalloc.start()
+    doc, place, codes, _ = language_id.trigrams([text])
+    space = language_id.NgramSpace(2048, 8)
+    space.bundles(language_id.counted(doc, place, 1, len(codes)), codes)
+    assert len(codes) > 50_000 and tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
 def test_language_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, "more", None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language_id.identify(docs).collect()} == {"und"}

@@ -84,7 +84,7 @@ def trigrams(values: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     point = _letters()[np.frombuffer("".join(values).encode("utf-32-le", "replace"), np.uint32)]
     doc = np.repeat(np.arange(len(values), dtype=np.int32), lengths)
     letters = np.bincount(doc[point > 0], minlength=len(values))
-    keep = (point > 0) | np.append(True, point[:-1] > 0)  # runs of non-letters count as one
+    keep = (point > 0) | np.append(True, (point[:-1] > 0) | (doc[1:] != doc[:-1]))  # runs of non-letters count as one, and each text begins with one
     point, doc = point[keep], doc[keep]
     seen = np.zeros(0x110000, bool)
     seen[point] = seen[0] = True
