@@ -7,6 +7,7 @@ rows Spark puts in a batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +89,14 @@ class Texts:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().decode("utf-8", "replace")
 
 
+def give_back() -> None:
+    """Returns free memory to the system: a worker stays, idle, while others need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def texts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[Texts]:
     """Slices of the batches with at most ``most`` bytes of text each (or one row)."""
     for batch in batches:
@@ -103,7 +112,7 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1
         if begin < len(size):
             part = batch.slice(begin)
             yield Texts(part, part.column(column))
-    pa.default_memory_pool().release_unused()  # the worker waits for other tasks
+    give_back()
 
 
 _FOLD = np.arange(256, dtype=np.uint8)

@@ -218,7 +218,7 @@ def crowded(rows: DataFrame, key: str, most: int) -> DataFrame:
     side 0 is compared with all of its part, 1 with 2 only.
     """
     parts = rows.groupBy(key).agg(F.count("*").alias("count")).where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    dealt = rows.join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(F.lit(17), "fp"), "parts").cast("int"))
+    dealt = rows.join(materialize(parts, "parts"), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(F.lit(17), "fp"), "parts").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     return met.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": side}).drop("parts", "own", "other")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from weftgraph.llm.kernel import Texts, list_array, texts
+from weftgraph.llm.kernel import Texts, give_back, list_array, texts
 from weftgraph.llm.word_table import WordTable
 
 MARK = "▁"  # stands for a space in pieces
@@ -241,6 +241,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
             flat = [np.concatenate(x) for x in (ids, [np.append(b, n) for (b, _), n in zip(spans, size, strict=True)], [np.append(e, n) for (_, e), n in zip(spans, size, strict=True)])]
             yield pa.RecordBatch.from_arrays([*(part.rows.column(c) for c in keep), *(list_array(x.astype(np.int32), counts, pa.int32()) for x in flat), pa.array(decoded, pa.string())], [*keep, "ids", "begins", "ends", "decoded"])
 
+        pieces.table.clear()  # other tasks' workers need the room more than this one needs the words
+        give_back()
+
     ints = ArrayType(IntegerType())
     added = [StructField("ids", ints), StructField("begins", ints), StructField("ends", ints), StructField("decoded", StringType())]
     schema = StructType([*(docs.schema[c] for c in keep), *added])

@@ -25,9 +25,10 @@ class WordTable:
 
     def __init__(self, encode: Encode, bits: int = 20, most_ids: int = 1 << 23):
         self.encode, self.bits, self.most_ids = encode, bits, most_ids
-        self._begin()
+        self.clear()
 
-    def _begin(self) -> None:
+    def clear(self) -> None:
+        """Forgets all words."""
         n = 1 << self.bits
         self.keys = [np.zeros(n, U64) for _ in range(KEY // 8)]
         self.length = np.zeros(n, np.uint8)  # 0: free
@@ -52,7 +53,7 @@ class WordTable:
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first id in ``pool``, number of ids) of the words ``data[start:end]``; valid until the next call."""
         if self.words > (1 << self.bits) * 6 // 10 or self.used > self.most_ids or len(self.long) > 1 << 16:
-            self._begin()
+            self.clear()
         first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         length = ends - starts
         padded = np.concatenate([data, np.zeros(KEY, np.uint8)])
