@@ -76,12 +76,12 @@ def test_joins_give_what_kernels_give(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(14), rng.randrange(14)) for _ in range(26)]
     df = pairs(spark, edges)
-    by_joins = {r["node_id"]: r["scc_id"] for r in cy.strong_components(df, kernel_edges=0).collect()}
+    by_joins = {r["node_id"]: r["scc_id"] for r in cy.strong_components(df).collect()}
     assert by_joins == cy.scc_kernel(edges)
     components = cy.strong_components(df)
     a = sorted(r["path"] for r in cy.cycles_by_joins(cy.inner_edges(df, components)).collect())
     b = sorted(r["path"] for r in cy.minimal_cycles(df, components).collect())
-    assert a == b
+    assert a == b == sorted(r["path"] for r in cy.minimal_cycles(df, kernel_steps=0).collect())
 
 
 def feedback(spark, weighted, bias=None):

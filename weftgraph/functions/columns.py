@@ -121,6 +121,8 @@ def volatility_level(count: Column, low: int = 2, high: int = 10) -> Column:
 CHAR_WIDTH, ROW_HEIGHT, MARGIN, INDENT, TOOLBAR = 7.2, 30, 20, 20, 40
 MIN_STROKE, STROKE_RANGE, MOST_LOCATIONS = 0.5, 2.0, 50
 ARC_BASE, ARC_STEP = 20, 15
+ARROW_LENGTH, ARROW_HALF_WIDTH, BASE_STROKE = 8, 4, 1.5
+HIGHLIGHT_SCALE, SHADOW_MULTIPLIER = 1.3, 4
 
 
 def text_width(c: Column, per_char: float = CHAR_WIDTH) -> Column:
@@ -147,3 +149,42 @@ def arc_length(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     far = F.greatest(x1, x2) + arc_offset(y1, y2)
     half = F.abs(y2 - y1) / 2
     return F.sqrt((far - x1) ** 2 + half**2) + F.sqrt((far - x2) ** 2 + half**2)
+
+
+def arrow_scale(stroke: Column) -> Column:
+    return stroke / BASE_STROKE
+
+
+def arrow_points(x: Column, y: Column, scale: Column) -> Column:
+    """Polygon of an arrow head that points left, its tip at (x, y)."""
+    length, half = ARROW_LENGTH * scale, ARROW_HALF_WIDTH * scale
+    return F.format_string("%.1f,%.1f %.1f,%.1f %.1f,%.1f", *[v.cast("double") for v in (x + length, y - half, x, y, x + length, y + half)])
+
+
+def arrow_tip(points: Column) -> Column:
+    """(x, y) of a polygon's tip, its second point; null if there is none or it is no pair of numbers."""
+    pair = F.split(F.get(F.split(points, " "), F.lit(1)), ",")
+    x, y = (F.get(pair, F.lit(i)).try_cast("double") for i in (0, 1))
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+
+def highlight_width(stroke: Column) -> Column:
+    return stroke * HIGHLIGHT_SCALE
+
+
+def shadow(stroke: Column, length: Column) -> Column:
+    """(width, overhang, visible, offset) of an arc's shadow: wider than the arc, shortened at both ends by what it is wider."""
+    width = stroke * SHADOW_MULTIPLIER
+    overhang = (width - stroke) / 2
+    return F.struct(width.alias("width"), overhang.alias("overhang"), F.greatest(F.lit(0.0), length - overhang * 2).alias("visible"), (-overhang).alias("offset"))
+
+
+def qualified_parts(path: Column, kind: Column) -> Column:
+    """(crate, path) of a node by its names from the root on: inside a crate the path is relative to it; a crate's own is its name."""
+    inside = (F.size(path) > 1) & (kind != "crate")
+    return F.struct(F.when(inside, F.get(path, F.lit(0))).alias("crate"), F.array_join(F.when(inside, F.slice(path, F.lit(2), F.size(path))).otherwise(path), "::").alias("path"))
+
+
+def hierarchy_direction(src: Column, dst: Column, ancestors: Column) -> Column:
+    """Of an arc whose ends' places don't matter: upward to the node itself or one that holds it, else downward; ``ancestors`` of ``src``."""
+    return F.when((src == dst) | F.array_contains(ancestors, dst), "upward").otherwise("downward")

@@ -1,7 +1,7 @@
 """Strongly connected components and the shortest cycle through every cyclic edge.
 
-Graphs whose edges are few (``KERNEL_EDGES``, counted first) go to one grouped-map kernel; larger ones are
-worked on by joins.  Both give the same rows.
+Components come from joins at every size.  Shortest cycles of a component come from a grouped-map kernel where its nodes times
+edges are few (``KERNEL_STEPS``), many components side by side; from joins else.  Both give the same rows.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.scratch import settle
+from weftgraph.scratch import Grown, settle
 
-KERNEL_EDGES = 50_000
+KERNEL_STEPS = 10_000_000
 SCC_SCHEMA = "node_id long, scc_id long"
 CYCLE_SCHEMA = "scc_id long, path array<long>"
 
@@ -66,24 +66,14 @@ def scc_kernel(edges: list[tuple[int, int]]) -> dict[int, int]:
     return result
 
 
-def few(edges: DataFrame, most: int = KERNEL_EDGES) -> bool:
-    return edges.limit(most + 1).count() <= most
-
-
-def strong_components(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node_id, scc_id): nodes of components of two nodes or more; scc_id is the least node.
 
-    By joins: nodes without an edge in or out are peeled off; every node takes the least node that
+    Nodes without an edge in or out are peeled off; every node takes the least node that
     leads to it (its colour); what leads back to that node inside the colour is its component, and leaves; again,
     until nothing is left.
     """
     edges = edges.select("src", "dst").where("src <> dst").distinct()
-    if few(edges, kernel_edges):
-        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-            found = scc_kernel(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)))
-            return pd.DataFrame(sorted(found.items()), columns=["node_id", "scc_id"]).astype("int64")
-
-        return edges.groupBy(F.lit(0).alias("all")).applyInPandas(lambda key, pdf: kernel(pdf), SCC_SCHEMA)
     spark = edges.sparkSession
     done = spark.createDataFrame([], SCC_SCHEMA)
     left = settle(edges)
@@ -106,13 +96,15 @@ def strong_components(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> Dat
             if new.where("moved").isEmpty():
                 break
         inside = settle(left.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")))
-        back = frontier = colour.where("node_id = colour")
+        back = Grown(colour.where("node_id = colour"))
+        frontier = back.rows
         while True:  # who leads back to the root
             step = inside.join(frontier.select(F.col("node_id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node_id"), "colour").distinct()
-            frontier = settle(step.join(back, ["node_id", "colour"], "left_anti"))
+            frontier = settle(step.join(back.rows, ["node_id", "colour"], "left_anti"))
             if frontier.isEmpty():
                 break
-            back = settle(back.union(frontier))
+            back.add(frontier)
+        back = back.rows
         big = back.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
         done = settle(done.union(back.join(big, "colour", "left_semi").select("node_id", F.col("colour").alias("scc_id"))))
         gone = settle(back.select("node_id"))
@@ -153,27 +145,24 @@ def cycles_kernel(edges: list[tuple[int, int]]) -> list[list[int]]:
     return found
 
 
-def minimal_cycles(edges: DataFrame, components: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def minimal_cycles(edges: DataFrame, components: DataFrame | None = None, kernel_steps: int = KERNEL_STEPS) -> DataFrame:
     """(scc_id, path): the shortest cycle through each cyclic edge, once each, from its least node on.
 
-    Components with up to ``kernel_edges`` edges are kernels of one group each, so that
+    Components whose nodes times edges are ``kernel_steps`` or fewer are kernels of one group each, so that
     many components run side by side; larger ones are worked on by joins (``cycles_by_joins``).
     """
-    components = strong_components(edges) if components is None else components
-    inner = inner_edges(edges, components)
-    if few(inner, kernel_edges):
-        small, large = inner, None
-    else:
-        sizes = inner.groupBy("scc_id").agg(F.count("*").alias("m"))
-        small = inner.join(sizes.where(F.col("m") <= kernel_edges), "scc_id", "left_semi")
-        large = inner.join(sizes.where(F.col("m") > kernel_edges), "scc_id", "left_semi")
+    components = settle(strong_components(edges) if components is None else components)
+    inner = settle(inner_edges(edges, components))
+    nodes = components.groupBy("scc_id").agg(F.count("*").alias("n"))
+    sizes = settle(inner.groupBy("scc_id").agg(F.count("*").alias("m")).join(nodes, "scc_id").select("scc_id", (F.col("n") * F.col("m") <= kernel_steps).alias("small")))
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = cycles_kernel(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)))
         return pd.DataFrame({"scc_id": [key[0]] * len(found), "path": found})
 
-    out = small.groupBy("scc_id").applyInPandas(kernel, CYCLE_SCHEMA)
-    return out if large is None else out.union(cycles_by_joins(large))
+    out = inner.join(sizes.where("small"), "scc_id", "left_semi").groupBy("scc_id").applyInPandas(kernel, CYCLE_SCHEMA)
+    large = sizes.where("not small")
+    return out if large.isEmpty() else out.union(cycles_by_joins(inner.join(large, "scc_id", "left_semi")))
 
 
 def inner_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -183,21 +172,31 @@ def inner_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def cycles_by_joins(inner: DataFrame) -> DataFrame:
-    """``minimal_cycles`` of edges (scc_id, src, dst) by joins alone: a level of all breadth-first searches a round."""
+    """``minimal_cycles`` of edges (scc_id, src, dst) by joins alone: a level of all breadth-first searches a round, then a step back of all cycles a round."""
     inner = settle(inner)
-    heads = inner.select("scc_id", F.col("dst").alias("v")).distinct()
-    tree = level = settle(heads.select("scc_id", "v", F.col("v").alias("w"), F.array("v").alias("path")))
+    onward = inner.select(F.col("src").alias("w"), F.col("dst").alias("x"))
+    tree = Grown(inner.select(F.col("dst").alias("v")).distinct().select("v", F.col("v").alias("w"), F.col("v").alias("parent")))
+    level = tree.rows
     while True:
-        nearest = level.join(inner.select(F.col("src").alias("w"), F.col("dst").alias("x")), "w").groupBy("scc_id", "v", "x").agg(F.min_by(F.struct("path", "w"), "w").alias("best"))
-        new = nearest.select("scc_id", "v", F.col("x").alias("w"), F.concat("best.path", F.array("x")).alias("path"))
-        level = settle(new.join(tree.select("v", "w"), ["v", "w"], "left_anti"))
+        step = level.select("v", "w").join(onward, "w").groupBy("v", F.col("x").alias("reached")).agg(F.min("w").alias("parent"))
+        level = settle(step.select("v", F.col("reached").alias("w"), "parent").join(tree.rows.select("v", "w"), ["v", "w"], "left_anti"))
         if level.isEmpty():
             break
-        tree = settle(tree.union(level))
-    closed = inner.select("scc_id", F.col("src").alias("w"), F.col("dst").alias("v")).join(tree, ["scc_id", "v", "w"])
+        tree.add(level)
+    parents = tree.rows.select("v", F.col("w").alias("at"), "parent")
+    done, open_ = None, settle(inner.select("scc_id", F.col("dst").alias("v"), F.col("src").alias("at"), F.array("src").alias("path")))
+    while True:
+        back = settle(open_.join(parents, ["v", "at"]).select("scc_id", "v", F.col("parent").alias("at"), F.concat(F.array("parent"), "path").alias("path")))
+        closed, open_ = back.where("at = v").select("scc_id", "path"), back.where("at <> v")
+        if done is None:
+            done = Grown(closed)
+        else:
+            done.add(closed)
+        if open_.isEmpty():
+            break
     least = F.array_position("path", F.array_min("path")).cast("int")
     turned = F.concat(F.slice("path", least, F.size("path")), F.slice("path", F.lit(1), least - 1))
-    return closed.select("scc_id", turned.alias("path")).distinct()
+    return done.rows.select("scc_id", turned.alias("path")).distinct()
 
 
 def with_cycle_ids(cycles: DataFrame) -> DataFrame:

@@ -42,6 +42,39 @@ def aggregate_edges(refs: DataFrame) -> DataFrame:
     )
 
 
+def edge_facts(refs: DataFrame) -> DataFrame:
+    """What ``aggregate_edges`` knows of each edge but its locations: src, dst, edge_type, ctx_kind, ctx_sub_kind, n_locations, reexport.
+
+    Counts and flags only: no list of an edge's references is ever gathered.  reexport: a production edge all of whose locations re-export.
+    """
+    refs = refs.where("src <> dst")
+    lines = refs.groupBy("src", "dst", "source_file", "line").agg(
+        F.bool_and("via_reexport").alias("reexport"), F.bool_or(F.col("ctx_kind") == PRODUCTION).alias("production"),
+        F.min(F.struct("ord", "ctx_kind", "ctx_sub_kind")).alias("first"),
+    )
+    whole = lines.groupBy("src", "dst").agg(F.count("*").alias("n_locations"), F.bool_and("reexport").alias("reexport"), F.bool_or("production").alias("production"), F.min("first").alias("first"))
+    return whole.select(
+        "src", "dst", F.lit(MODULE_DEP).alias("edge_type"), F.when(F.col("production"), PRODUCTION).otherwise(F.col("first.ctx_kind")).alias("ctx_kind"),
+        F.when(~F.col("production"), F.col("first.ctx_sub_kind")).alias("ctx_sub_kind"), "n_locations", (F.col("production") & F.col("reexport")).alias("reexport"),
+    )
+
+
+def ref_weights(refs: DataFrame) -> DataFrame:
+    """``edge_weights`` of single references: an edge's distinct symbols, and one more if some location names none."""
+    refs = refs.where("src <> dst")
+    symbols = refs.where("symbol is not null").groupBy("src", "dst").agg(F.count_distinct("symbol").alias("named"))
+    bare = refs.groupBy("src", "dst", "source_file", "line").agg(F.count("symbol").alias("n")).groupBy("src", "dst").agg(F.max((F.col("n") == 0).cast("int")).alias("bare"))
+    return bare.join(symbols, ["src", "dst"], "left").select("src", "dst", (F.coalesce("named", F.lit(0)) + F.col("bare")).alias("refs"))
+
+
+def usage_counts(refs: DataFrame) -> DataFrame:
+    """(src, dst, symbol, n, via_reexport): what ``usage_groups`` lists, counted; only a line's own symbols are gathered."""
+    refs = refs.where("src <> dst")
+    lines = refs.groupBy("src", "dst", "source_file", "line").agg(F.collect_set("symbol").alias("symbols"), F.bool_and("via_reexport").alias("via_reexport"))
+    named = lines.select("src", "dst", "via_reexport", F.explode_outer("symbols").alias("symbol")).na.fill("", ["symbol"])
+    return named.groupBy("src", "dst", "symbol").agg(F.count("*").alias("n"), F.bool_and("via_reexport").alias("via_reexport"))
+
+
 def production_subgraph(edges: DataFrame) -> DataFrame:
     return edges.where(is_production_module_dep()).select("src", "dst").distinct()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,33 +16,45 @@ PREFERRED, NEUTRAL, STRUCTURAL = 0, 1, 2
 SCHEMA = "scc_id long, src long, dst long, cycles long, refs long, feedback boolean"
 
 
-def cover(edges: list[tuple[int, int]], key: dict[tuple[int, int], tuple], most_rounds: int = 1000) -> list[tuple[int, int]]:
+def cover(edges: list[tuple[int, int]], key: dict[tuple[int, int], tuple]) -> list[tuple[int, int]]:
     """Greedy cover of the minimal cycles; what cycles the cut leaves are covered in turn, until there are none.
 
     ``key``: of edges that cover equally many cycles the one with the least key goes first.
     """
     chosen: list[tuple[int, int]] = []
     left = sorted(set(edges))
-    for _ in range(most_rounds):
+    while True:
         inside = scc_kernel(left)
         core = [(a, b) for a, b in left if inside.get(a) is not None and inside.get(a) == inside.get(b) and a != b]
         if not core:
-            break
+            return chosen
         groups: dict[int, list[tuple[int, int]]] = {}
         for e in core:
             groups.setdefault(inside[e[0]], []).append(e)
         for group in groups.values():
-            open_ = [set(zip(p, p[1:] + p[:1], strict=True)) for p in cycles_kernel(group)]
-            while open_:
-                count: dict[tuple[int, int], int] = {}
-                for c in open_:
-                    for e in c:
-                        count[e] = count.get(e, 0) + 1
-                best = min(count, key=lambda e: (-count[e], key[e]))
+            cycles = [list(zip(p, p[1:] + p[:1], strict=True)) for p in cycles_kernel(group)]
+            of: dict[tuple[int, int], list[int]] = {}
+            for i, c in enumerate(cycles):
+                for e in c:
+                    of.setdefault(e, []).append(i)
+            count = {e: len(x) for e, x in of.items()}
+            queue = [(-n, key[e], e) for e, n in count.items()]
+            heapq.heapify(queue)
+            covered = [False] * len(cycles)
+            while queue:
+                n, _, best = heapq.heappop(queue)
+                if -n != count[best]:  # counts only fall: back with what is left
+                    if count[best]:
+                        heapq.heappush(queue, (-count[best], key[best], best))
+                    continue
                 chosen.append(best)
-                open_ = [c for c in open_ if best not in c]
-        left = [e for e in left if e not in set(chosen)]
-    return chosen
+                for i in of[best]:
+                    if not covered[i]:
+                        covered[i] = True
+                        for e in cycles[i]:
+                            count[e] -= 1
+        gone = set(chosen)
+        left = [e for e in left if e not in gone]
 
 
 def removal_bias(edges: DataFrame, nodes: DataFrame) -> DataFrame:

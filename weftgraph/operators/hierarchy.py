@@ -6,24 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import stroke_width
+from weftgraph.scratch import Grown, settle
 
 
-def with_paths(nodes: DataFrame, most_levels: int = 64) -> DataFrame:
-    """``nodes`` (node_id, parent_id, name, ...) with path, ancestors (root first), depth and qualified_name, level by level.
+def with_paths(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node_id, parent_id, name, ...) with path, ancestors (root first), depth and qualified_name, level by level until there is none.
 
-    Nodes on a parent cycle, or deeper than ``most_levels``, get null paths.
+    Nodes on a parent cycle, and below one, get null paths.
     """
     plain = nodes.drop("path", "ancestors", "depth", "qualified_name")
-    level = plain.where("parent_id is null").select("node_id", F.array("name").alias("path"), F.array().cast("array<long>").alias("ancestors"))
+    done = Grown(plain.where("parent_id is null").select("node_id", F.array("name").alias("path"), F.array().cast("array<long>").alias("ancestors")))
     links = plain.where("parent_id is not null").select("node_id", "parent_id", "name")
-    done = level
-    for _ in range(most_levels):
+    level = done.rows
+    while True:
         up = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("up_path"), F.col("ancestors").alias("up_ancestors"))
-        level = links.join(up, "parent_id").select("node_id", F.concat("up_path", F.array("name")).alias("path"), F.concat("up_ancestors", F.array("parent_id")).alias("ancestors")).cache()
+        level = settle(links.join(up, "parent_id").select("node_id", F.concat("up_path", F.array("name")).alias("path"), F.concat("up_ancestors", F.array("parent_id")).alias("ancestors")))
         if level.isEmpty():
             break
-        done = done.unionByName(level)
-    return plain.join(done, "node_id", "left").withColumns({"depth": F.size("ancestors"), "qualified_name": F.array_join("path", "::")})
+        done.add(level)
+    return plain.join(done.rows, "node_id", "left").withColumns({"depth": F.size("ancestors"), "qualified_name": F.array_join("path", "::")})
 
 
 def closure(nodes: DataFrame) -> DataFrame:

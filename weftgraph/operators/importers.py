@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import is_production_module_dep
@@ -19,27 +19,35 @@ def importer_partition(uses: DataFrame) -> DataFrame:
     return uses.groupBy("provider", "symbol").agg(F.sort_array(F.collect_set("consumer")).alias("consumers"))
 
 
+def set_id() -> Column:
+    """A consumer set's id: two independent hashes of its members in order."""
+    return F.struct(F.xxhash64("consumers").alias("a"), F.xxhash64(F.lit("second"), F.reverse("consumers")).alias("b"))
+
+
 def symbol_clusters(partition: DataFrame) -> DataFrame:
     """(provider, consumers, symbols): symbols that have the same consumer set."""
-    return partition.groupBy("provider", "consumers").agg(F.sort_array(F.collect_list("symbol")).alias("symbols"))
+    keyed = partition.withColumn("set_id", set_id())
+    return keyed.groupBy("provider", "set_id").agg(F.any_value("consumers").alias("consumers"), F.sort_array(F.collect_list("symbol")).alias("symbols")).drop("set_id")
 
 
 def deepest_common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(consumers, common): the deepest module that all of a set lie in (or are); none where they share a crate only.
+    """(set_id, common): the deepest module that all of a set lie in (or are); none where they share a crate only.
 
-    Relational division: ancestors are counted for each set, and one that all members have stays.
+    Relational division: ancestors are counted for each set, and one that all members have stays.  ``sets``: set_id, consumers.
     """
-    crate = nodes.select(F.col("node_id").alias("anc"), (F.col("kind") == "module").alias("module"), "depth")
+    crate = nodes.where("kind = 'module'").select(F.col("node_id").alias("anc"), "depth")
     line = nodes.select(F.col("node_id").alias("member"), F.explode(F.concat("ancestors", F.array("node_id"))).alias("anc"))
-    each = sets.select("consumers").distinct().select("consumers", F.size("consumers").alias("n"), F.explode("consumers").alias("member"))
-    shared = each.join(line, "member").join(crate.where("module"), "anc").groupBy("consumers", "n", "anc", "depth").agg(F.count("*").alias("have")).where("have = n")
-    return shared.groupBy("consumers").agg(F.max_by("anc", "depth").alias("common"))
+    whole = sets.dropDuplicates(["set_id"])
+    each = whole.select("set_id", F.size("consumers").alias("n"), F.explode("consumers").alias("member"))
+    shared = each.join(line, "member").join(crate, "anc").groupBy("set_id", "n", "anc", "depth").agg(F.count("*").alias("have")).where("have = n")
+    return shared.groupBy("set_id").agg(F.max_by("anc", "depth").alias("common"))
 
 
 def consumer_scopes(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     """``clusters`` with scope and scope_node: the single consumer, or the common ancestor that the provider lies outside of, else crate-wide."""
     above = nodes.select(F.col("node_id").alias("provider"), F.concat("ancestors", F.array("node_id")).alias("line"))
-    joined = clusters.join(deepest_common(clusters, nodes), "consumers", "left").join(above, "provider", "left")
+    clusters = clusters.withColumn("set_id", set_id())
+    joined = clusters.join(deepest_common(clusters.where(F.size("consumers") > 1).select("set_id", "consumers"), nodes), "set_id", "left").join(above, "provider", "left")
     one, outside = F.size("consumers") == 1, F.col("common").isNotNull() & ~F.coalesce(F.array_contains("line", F.col("common")), F.lit(False))
     scope = F.when(one, "single_consumer").when(outside, "common_ancestor").otherwise("crate_wide")
     node = F.when(one, F.get("consumers", F.lit(0))).when(outside, F.col("common"))

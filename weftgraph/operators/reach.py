@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import is_production_crate_dep, is_test_crate_dep
 from weftgraph.schema import CONTAINS, CRATE_DEP, DEV_DEP
-from weftgraph.scratch import settle
+from weftgraph.scratch import Grown, settle
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -17,15 +17,16 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     cut every round by a table in the shared folder.
     """
     edges = edges.select("src", "dst").distinct().cache()
-    seen = frontier = settle(seeds.select("node_id").where("node_id is not null").distinct())
+    seen = Grown(seeds.select("node_id").where("node_id is not null").distinct())
+    frontier = seen.rows
     while True:
         step = edges.join(frontier.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id")).distinct()
-        frontier = settle(step.join(seen, "node_id", "left_anti"))
+        frontier = settle(step.join(seen.rows, "node_id", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = settle(seen.union(frontier))
+        seen.add(frontier)
     edges.unpersist()
-    return seen
+    return seen.rows
 
 
 def entry_points(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import elide_cycle
 from weftgraph.operators.edges import usage_groups
-from weftgraph.scratch import settle
+from weftgraph.scratch import Grown, settle
 
 
 def relations(edges: DataFrame, node: int, position: DataFrame | None = None) -> DataFrame:
@@ -34,6 +34,13 @@ def search_symbols(edges: DataFrame, text: str) -> DataFrame:
     return named.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
 
 
+def search_refs(refs: DataFrame, text: str) -> DataFrame:
+    """``search_symbols`` from single references (src, dst, symbol), before they are summed up to edges."""
+    text = text.strip().lower()
+    named = refs.where((F.col("src") != F.col("dst")) & F.lower("symbol").contains(text) & F.lit(bool(text)))
+    return named.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+
+
 def search(nodes: DataFrame, edges: DataFrame, visible: DataFrame, text: str, scope: str = "all") -> DataFrame:
     """(node_id, match): visible nodes that match or hide a match; match: direct or inside."""
     kinds = {"all": ("crate", "module", "external"), "crate": ("crate",), "module": ("module",)}.get(scope, ())
@@ -83,11 +90,12 @@ def pinned_group(edges: DataFrame, nodes: DataFrame, node: int) -> DataFrame:
     inside = nodes.where((F.col("node_id") == node) | F.array_contains("ancestors", F.lit(node))).select("node_id")
     e = edges.select("src", "dst").join(inside.withColumnRenamed("node_id", "src"), "src", "left_semi").join(inside.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
     e = settle(e.union(e.select("dst", "src")).distinct())
-    seen = frontier = settle(inside.where(F.col("node_id") == node))
+    seen = Grown(inside.where(F.col("node_id") == node))
+    frontier = seen.rows
     while not frontier.isEmpty():
-        frontier = settle(e.join(frontier.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id")).distinct().join(seen, "node_id", "left_anti"))
-        seen = settle(seen.union(frontier))
-    return seen
+        frontier = settle(e.join(frontier.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id")).distinct().join(seen.rows, "node_id", "left_anti"))
+        seen.add(frontier)
+    return seen.rows
 
 
 def edge_panel(edges: DataFrame, src: int, dst: int) -> DataFrame:
@@ -96,6 +104,11 @@ def edge_panel(edges: DataFrame, src: int, dst: int) -> DataFrame:
     return groups.select("symbol", "module_path", F.size("locations").alias("n"), "locations", "via_reexport").orderBy(F.desc("n"), "symbol")
 
 
+def panel_totals(groups: DataFrame) -> DataFrame:
+    """One row of an edge panel's head: symbols that are named, and locations, each (file, line) once."""
+    return groups.agg(F.count_if(F.col("symbol") != "").alias("symbols"), F.size(F.array_distinct(F.flatten(F.collect_list("locations")))).alias("locations"))  # the groups of one relation
+
+
 def merged_groups(groups: DataFrame) -> DataFrame:
     """Groups of several relations as one: locations once a (file, line), the first module path."""
     return groups.groupBy("symbol").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("locations")))).alias("locations"), F.min("module_path").alias("module_path"))
@@ -109,6 +122,13 @@ def node_panel(edges: DataFrame, nodes: DataFrame, node: int) -> DataFrame:
     return named.withColumn("width", F.max(F.length("qualified_name")).over(Window.partitionBy("direction"))).orderBy("direction", F.desc("weight"), "other")
 
 
+def node_usage(edges: DataFrame, node: int) -> DataFrame:
+    """(direction, other, symbol, n): usage groups of all relations of a node, counted."""
+    of = F.when(F.col("dst") == node, F.struct(F.lit("in").alias("direction"), F.col("src").alias("other"))).otherwise(F.struct(F.lit("out").alias("direction"), F.col("dst").alias("other")))
+    groups = usage_groups(edges.where((F.col("src") == node) | (F.col("dst") == node)))
+    return groups.select(of.alias("of"), "symbol", F.size("locations").alias("n")).select("of.*", "symbol", "n")
+
+
 def short_labels(names: DataFrame) -> DataFrame:
     """(scc_id, node_id, label): the shortest trailing part of a qualified name that is unique in its component."""
     parts = names.select("scc_id", "node_id", F.split("qualified_name", "::").alias("p"))

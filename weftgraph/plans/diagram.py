@@ -13,8 +13,11 @@ from weftgraph.plans import sinks
 from weftgraph.schema import PropertyGraph
 
 
-def diagram(graph: PropertyGraph, form: str = "svg", expand_level: int | None = None, include_reexports: bool = False, changes: DataFrame | None = None) -> str:
-    """SVG or JSON of a graph; with ``expand_level`` only nodes nested up to it; ``changes`` (file, changes) add levels by file name."""
+def diagram(graph: PropertyGraph, form: str = "svg", expand_level: int | None = None, include_reexports: bool = False, changes: DataFrame | None = None, root: str = "", config: volatility.VolatilityConfig = volatility.VolatilityConfig()) -> str:
+    """SVG or JSON of a graph; with ``expand_level`` only nodes nested up to it.
+
+    ``changes`` (file, changes) add levels by the files of the graph's nodes, as seen from the folder ``root``.
+    """
     items = layout.layout_items(graph).cache()
     edges = layout.layout_edges(graph, items, include_reexports)
     if expand_level is not None:
@@ -22,7 +25,9 @@ def diagram(graph: PropertyGraph, form: str = "svg", expand_level: int | None =
         shown = items.select("node_id")
         edges = edges.join(shown.toDF("src"), "src", "left_semi").join(shown.toDF("dst"), "dst", "left_semi")
     if changes is not None:
-        items = volatility.enrich(items.withColumn("file", F.col("qualified_name")), changes).drop("file")
+        inside = root.rstrip("/") + "/" if root else ""
+        file = F.when(F.col("file").startswith(inside), F.substring("file", len(inside) + 1, 1 << 20)).otherwise(F.col("file"))
+        items = volatility.enrich(items.join(graph.nodes.select("node_id", file.alias("file")), "node_id", "left"), changes, config).drop("file")
     return sinks.diagram_svg(items, edges) if form == "svg" else sinks.diagram_json(items, edges)
 
 

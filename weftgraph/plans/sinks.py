@@ -64,12 +64,30 @@ def volatility_text(report: DataFrame, months: int) -> str:
     return head + "".join(f"{r['file']}  {r['changes']}  {r['score']:.2f}  {r['level']}\n" for r in rows)
 
 
-def diagram_json(items: DataFrame, edges: DataFrame) -> str:
-    """Nodes and arcs by id; fields without a value are left out."""
+def diagram_json(items: DataFrame, edges: DataFrame, cycles: DataFrame | None = None, clusters: DataFrame | None = None, scopes: DataFrame | None = None) -> str:
+    """Nodes and arcs by id; with ``cycles`` (scc_id, cycle_id, path), ``clusters`` (a cluster report) and ``scopes`` (consumer scopes) also these.
+
+    Fields without a value are left out.  A diagram is read as a whole, so its rows come together here.
+    """
     plain = lambda row: {k: v for k, v in row.asDict(True).items() if v not in (None, [], "")}
     nodes = {str(r["node_id"]): plain(r) for r in items.collect()}
     arcs = {f"{r['src']}-{r['dst']}": plain(r) for r in edges.collect()}
-    return json.dumps({"nodes": dict(sorted(nodes.items())), "arcs": dict(sorted(arcs.items()))}, ensure_ascii=False)
+    doc = {"nodes": dict(sorted(nodes.items())), "arcs": dict(sorted(arcs.items()))}
+    if cycles is not None:
+        rows = cycles.orderBy("scc_id", "path").collect()
+        doc["cycles"] = {str(r["cycle_id"]): {"scc": r["scc_id"], "nodes": r["path"], "arcs": [f"{a}-{b}" for a, b in zip(r["path"], r["path"][1:] + r["path"][:1], strict=True)]} for r in rows}
+    if clusters is not None:
+        doc["clusters"] = [plain(r) for r in clusters.orderBy("position").collect()]
+    if scopes is not None:
+        doc["symbol_scopes"] = [plain(r) for r in scopes.orderBy("provider", "symbols").collect()]
+    return json.dumps(doc, ensure_ascii=False)
+
+
+def read_diagram(text: str) -> dict:
+    """The data of ``diagram_json``, also out of a drawing that carries it."""
+    if text.lstrip().startswith("<svg"):
+        text = text[text.index("<![CDATA[") + 9 : text.rindex("]]></metadata>")].replace("]]]]><![CDATA[>", "]]>")
+    return json.loads(text)
 
 
 def diagram_svg(items: DataFrame, edges: DataFrame) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ from weftgraph.operators import rules as ru
 from weftgraph.operators import views as vi
 from weftgraph.operators import volatility as vo
 from weftgraph.schema import CONTAINS, CRATE_DEP, MODULE_DEP, PropertyGraph
+from weftgraph.scratch import shared_dir
 from weftgraph.sources import tables as t
+from weftgraph.sources.history import RECORD, change_log
+from weftgraph.sources.table_workspace import market
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,16 +48,17 @@ LINE = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipd
 BRAND_ALL = f"""follow AS (SELECT CAST(substr(p_brand, 7) AS BIGINT) AS src, lead(CAST(substr(p_brand, 7) AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY {LINE}) AS dst
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 brand_all AS (SELECT src, dst, count(*) AS weight FROM follow WHERE src <> dst GROUP BY ALL)"""
-BRAND = BRAND_ALL + """,
-g AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM brand_all) WHERE k <= 2)"""
+NET = """,
+g AS (SELECT x.src, x.dst, x.weight FROM {0} x LEFT JOIN {0} y ON x.src = y.dst AND x.dst = y.src WHERE x.weight > coalesce(y.weight, 0))"""
+BRAND = BRAND_ALL + NET.format("brand_all")
 NATION_ALL = """nation_all AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS weight
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY ALL)"""
-NATION = NATION_ALL + """,
-g AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM nation_all) WHERE k <= 2)"""
+NATION = NATION_ALL + NET.format("nation_all")
+SUPPLY = NATION_ALL + """,
+g AS (SELECT src, dst, weight FROM nation_all JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey WHERE a.n_regionkey < b.n_regionkey)"""
 USER = """follow AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events),
-user_all AS (SELECT src, dst, count(*) AS weight FROM follow WHERE src <> dst GROUP BY ALL),
-g AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM user_all) WHERE k <= 1)"""
+g AS (SELECT src, dst, count(*) AS weight FROM follow WHERE src <> dst GROUP BY ALL)"""
 #: SCC by closure, cyclic edges, breadth-first distances with the least predecessor as parent, paths, turned to their least node.
 CYCLES = """r AS (SELECT src AS a, dst AS b FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON r.b = g.src),
 scc AS (SELECT x.a AS node_id, min(x.b) AS scc_id FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
@@ -80,10 +85,6 @@ edge AS (SELECT src, dst, count(*) AS n_locations, bool_and(reexport) AS all_ree
 refsum AS (SELECT src, dst, count(DISTINCT symbol) AS refs FROM refs GROUP BY ALL)"""
 
 
-def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ed.aggregate_edges(t.trade_refs(spark, sf_dir))
-
-
 # --- edges
 
 
@@ -102,6 +103,12 @@ def dep_edges_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.user_edges(spark, sf_dir)
 
 
+@query(f"WITH {BRAND_ALL} SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM brand_all) WHERE k <= 2")
+def top_targets_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report: the two brands that follow each brand most."""
+    return ed.pick_top(t.brand_pairs(spark, sf_dir), 2)
+
+
 @query("""SELECT l_suppkey, l_partkey, arg_min(l_orderkey, (l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice)) AS l_orderkey,
   string_agg(l_linestatus, ',' ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_linestatus) AS features, bool_and(l_returnflag = 'R') AS via_reexport FROM lineitem GROUP BY l_suppkey, l_partkey""")
 def edge_dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,35 +120,36 @@ def edge_dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REFS} SELECT src, dst, CASE WHEN production THEN 'production' ELSE 'test' END AS ctx_kind, CASE WHEN NOT production THEN 'unit' END AS ctx_sub_kind, n_locations FROM edge")
 def edge_context_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return module_edges(spark, sf_dir).select("src", "dst", "ctx_kind", "ctx_sub_kind", F.size("locations").cast("long").alias("n_locations"))
+    return ed.edge_facts(t.trade_refs(spark, sf_dir)).select("src", "dst", "ctx_kind", "ctx_sub_kind", "n_locations")
 
 
 @query(f"WITH {REFS} SELECT src, dst, refs FROM refsum")
 def edge_symbol_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ed.edge_weights(module_edges(spark, sf_dir)).select("src", "dst", F.col("refs").cast("long").alias("refs"))
+    return ed.ref_weights(t.trade_refs(spark, sf_dir)).select("src", "dst", F.col("refs").cast("long").alias("refs"))
 
 
 @query(f"WITH {REFS} SELECT src, dst, production AND all_reexport AS reexport FROM edge")
 def reexport_edge_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return module_edges(spark, sf_dir).select("src", "dst", C.is_pure_reexport().alias("reexport"))
+    return ed.edge_facts(t.trade_refs(spark, sf_dir)).select("src", "dst", "reexport")
 
 
 @query(f"WITH {REFS} SELECT src, dst FROM edge WHERE production AND NOT all_reexport")
 def logic_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ed.logic_subgraph(module_edges(spark, sf_dir))
+    return ed.edge_facts(t.trade_refs(spark, sf_dir)).where(C.is_production_module_dep() & ~F.col("reexport")).select("src", "dst")
 
 
-@query(f"""WITH {NATION_ALL}, told AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity > 49 AND o_orderstatus = 'F' AND l_discount > 0.08)
-SELECT src, dst FROM nation_all WHERE NOT EXISTS (SELECT 1 FROM told WHERE told.src = nation_all.src AND told.dst = nation_all.dst)""")
+@query("""WITH c AS (SELECT o_custkey + 1000000 AS src, l_suppkey + 2000000000 AS dst, bool_or(l_returnflag = 'R') AS told FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT src, dst FROM c WHERE NOT told""")
 def crate_dep_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crates = t.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.lit(None).cast("long").alias("crate_id"))
-    modules = t.table(spark, sf_dir, "customer").select((F.col("c_custkey") + t.CUSTOMER).alias("node_id"), F.col("c_nationkey").cast("long").alias("crate_id"))
-    makers = t.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + t.SUPPLIER).alias("node_id"), F.col("s_nationkey").cast("long").alias("crate_id"))
-    few = t.trade(spark, sf_dir).where("l_quantity > 49 and o_orderstatus = 'F' and l_discount > 0.08")
-    deps = few.select((F.col("c_custkey") + t.CUSTOMER).alias("src"), (F.col("l_suppkey") + t.SUPPLIER).alias("dst")).distinct()
-    edges = t.as_edges(t.nation_pairs(spark, sf_dir), CRATE_DEP).unionByName(t.as_edges(deps))
-    kept = ed.suppress_implied_crate_deps(edges, crates.union(modules).union(makers))
+    """Customers and suppliers are crates, orders modules of their customers; what was returned is a module dependency."""
+    none = F.lit(None).cast("long")
+    makers = t.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + t.SUPPLIER).alias("node_id"), none.alias("crate_id"))
+    customers = t.table(spark, sf_dir, "customer").select((F.col("c_custkey") + t.CUSTOMER).alias("node_id"), none.alias("crate_id"))
+    orders = t.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + t.ORDER).alias("node_id"), (F.col("o_custkey") + t.CUSTOMER).alias("crate_id"))
+    lines = t.table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") + t.SUPPLIER).alias("dst"), "l_returnflag").join(t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    crates = t.as_edges(lines.select((F.col("o_custkey") + t.CUSTOMER).alias("src"), "dst").distinct(), CRATE_DEP)
+    modules = t.as_edges(lines.where("l_returnflag = 'R'").select((F.col("l_orderkey") + t.ORDER).alias("src"), "dst").distinct())
+    kept = ed.suppress_implied_crate_deps(crates.unionByName(modules), makers.union(customers).union(orders))
     return kept.where(F.col("edge_type") == CRATE_DEP).select("src", "dst")
 
 
@@ -168,7 +176,7 @@ def incoming_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REFS} SELECT src, dst, symbol, count(DISTINCT (file, line)) AS n, bool_and(l.reexport) AS via_reexport FROM refs JOIN loc l USING (src, dst, file, line) GROUP BY ALL")
 def usage_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ed.usage_groups(module_edges(spark, sf_dir)).select("src", "dst", "symbol", F.size("locations").cast("long").alias("n"), "via_reexport")
+    return ed.usage_counts(t.trade_refs(spark, sf_dir))
 
 
 # --- hierarchy
@@ -223,7 +231,7 @@ SELECT CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst, count(*) AS arcs, CAS
 
 
 def _rolled(spark: SparkSession, sf_dir: str, collapsed: F.Column) -> DataFrame:
-    edges = module_edges(spark, sf_dir).select("src", "dst", F.size("locations").cast("long").alias("usages"), F.when(F.col("src") < F.col("dst"), "downward").otherwise("upward").alias("direction"))
+    edges = ed.edge_facts(t.trade_refs(spark, sf_dir)).select("src", "dst", F.col("n_locations").alias("usages"), F.when(F.col("src") < F.col("dst"), "downward").otherwise("upward").alias("direction"))
     visible = hi.visible_by_flag(t.place_nodes(spark, sf_dir, levels=3).withColumn("collapsed", collapsed))
     return hi.roll_up(edges, visible).withColumn("stroke", F.round("stroke", 6))
 
@@ -246,33 +254,34 @@ def reach_from_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.reachable(t.brand_edges(spark, sf_dir), spark.range(1, 2).toDF("node_id"))
 
 
-FEATURES = "SELECT CAST(substr(p_brand, 7) AS BIGINT) AS node_id, p_brand AS name, p_type AS feature FROM part WHERE p_size = 1 AND p_retailprice < 905"
+FEATURES = "SELECT CAST(substr(p_brand, 7) AS BIGINT) AS node_id, p_brand AS name, p_type || p_size AS feature FROM part"
 
 
-@query(f"""WITH RECURSIVE {BRAND}, m AS ({FEATURES}), r AS (SELECT DISTINCT node_id FROM m WHERE feature = 'PROMO' OR (name = 'Brand#3' AND feature = 'ECONOMY')
+@query(f"""WITH RECURSIVE {BRAND}, m AS ({FEATURES}), r AS (SELECT DISTINCT node_id FROM m WHERE feature = 'PROMO7' OR (name = 'Brand#3' AND feature = 'ECONOMY1')
 UNION SELECT g.dst FROM r JOIN g ON g.src = r.node_id) SELECT node_id FROM r""")
 def feature_seed_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = t.table(spark, sf_dir, "part").where("p_size = 1 and p_retailprice < 905")
-    members = some.groupBy(t.brand_id().alias("node_id"), F.col("p_brand").alias("name")).agg(F.collect_set("p_type").alias("features"))
-    return re_.feature_reachable(members, t.brand_edges(spark, sf_dir), ["PROMO", "Brand#3/ECONOMY"])
+    parts = t.table(spark, sf_dir, "part")
+    members = parts.groupBy(t.brand_id().alias("node_id"), F.col("p_brand").alias("name")).agg(F.collect_set(F.concat("p_type", "p_size")).alias("features"))
+    return re_.feature_reachable(members, t.brand_edges(spark, sf_dir), ["PROMO7", "Brand#3/ECONOMY1"])
 
 
 def _crates(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     nodes = t.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.lit("crate").alias("kind"))
-    inside = t.table(spark, sf_dir, "customer").where("c_nationkey < 3").select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") + t.CUSTOMER).alias("dst"))
-    return PropertyGraph(nodes, t.as_edges(t.nation_edges(spark, sf_dir), CRATE_DEP).unionByName(t.as_edges(inside, CONTAINS)))
+    home = t.trade(spark, sf_dir).where("c_nationkey = s_nationkey").select(F.col("c_nationkey").cast("long").alias("src"), (F.col("l_suppkey") + t.SUPPLIER).alias("dst"))
+    inside = home.distinct()  # suppliers that sell in their own nation
+    return PropertyGraph(nodes, t.as_edges(t.supply_edges(spark, sf_dir), CRATE_DEP).unionByName(t.as_edges(inside, CONTAINS)))
 
 
 ENTRY = "entry AS (SELECT DISTINCT src AS node_id FROM g WHERE src NOT IN (SELECT dst FROM g))"
 
 
-@query(f"WITH {NATION}, {ENTRY} SELECT node_id FROM entry")
+@query(f"WITH {SUPPLY}, {ENTRY} SELECT node_id FROM entry")
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _crates(spark, sf_dir)
     return re_.entry_points(g.edges, g.nodes)
 
 
-@query(f"WITH RECURSIVE {NATION}, {ENTRY}, s AS (SELECT node_id FROM entry UNION SELECT CAST(c_nationkey AS BIGINT) FROM customer WHERE c_nationkey < 3), r AS (SELECT node_id FROM s UNION SELECT g.dst FROM r JOIN g ON g.src = r.node_id) SELECT node_id FROM r")
+@query(f"WITH RECURSIVE {SUPPLY}, {ENTRY}, s AS (SELECT node_id FROM entry UNION SELECT CAST(c_nationkey AS BIGINT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey = s_nationkey), r AS (SELECT node_id FROM s UNION SELECT g.dst FROM r JOIN g ON g.src = r.node_id) SELECT node_id FROM r")
 def production_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _crates(spark, sf_dir)
     return re_.production_reachable(g.edges, g.nodes)
@@ -296,6 +305,12 @@ def minimal_cycles_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cy.minimal_cycles(t.brand_edges(spark, sf_dir)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
 
 
+@query(f"WITH RECURSIVE {NATION}, {CYCLES} SELECT scc_id, array_to_string(ns, ',') AS path FROM cycle")
+def minimal_cycles_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way of large components, whose searches are joins."""
+    return cy.minimal_cycles(t.nation_edges(spark, sf_dir), kernel_steps=0).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+
+
 @query(f"WITH RECURSIVE {BRAND}, {CYCLES} SELECT src, dst, CAST(min(len(ns)) AS INTEGER) AS length FROM arcs GROUP BY src, dst")
 def minimal_cycle_length_per_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycles = cy.minimal_cycles(t.brand_edges(spark, sf_dir))
@@ -335,7 +350,7 @@ def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = t.brand_graph(spark, sf_dir).cache()
     components = cy.strong_components(g.edges).cache()
     weights = t.brand_edges(spark, sf_dir).select("src", "dst", F.col("weight").alias("refs"))
-    found = fb.feedback_edges(g.edges, components, weights, g.nodes.select("node_id", "qualified_name"))
+    found = fb.feedback_edges(g.edges, components, weights, g.nodes.select("node_id", "qualified_name"), fb.removal_bias(g.edges, g.nodes))
     return fb.cluster_report(found, cy.minimal_cycles(g.edges, components), components, g.nodes)
 
 
@@ -451,9 +466,17 @@ def search_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vi.search_nodes(t.place_nodes(spark, sf_dir), "  Nation_1 ")
 
 
+@query(f"WITH {REFS} SELECT src, dst, n_locations, all_reexport AND production AS reexport, l.first_file FROM edge JOIN (SELECT src, dst, min(file || ':' || line) AS first_file FROM refs GROUP BY ALL) l USING (src, dst)")
+def edge_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges with all their locations, of which the sinks make use; here their number and the least of them."""
+    edges = ed.aggregate_edges(t.trade_refs(spark, sf_dir))
+    least = F.array_min(F.transform("locations", lambda x: F.concat_ws(":", x["file"], x["line"].cast("string"))))
+    return edges.select("src", "dst", F.size("locations").cast("long").alias("n_locations"), C.is_pure_reexport().alias("reexport"), least.alias("first_file"))
+
+
 @query(f"WITH {REFS}, hit AS (SELECT DISTINCT src, dst FROM refs WHERE contains(lower(symbol), 'promo')) SELECT src AS node_id FROM hit UNION SELECT dst FROM hit")
 def search_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vi.search_symbols(module_edges(spark, sf_dir), "promo")
+    return vi.search_refs(t.trade_refs(spark, sf_dir), "promo")
 
 
 @query("SELECT p_name AS name, count(*) AS versions FROM part GROUP BY p_name HAVING count(*) > 1")
@@ -513,13 +536,111 @@ def layout_arcs_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT page_id, string_split(regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^https?://', ''), '/') AS ps FROM pages),
-k AS (SELECT DISTINCT array_to_string(ps[:2], '/') AS prefix FROM s WHERE page_id % 3 = 0 UNION SELECT DISTINCT ps[1] FROM s WHERE page_id % 2 = 0),
+k AS (SELECT array_to_string(ps[:n], '/') AS prefix FROM s, (SELECT unnest([1, 2, 3]) AS n) WHERE n <= len(ps) GROUP BY 1 HAVING count(*) > 1),
 c AS (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS n FROM s),
 b AS (SELECT page_id, max(n) AS n FROM c JOIN k ON array_to_string(ps[:n], '/') = prefix GROUP BY page_id)
 SELECT s.page_id, CASE WHEN b.n IS NULL THEN ps[1] ELSE array_to_string(ps[:b.n], '/') END AS prefix, CAST(coalesce(b.n, 1) AS INTEGER) AS n FROM s LEFT JOIN b USING (page_id)""")
 def longest_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known prefixes: host and first part of every third page, hosts of every second."""
+    """Known prefixes: of one to three parts, those that two pages or more share."""
     path = F.regexp_replace(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), "^https?://", "")
     pages = t.table(spark, sf_dir, "pages").select("page_id", F.split(path, "/").alias("ps"))
-    known = pages.where("page_id % 3 = 0").select(F.array_join(F.slice("ps", 1, 2), "/").alias("prefix")).union(pages.where("page_id % 2 = 0").select(F.get("ps", F.lit(0))))
+    some = pages.select("ps", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size("ps")))).alias("n"))
+    known = some.groupBy(F.array_join(F.slice("ps", F.lit(1), F.col("n")), "/").alias("prefix")).agg(F.count("*").alias("pages")).where("pages > 1").select("prefix")
     return lo.longest_prefix(pages, "page_id", "ps", known, "/").select("page_id", "prefix", "n")
+
+
+@query(f"""WITH {NATION}, s AS (SELECT src, dst, 0.5 + 2.0 * ln(least(weight, 50)) / ln(50) AS w FROM g)
+SELECT src, dst, round(w / 1.5, 6) AS scale, round(w * 1.3, 6) AS highlight, round(w * 4, 6) AS shadow, round(1.5 * w, 6) AS overhang, round(greatest(0.0, 100 - 3 * w), 6) AS visible, round(-1.5 * w, 6) AS dash FROM s""")
+def arc_shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrow scale, highlight and shadow of the nations' arcs, for paths of 100 units."""
+    arcs = t.nation_edges(spark, sf_dir).withColumn("stroke", C.stroke_width(F.col("weight")))
+    x = C.shadow(F.col("stroke"), F.lit(100.0))
+    r = lambda c: F.round(c, 6)
+    return arcs.select("src", "dst", r(C.arrow_scale(F.col("stroke"))).alias("scale"), r(C.highlight_width(F.col("stroke"))).alias("highlight"), r(x["width"]).alias("shadow"), r(x["overhang"]).alias("overhang"), r(x["visible"]).alias("visible"), r(x["offset"]).alias("dash"))
+
+
+@query(f"WITH {PLACES} SELECT node_id, CASE WHEN depth > 0 THEN split_part(qualified_name, '::', 1) END AS crate, CASE WHEN depth > 0 THEN substr(qualified_name, length(split_part(qualified_name, '::', 1)) + 3) ELSE qualified_name END AS path FROM nodes")
+def qualified_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.place_nodes(spark, sf_dir).select("node_id", C.qualified_parts(F.col("path"), F.col("kind")).alias("x")).select("node_id", "x.crate", "x.path")
+
+
+@query(f"""WITH {REFS} SELECT src, dst, CASE WHEN c_nationkey + 100 = dst THEN 'upward' ELSE 'downward' END AS direction FROM edge JOIN customer ON src = c_custkey + 1000000""")
+def hierarchy_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' use of nations: upward in their own."""
+    nodes = t.place_nodes(spark, sf_dir, levels=3).select(F.col("node_id").alias("src"), "ancestors")
+    return ed.edge_facts(t.trade_refs(spark, sf_dir)).join(nodes, "src").select("src", "dst", C.hierarchy_direction(F.col("src"), F.col("dst"), F.col("ancestors")).alias("direction"))
+
+
+# --- the workspace source, over sources that the tables spell out
+
+MARKET = """places AS (SELECT n_nationkey AS k, replace(lower(r_name), ' ', '-') AS crate, replace(lower(r_name), ' ', '_') AS code, lower(n_name) AS nation FROM nation JOIN region ON n_regionkey = r_regionkey),
+bought AS (SELECT DISTINCT o_custkey AS c, s_nationkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
+module AS (SELECT DISTINCT code, code AS module, '/market/' || crate || '/src/lib.rs' AS file FROM places
+  UNION ALL SELECT code, code || '::' || nation, '/market/' || crate || '/src/' || nation || '.rs' FROM places
+  UNION ALL SELECT code, code || '::' || nation || '::c' || c_custkey, '/market/' || crate || '/src/' || nation || '/c' || c_custkey || '.rs' FROM customer JOIN places ON c_nationkey = k),
+uses AS (SELECT b.code || '::' || b.nation || '::c' || c AS module, s.code || '::' || s.nation AS target, 'Port' || s.k AS item, b.code AS code, s.code AS to_code FROM bought JOIN customer ON c = c_custkey JOIN places b ON c_nationkey = b.k JOIN places s ON bought.k = s.k)"""
+
+
+@query(f"""WITH {MARKET}, f AS (SELECT '/market/' || crate || '/src/lib.rs' AS file, 'mod' AS fact FROM places UNION ALL SELECT '/market/' || crate || '/src/lib.rs', 'use' FROM places
+UNION ALL SELECT '/market/' || crate || '/src/' || nation || '.rs', 'mod' FROM customer JOIN places ON c_nationkey = k UNION ALL SELECT '/market/' || crate || '/src/' || nation || '.rs', unnest(['use', 'def']) FROM places
+UNION ALL SELECT m.file, 'use' FROM uses JOIN module m USING (module))
+SELECT file, fact, count(*) AS n FROM f GROUP BY ALL""")
+def workspace_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scanner finds in each file."""
+    return market(spark, sf_dir).facts.groupBy("file", "fact").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MARKET} SELECT code AS crate, module, file, false AS test FROM module")
+def workspace_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The module tree, from the roots on by declarations and the files there are."""
+    return market(spark, sf_dir).tree.select("crate", "module", "file", "test")
+
+
+@query(f"""WITH {MARKET}, c AS (SELECT DISTINCT crate, code FROM places)
+SELECT a.crate AS name, a.code AS code_name, '/market/' || a.crate || '/src/lib.rs' AS lib_root, (SELECT string_agg(b.crate, ',' ORDER BY b.crate) FROM c b WHERE b.crate <> a.crate) AS dependencies, 'serde 1.0.0' AS externals FROM c a""")
+def workspace_crates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members with their roots, their dependencies inside the workspace, and the externals."""
+    w = market(spark, sf_dir)
+    outside = w.metadata.external_links().join(w.externals.withColumnRenamed("id", "to_id"), "to_id").groupBy(F.col("from_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(" ", "name", "version"))), ",").alias("externals"))
+    return w.crates.join(outside, "id").select("name", "code_name", "lib_root", F.array_join("dependencies", ",").alias("dependencies"), "externals")
+
+
+@query(f"WITH {MARKET} SELECT code || '::' || nation AS module, 'Port' || k AS name, 'definition' AS kind, NULL AS to_module FROM places UNION ALL SELECT code, 'Port' || k, 're-export', code || '::' || nation FROM places")
+def workspace_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that modules define, and those that they re-export from others."""
+    found = market(spark, sf_dir).exports
+    own = found["definitions"].select("module", "name", F.lit("definition").alias("kind"), F.lit(None).cast("string").alias("to_module"))
+    return own.union(found["reexports"].select("module", "name", F.lit("re-export"), "to_module"))
+
+
+@query(f"""WITH {MARKET} SELECT module, target AS target_module, NULL AS external, item, false AS via_reexport FROM uses
+UNION ALL SELECT code, code || '::' || nation, NULL, 'Port' || k, true FROM places UNION ALL SELECT code || '::' || nation, NULL, 'id-serde', NULL, false FROM places""")
+def workspace_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References, resolved and followed through re-exports to where the names are defined."""
+    return market(spark, sf_dir).refs.select("module", "target_module", "external", "item", "via_reexport")
+
+
+@query(f"""WITH {MARKET}, n AS (SELECT module, replace(module, code, c.crate) AS name FROM module JOIN (SELECT DISTINCT crate, code FROM places) c USING (code) WHERE starts_with(module, code))
+SELECT x.name AS src, y.name AS dst, 'module_dep' AS edge_type, 1 AS n_locations FROM uses JOIN n x USING (module) JOIN n y ON y.module = target
+UNION ALL SELECT DISTINCT x.name, y.name, 'module_dep', (SELECT count(*) FROM places z WHERE z.k = p.k) FROM places p JOIN n x ON x.module = p.code JOIN n y ON y.module = p.code || '::' || p.nation
+UNION ALL SELECT p.crate || '::' || p.nation, 'serde', 'module_dep', 1 FROM places p
+UNION ALL SELECT DISTINCT a.crate, b.crate, 'crate_dep', 0 FROM places a JOIN places b ON a.crate <> b.crate UNION ALL SELECT DISTINCT crate, 'serde', 'crate_dep', 0 FROM places
+UNION ALL SELECT crate, crate || '::' || nation, 'contains', 0 FROM places UNION ALL SELECT crate || '::' || nation, crate || '::' || nation || '::c' || c_custkey, 'contains', 0 FROM customer JOIN places ON c_nationkey = k""")
+def workspace_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges of the workspace's graph, by the names of their ends."""
+    g = market(spark, sf_dir).graph()
+    name = g.nodes.select("node_id", F.col("qualified_name").alias("name"))
+    return g.edges.join(name.toDF("src", "s"), "src").join(name.toDF("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "edge_type", F.size("locations").cast("long").alias("n_locations"))
+
+
+@query("SELECT 'crates/part' || l_partkey || '.rs' AS file, count(*) AS changes FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_shipdate >= (SELECT date_trunc('day', max(l_shipdate)) - INTERVAL 6 MONTH FROM lineitem) GROUP BY 1")
+def history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log reader: order lines written as records of a log, read back and counted."""
+    lines = t.table(spark, sf_dir, "lineitem")
+    status = F.when(F.col("l_returnflag") == "N", "D").when(F.col("l_returnflag") == "R", F.concat(F.lit("R100\told"), "l_partkey", F.lit(".rs"))).otherwise("A")
+    line = F.concat_ws("\t", status, F.concat(F.lit("crates/part"), "l_partkey", F.lit(".rs")))
+    record = F.concat(F.lit(RECORD), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit("\n"), line, F.lit("\nM\tREADME.md\n"))
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    lines.select(record.alias("value")).write.text(path)
+    last = lines.agg(F.to_date(F.max("l_shipdate")).alias("d")).first()["d"]
+    return vo.change_counts(change_log(spark, path), now=F.lit(last))

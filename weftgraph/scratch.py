@@ -23,3 +23,17 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """A table that rounds add to: each round writes its own rows only, and every ``fold`` rounds they are written as one."""
+
+    def __init__(self, first: DataFrame, fold: int = 16):
+        self.rows, self.fold, self.added = settle(first), fold, 0
+
+    def add(self, rows: DataFrame) -> None:
+        """``rows``: settled ones, in the same columns."""
+        self.rows = self.rows.unionByName(rows)
+        self.added += 1
+        if self.added % self.fold == 0:
+            self.rows = settle(self.rows)

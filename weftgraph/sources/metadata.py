@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import normalize_crate_name
-from weftgraph.scratch import settle
+from weftgraph.scratch import Grown, settle
 
 SCHEMA = (
     "packages array<struct<name:string,version:string,id:string,source:string,manifest_path:string,features:map<string,array<string>>,"
@@ -19,8 +19,9 @@ LIBRARY_KINDS = ("lib", "rlib", "dylib", "cdylib", "staticlib", "proc-macro")
 class Metadata:
     """The tables of one metadata document."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        doc = spark.read.schema(SCHEMA).json(path, multiLine=True)
+    def __init__(self, spark: SparkSession, source: str | DataFrame):
+        """``source``: the path of a document, or documents of ``SCHEMA`` read already."""
+        doc = spark.read.schema(SCHEMA).json(source, multiLine=True) if isinstance(source, str) else source
         if doc.where("resolve is not null").isEmpty():
             raise ValueError("the metadata has no resolve section")
         self.packages = doc.select(F.explode("packages").alias("p")).select("p.*")
@@ -51,14 +52,14 @@ class Metadata:
         if not transitive:
             return direct
         onward = self.deps.where("to_source is not null and kind = 'normal'").select("from_id", "to_id", "kind")
-        out = settle(direct)
-        seen = frontier = settle(direct.select(F.col("to_id").alias("id")).distinct())
+        out, seen = Grown(direct), Grown(direct.select(F.col("to_id").alias("id")).distinct())
+        frontier = seen.rows
         while not frontier.isEmpty():
             step = settle(onward.join(frontier.withColumnRenamed("id", "from_id"), "from_id", "left_semi"))
-            out = settle(out.union(step).distinct())
-            frontier = settle(step.select(F.col("to_id").alias("id")).distinct().join(seen, "id", "left_anti"))
-            seen = settle(seen.union(frontier))
-        return out
+            out.add(step)
+            frontier = settle(step.select(F.col("to_id").alias("id")).distinct().join(seen.rows, "id", "left_anti"))
+            seen.add(frontier)
+        return out.rows.distinct()
 
     def externals(self, transitive: bool = False) -> DataFrame:
         """(id, name, version, is_direct) of the external packages in use."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.edges import pick_top
 from weftgraph.operators.hierarchy import with_paths
 from weftgraph.schema import MODULE_DEP, PRODUCTION, PropertyGraph
 
@@ -21,12 +20,23 @@ def brand_id() -> F.Column:
     return F.substring("p_brand", 7, 10).cast("long")
 
 
-def brand_edges(spark: SparkSession, sf_dir: str, top: int = 2) -> DataFrame:
+def net(pairs: DataFrame) -> DataFrame:
+    """The pairs (src, dst, weight) that outweigh their way back."""
+    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("back"))
+    return pairs.join(back, ["src", "dst"], "left").where(F.col("weight") > F.coalesce("back", F.lit(0))).drop("back")
+
+
+def brand_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, weight): which brand follows which within an order."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), brand_id().alias("brand"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER).join(parts, "l_partkey")
     following = lines.select(F.col("brand").alias("src"), F.lead("brand").over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).alias("dst"))
-    return pick_top(following.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight")), top)
+    return following.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, weight): which brand mostly follows which."""
+    return net(brand_pairs(spark, sf_dir))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +52,19 @@ def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("weight"))
 
 
-def nation_edges(spark: SparkSession, sf_dir: str, top: int = 2) -> DataFrame:
-    """(src, dst, weight): customers' nation to suppliers' nation."""
-    return pick_top(nation_pairs(spark, sf_dir), top)
+def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, weight): customers' nation to suppliers' nation, the way that more is traded."""
+    return net(nation_pairs(spark, sf_dir))
+
+
+def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, weight): customers' nation to suppliers' nation of a region further on."""
+    region = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.col("n_regionkey").alias("region"))
+    placed = nation_pairs(spark, sf_dir).join(region.toDF("src", "from"), "src").join(region.toDF("dst", "to"), "dst")
+    return placed.where(F.col("from") < F.col("to")).select("src", "dst", "weight")
 
 
-def user_edges(spark: SparkSession, sf_dir: str, top: int = 1) -> DataFrame:
+def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, weight): whose event follows whose, over all events in order.
 
     Days are windows of their own; the last event of a day is followed by the first of the next day that has
@@ -59,7 +76,7 @@ def user_edges(spark: SparkSession, sf_dir: str, top: int = 1) -> DataFrame:
     ends = events.groupBy("day").agg(F.min_by("user_id", F.struct(*order)).alias("first"), F.max_by("user_id", F.struct(*order)).alias("last"))
     across = ends.select("day", F.col("last").alias("src"), F.lead("first").over(Window.orderBy("day")).alias("dst"))
     both = inside.where("dst is not null").union(across)
-    return pick_top(both.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight")), top)
+    return both.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def place_nodes(spark: SparkSession, sf_dir: str, levels: int = 4, suppliers: bool = False) -> DataFrame:

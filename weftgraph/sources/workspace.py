@@ -8,6 +8,7 @@ crates and externals; re-exports are followed by pointer jumping until nothing m
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,11 +19,10 @@ from weftgraph.operators.hierarchy import with_paths
 from weftgraph.operators.lookup import longest_prefix
 from weftgraph.operators.reach import feature_reachable
 from weftgraph.schema import CONTAINS, CRATE_DEP, DEV_DEP, PRODUCTION, TEST, PropertyGraph
-from weftgraph.scratch import settle
+from weftgraph.scratch import Grown, settle
 from weftgraph.sources.metadata import Metadata, source_files
 from weftgraph.sources.rust_text import facts
 
-MOST_LEVELS, MOST_HOPS = 64, 32
 EXPORTED = ("pub", "pub(crate)", "pub(super)")
 
 
@@ -42,24 +42,25 @@ def _folder(path: Column) -> Column:
 def module_tree(crates: DataFrame, declared: DataFrame, files: DataFrame, include_tests: bool) -> DataFrame:
     """(crate, module, file, test): every module of every crate; one file may serve several roots, a module is listed once.
 
-    ``declared``: mod facts.  A declaration without a file is left out.
+    ``declared``: mod facts.  A declaration without a file is left out, and so is one whose file is being read already further up.
     """
-    roots = crates.select(F.col("code_name").alias("crate"), F.col("code_name").alias("module"), F.explode(F.filter(F.concat(F.array("lib_root"), "bin_roots"), lambda x: x.isNotNull())).alias("file"), F.lit(False).alias("test"), F.lit(True).alias("root"))
+    roots = crates.select(F.col("code_name").alias("crate"), F.col("code_name").alias("module"), F.explode(F.filter(F.concat(F.array("lib_root"), "bin_roots"), lambda x: x.isNotNull())).alias("file"), F.lit(False).alias("test"), F.lit(True).alias("root")).withColumn("above", F.array("file"))
     known = files.select(F.col("file"), F.lit(True).alias("there"))
     mods = declared.where(F.lit(include_tests) | ~F.col("is_test")).select(F.col("file"), "name", F.col("detail").alias("set_path"), "is_test")
-    level = settle(roots)
-    out = level
-    for _ in range(MOST_LEVELS):
+    out = Grown(roots)
+    level = out.rows
+    while True:
         child = level.join(mods, "file").withColumn("folder", _folder(F.col("file")))
         inner = F.when(F.col("root") | F.col("file").rlike("/(mod|lib|main)\\.rs$"), F.col("folder")).otherwise(F.regexp_replace("file", "\\.rs$", ""))
         options = F.when(F.col("set_path").isNotNull(), F.array(F.concat_ws("/", "folder", "set_path"))).otherwise(F.array(F.concat(inner, F.lit("/"), "name", F.lit(".rs")), F.concat(inner, F.lit("/"), "name", F.lit("/mod.rs"))))
-        tried = child.select("crate", F.concat_ws("::", "module", "name").alias("module"), (F.col("test") | F.col("is_test")).alias("test"), F.posexplode(options).alias("nth", "file"))
-        found = tried.join(known, "file").groupBy("crate", "module").agg(F.min_by(F.struct("file", "test"), "nth").alias("x"))
-        level = settle(found.select("crate", "module", "x.file", "x.test", F.lit(False).alias("root")))
+        tried = child.select("crate", F.concat_ws("::", "module", "name").alias("module"), (F.col("test") | F.col("is_test")).alias("test"), "above", F.posexplode(options).alias("nth", "file"))
+        found = tried.join(known, "file").groupBy("crate", "module").agg(F.min_by(F.struct("file", "test", "above"), "nth").alias("x"))
+        new = found.select("crate", "module", "x.file", "x.test", F.lit(False).alias("root"), F.col("x.above").alias("above")).where(~F.array_contains("above", F.col("file")))
+        level = settle(new.withColumn("above", F.concat("above", F.array("file"))))
         if level.isEmpty():
             break
-        out = out.unionByName(level)
-    return settle(out.select("crate", "module", "file", "test").distinct())
+        out.add(level)
+    return settle(out.rows.select("crate", "module", "file", "test").distinct())
 
 
 def integration_tests(crates: DataFrame, files: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def follow_reexports(rows: DataFrame, exports: dict[str, DataFrame]) -> DataFram
     step = lambda df, tag: df.groupBy("module", "name").agg(F.min(F.struct("to_module", "to_name")).alias(tag)).withColumnsRenamed({"module": "target_module", "name": "look"})
     explicit, private, glob = step(exports["reexports"], "one"), step(exports["private_uses"], "two"), step(exports["glob_exports"], "three")
     state = settle(rows.select("rid", F.col("module").alias("importer"), "target_module", F.col("item").alias("look"), F.array("target_module").alias("visited")))
-    for _ in range(MOST_HOPS):
+    while True:  # no module is visited twice
         joined = state.join(defined, ["target_module", "look"], "left").join(explicit, ["target_module", "look"], "left").join(private, ["target_module", "look"], "left").join(glob, ["target_module", "look"], "left")
         inside = (F.col("importer") == F.col("target_module")) | F.col("importer").startswith(F.concat("target_module", F.lit("::")))
         to = F.when(F.col("defined"), None).otherwise(F.coalesce("one", F.when(inside, F.col("two")), "three"))
@@ -129,31 +130,59 @@ def follow_reexports(rows: DataFrame, exports: dict[str, DataFrame]) -> DataFram
 
 
 class Workspace:
-    """The tables of a workspace, made from a metadata document and a folder of sources."""
+    """The tables of a workspace, each made when it is first asked for.
 
-    def __init__(self, spark: SparkSession, metadata_path: str, root: str, options: WorkspaceOptions = WorkspaceOptions()):
+    ``metadata``: the path of a metadata document, or documents read already; ``sources``: a folder of sources, or their (file, text).
+    """
+
+    def __init__(self, spark: SparkSession, metadata: str | DataFrame, sources: str | DataFrame, options: WorkspaceOptions = WorkspaceOptions()):
         self.spark, self.options = spark, options
-        self.metadata = Metadata(spark, metadata_path)
-        self.crates = settle(self._chosen())
-        files = source_files(spark, root)
-        # crates are chosen before any file is scanned
+        self.metadata = Metadata(spark, metadata)
+        self.sources = source_files(spark, sources) if isinstance(sources, str) else sources
+
+    @cached_property
+    def crates(self) -> DataFrame:
+        return settle(self._chosen())
+
+    @cached_property
+    def _tests(self) -> DataFrame:
+        return integration_tests(self.crates, self.sources)
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """The files of the crates that were chosen: these come first, so that others are never scanned."""
         folders = self.crates.select(F.explode(F.filter(F.concat(F.array("lib_root"), "bin_roots"), lambda x: x.isNotNull())).alias("r")).select(_folder(F.col("r")).alias("folder")).distinct()
-        mine = files.join(folders, F.col("file").startswith(F.concat("folder", F.lit("/"))), "left_semi")
-        extra = integration_tests(self.crates, files)
-        if options.include_tests:
-            mine = mine.union(files.join(extra.select("file").distinct(), "file", "left_semi").select("file", "text")).dropDuplicates(["file"])
-        self.files = settle(mine.withColumn("crate", F.lit("")))
-        self.facts = settle(facts(self.files))
-        self.errors = self.facts.where("fact = 'error'")
-        self.tree = module_tree(self.crates, self.facts.where("fact = 'mod'"), self.files, options.include_tests)
-        if options.include_tests:
-            self.tree = settle(self.tree.union(extra.select("crate", "module", "file", "test")))
-        if options.externals:
-            self.externals = settle(self.metadata.externals(options.transitive).withColumn("node_key", F.col("id")))
-        else:
-            self.externals = spark.createDataFrame([], "id string, name string, version string, is_direct boolean, node_key string")
-        self.exports = self._exports()
-        self.refs = settle(self._refs())
+        mine = self.sources.join(folders, F.col("file").startswith(F.concat("folder", F.lit("/"))), "left_semi")
+        if self.options.include_tests:
+            mine = mine.union(self.sources.join(self._tests.select("file").distinct(), "file", "left_semi").select("file", "text")).dropDuplicates(["file"])
+        return settle(mine.withColumn("crate", F.lit("")))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return settle(facts(self.files))
+
+    @property
+    def errors(self) -> DataFrame:
+        return self.facts.where("fact = 'error'")
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        tree = module_tree(self.crates, self.facts.where("fact = 'mod'"), self.files, self.options.include_tests)
+        return settle(tree.union(self._tests.select("crate", "module", "file", "test"))) if self.options.include_tests else tree
+
+    @cached_property
+    def externals(self) -> DataFrame:
+        if self.options.externals:
+            return settle(self.metadata.externals(self.options.transitive).withColumn("node_key", F.col("id")))
+        return self.spark.createDataFrame([], "id string, name string, version string, is_direct boolean, node_key string")
+
+    @cached_property
+    def exports(self) -> dict[str, DataFrame]:
+        return self._exports()
+
+    @cached_property
+    def refs(self) -> DataFrame:
+        return settle(self._refs())
 
     def _chosen(self) -> DataFrame:
         """Members that the wanted features need (all, if nothing is asked or no member has such a feature)."""
@@ -184,12 +213,13 @@ class Workspace:
         reexports = settle(named.where(F.col("visibility").isin(*EXPORTED)).drop("visibility").distinct())
         private = settle(named.where("visibility = ''").drop("visibility").distinct())
         globs = settle(found.where((F.col("to_name") == "*") & F.col("visibility").isin(*EXPORTED)).select("module", "to_module").distinct())
-        out = frontier = settle(globs.join(definitions.union(reexports.select("module", "name")).distinct().withColumnRenamed("module", "to_module"), "to_module").select("module", "name", "to_module", F.col("name").alias("to_name")))
+        out = Grown(globs.join(definitions.union(reexports.select("module", "name")).distinct().withColumnRenamed("module", "to_module"), "to_module").select("module", "name", "to_module", F.col("name").alias("to_name")))
+        frontier = out.rows
         while not frontier.isEmpty():
             step = globs.join(frontier.select(F.col("module").alias("to_module"), "name").distinct(), "to_module").select("module", "name", "to_module", F.col("name").alias("to_name"))
-            frontier = settle(step.join(out.select("module", "name"), ["module", "name"], "left_anti").distinct())
-            out = settle(out.union(frontier))
-        return {"definitions": definitions, "reexports": reexports, "private_uses": private, "globs": globs, "glob_exports": out}
+            frontier = settle(step.join(out.rows.select("module", "name"), ["module", "name"], "left_anti").distinct())
+            out.add(frontier)
+        return {"definitions": definitions, "reexports": reexports, "private_uses": private, "globs": globs, "glob_exports": out.rows}
 
     def _refs(self) -> DataFrame:
         """Resolved references: crate, module, target_module (or external), item, file, line, is_test, via_reexport, ord."""
@@ -220,7 +250,7 @@ class Workspace:
             "crate", "module", "target_module", "external", "item", "is_test", "via_reexport", "x.line", "x.file", (F.col("x.o") * 10**9 + F.col("x.line")).cast("long").alias("ord"))
 
     def graph(self) -> PropertyGraph:
-        """Nodes and edges.  Ids: crates by name, then modules by path, then externals by name and version."""
+        """Nodes (with the file of each crate and module) and edges.  Ids: crates by name, then modules by path, then externals by name and version."""
         none = F.lit(None)
         crates = self.crates.select(F.lit(0).alias("t"), F.col("code_name").alias("key"), F.lit("crate").alias("kind"), "name", F.col("code_name").alias("crate"), none.cast("string").alias("parent"), none.cast("string").alias("version"), none.cast("string").alias("package_id"), none.cast("boolean").alias("is_direct"))
         groups = self.tree.where(F.col("module").startswith(F.concat("crate", F.lit("::tests::")))).select(F.concat("crate", F.lit("::tests")).alias("module"), "crate")  # the folder of integration tests
@@ -249,6 +279,8 @@ class Workspace:
             ext = self.metadata.external_links(self.options.transitive).join(node_of.toDF("from_id", "src"), "from_id").join(node_of.toDF("to_id", "dst"), "to_id")
             per = ext.groupBy("src", "dst").agg(F.bool_or(F.col("kind") == "normal").alias("n")).select("src", "dst", F.lit(CRATE_DEP).alias("edge_type"), F.when(F.col("n"), PRODUCTION).otherwise(TEST).alias("k"))
             all_edges = all_edges.unionByName(self._plain(per, edges))
+        files = self.tree.groupBy(F.col("module").alias("key")).agg(F.min("file").alias("file"))
+        nodes = nodes.join(keyed.where("t < 2").join(files, "key").select("node_id", "file"), "node_id", "left")
         return PropertyGraph(settle(nodes), settle(all_edges))
 
     @staticmethod
