@@ -29,7 +29,7 @@ import numpy as np
 from weftgraph.llm.kernel import BYTE_VALUE, mix
 
 CHUNK = 1 << 16
-LARGE = 1 << 20
+LARGE = 3 << 19  # a shard and a half
 ITEM = np.dtype([("at", "<i4"), ("lcp", "<i4")])
 
 
@@ -133,10 +133,13 @@ class CharacterQueue:
 
 
 class Pusher:
-    """Pushes predecessors, with common-prefix lengths: the least since the last push to the same character, plus one."""
+    """Pushes predecessors, with common-prefix lengths: the least since the last push to the same character, plus one.
 
-    def __init__(self, queue: CharacterQueue, alphabet: int, cap: int):
-        self.queue, self.cap = queue, cap
+    Without ``carry`` the lengths aren't asked for and stay 0.
+    """
+
+    def __init__(self, queue: CharacterQueue, alphabet: int, cap: int, carry: bool = True):
+        self.queue, self.cap, self.carry = queue, cap, carry
         self.least = np.full(alphabet, cap, np.int32)  # since the last push to a character
         self.least[:] = 0  # nothing was pushed: the first has no neighbour
 
@@ -148,6 +151,11 @@ class Pusher:
             self._chunk(lcp[begin:end], source[a:b] - begin, target[a:b], at[a:b])
 
     def _chunk(self, lcp: np.ndarray, source: np.ndarray, target: np.ndarray, at: np.ndarray) -> None:
+        if not self.carry:
+            if len(source):
+                order = np.argsort(target.astype(np.int16), kind="stable")
+                self._push(target[order], at[order], np.zeros(len(at), np.int32))
+            return
         if not len(source):
             np.minimum(self.least, lcp.min(initial=self.cap), out=self.least)
             return
@@ -155,7 +163,7 @@ class Pusher:
         while 2 << (len(table) - 1) <= len(lcp):
             half = 1 << (len(table) - 1)
             table.append(np.minimum(table[-1][:-half], table[-1][half:]))
-        order = np.argsort(target, kind="stable")
+        order = np.argsort(target.astype(np.int16), kind="stable")
         source, target, at = source[order], target[order], at[order]
         first = np.append(True, target[1:] != target[:-1])
         low = np.where(first, 0, np.append(0, source[:-1]) + 1)  # after the last push to the character
@@ -172,10 +180,15 @@ class Pusher:
         some = source[tails] + 1 < len(lcp)
         rest[some] = self._range(table, source[tails][some] + 1, np.full(some.sum(), len(lcp)))
         self.least[target[tails]] = rest
+        self._push(target, at, value)
+
+    def _push(self, target: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
+        """Elements in order of ``target``."""
+        heads = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
         items = np.empty(len(at), ITEM)
         items["at"], items["lcp"] = at, value
-        for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
-            self.queue.push(int(target[h]), items[h : t + 1])
+        for h, t in zip(heads.tolist(), [*heads[1:].tolist(), len(target)], strict=True):
+            self.queue.push(int(target[h]), items[h:t])
 
     @staticmethod
     def _range(table: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -199,14 +212,14 @@ def _types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return small, np.repeat(change, size) - np.arange(n, dtype=np.int32) + np.int32(1)
 
 
-def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray, alphabet: int, cap: int, budget: int, store: Store) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in order, and each one's common prefix with the one before, from the LMS suffixes' (grouped by character)."""
+def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarray, lms_lcp: np.ndarray, alphabet: int, cap: int, budget: int, store: Store, carry: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order, and (with ``carry``) each one's common prefix with the one before, from the LMS suffixes' (grouped by character)."""
     n = len(text)
     heads = np.searchsorted(text[lms], np.arange(alphabet + 1))
     queue = CharacterQueue(alphabet, budget)
     larges, ends = store.array(n, ITEM), [0]
     try:
-        pusher = Pusher(queue, alphabet, cap)
+        pusher = Pusher(queue, alphabet, cap, carry)
         pusher.least[:] = -1
         for c in range(alphabet):
             filled, last = ends[-1], None
@@ -237,7 +250,7 @@ def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarra
     queue = CharacterQueue(alphabet, budget)
     order, lcps, free = store.array(n, np.int32), store.array(n, np.int32), n
     try:
-        pusher = Pusher(queue, alphabet, cap)
+        pusher = Pusher(queue, alphabet, cap, carry)
         pusher.least[:] = -1
         for c in range(alphabet - 1, -1, -1):
             smalls: list[np.ndarray] = []
@@ -338,7 +351,7 @@ def _sorted_lms(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.nd
     n = len(text)
     grouped = lms[np.argsort(text[lms], kind="stable")]
     with Store(n) as store:
-        order, _ = _induce(text, small, run, grouped, np.zeros(len(lms), np.int32), alphabet, cap, budget, store)
+        order, _ = _induce(text, small, run, grouped, np.zeros(len(lms), np.int32), alphabet, cap, budget, store, carry=False)
         mark = np.zeros(n, bool)
         mark[lms] = True
         order = np.append(np.int32(n - 1), order[mark[order] & (order != n - 1)])
