@@ -119,7 +119,7 @@ class PieceModel:
             and not any(re.search(f"[^{MARK}]{MARK}", s) for s in inside) and not any(k == 4 for k in kinds)
         )
         self.line_alone = self.by_segment and not any("\n" in s for s in inside)
-        self.table = WordTable(self._segments, bits=20)
+        self.table = WordTable(self._segments, bits=18)
 
     @classmethod
     def shared(cls, path: str) -> PieceModel:
