@@ -23,6 +23,14 @@ SHARE, QUANTILE = 0.5, 0.01
 PLAN = MixPlan(WEIGHTS, share=0.9, max_epochs=1)
 
 
+#: Rows that Spark hands to a Python worker at once: texts may be long, and workers share an executor's memory with its heap.
+ROWS_AT_ONCE = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+
+
 def least_scores(done: DataFrame, band: Column) -> Column:
     """The least score that a text may have, by its band of length: from the training rows of this band and those beside it, or of the next shorter."""
     rows = done.where(~held_out() & (F.col("lang") == F.col("lang_pred"))).select("score", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
@@ -39,6 +47,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and letterless texts are in none; a null id isn't learned from but is judged like any other; repeated rows are judged alike;
     without rows to learn from nothing is kept.
     """
+    small_batches(spark)
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
     done = identify(docs.select(*COLUMNS)).withColumn("band", F.floor(F.log2(F.greatest(letters, F.lit(1)))).cast("int"))
     done = materialize(done, "scored")
@@ -48,6 +57,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one text of each class of near duplicates (five words, 0.8): the one with the least id; rows without an id stay."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     classes = near_duplicates(docs, n=5, threshold="0.8")
     first = classes.where("doc_id = component_id").select("doc_id").distinct()
@@ -58,6 +68,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces private values in the texts: every row stays, null and empty texts as they are; n_chars follows the text, null where that is."""
+    small_batches(spark)
     return pseudonymize(docs.select(*COLUMNS), session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -66,11 +77,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no tokens and go with the documents around them; repeated rows are taken together; an empty table stays empty.
     """
+    small_batches(spark)
     return mix(docs.select(*COLUMNS), PLAN, source_domain(F.col("source"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every text; its pieces' spans and the decoded text stand beside the ids.  A null text is an empty one: the end id alone."""
+    small_batches(spark)
     return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
 
 
