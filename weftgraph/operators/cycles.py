@@ -79,7 +79,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     left = settle(edges)
     while True:
         n = left.count()
-        while True:  # peel
+        while n:  # peel
             left = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             m = left.count()
             if m == n:
