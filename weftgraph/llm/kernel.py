@@ -91,6 +91,7 @@ class Texts:
 
 def give_back() -> None:
     """Returns free memory to the system: a worker stays, idle, while others need the room."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
     if trim:
