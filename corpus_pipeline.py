@@ -18,7 +18,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this cosine with every language's prototype a text is in none of them, however short.
 LEAST_SCORE = 0.02
 #: Else the least cosine is this share of a quantile of the scores that training rows of about the same length have with their own language.
-SHARE, QUANTILE = 0.5, 0.01
+SHARE, QUANTILE = 0.35, 0.01
+#: A quantile of fewer training rows says nothing.
+LEAST_ROWS = 30
 #: One pass over the texts at most, and nine tenths of the tokens: no text is repeated.
 PLAN = MixPlan(WEIGHTS, share=0.9, max_epochs=1)
 
@@ -34,7 +36,7 @@ def small_batches(spark: SparkSession) -> None:
 def least_scores(done: DataFrame, band: Column) -> Column:
     """The least score that a text may have, by its band of length: from the training rows of this band and those beside it, or of the next shorter."""
     rows = done.where(~held_out() & (F.col("lang") == F.col("lang_pred"))).select("score", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    found = {r["band"]: SHARE * r["q"] for r in rows.groupBy("band").agg(F.percentile_approx("score", QUANTILE, 10_000).alias("q")).collect()}  # a row a power of two
+    found = {r["band"]: SHARE * r["q"] for r in rows.groupBy("band").agg(F.percentile_approx("score", QUANTILE, 10_000).alias("q"), F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).collect()}  # a row a power of two
     out = F.lit(LEAST_SCORE)
     for at, least in sorted(found.items()):
         out = F.when(band >= at, max(least, LEAST_SCORE)).otherwise(out)
