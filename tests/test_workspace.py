@@ -57,13 +57,13 @@ def test_scan():
 
 def test_two_crates(spark, tmp_path):
     doc, root = make(tmp_path, {
-        "crate-a": {"lib.rs": "pub mod alpha; mod beta; #[cfg(test)] mod test_utils;", "alpha.rs": "use crate_b::gamma::Thing;\nuse crate::beta;\nfn f() { beta::run(); }", "beta/mod.rs": "use super::alpha::Alpha; use serde::Serialize;", "test_utils.rs": "use crate::alpha::X;"},
-        "crate_b": {"lib.rs": "pub mod gamma;", "gamma.rs": "pub struct Thing;"},
+        "crate-a": {"lib.rs": "pub mod alpha; mod beta; #[cfg(test)] mod test_utils;", "alpha.rs": "use crate_b::gamma::Gauge;\nuse crate::beta;\nfn f() { beta::run(); }", "beta/mod.rs": "use super::alpha::Alpha; use serde::Serialize;", "test_utils.rs": "use crate::alpha::X;"},
+        "crate_b": {"lib.rs": "pub mod gamma;", "gamma.rs": "pub struct Gauge;"},
     }, [("crate-a", "crate_b", None), ("crate-a", "serde", None)])
     g = Workspace(spark, doc, root, WorkspaceOptions(externals=True)).graph()
     assert sorted(r["qualified_name"] for r in g.nodes.collect()) == ["crate-a", "crate-a::alpha", "crate-a::beta", "crate_b", "crate_b::gamma", "serde"]
     got = arcs(g)
-    assert got[("crate-a::alpha", "crate_b::gamma")] == ["Thing"]
+    assert got[("crate-a::alpha", "crate_b::gamma")] == ["Gauge"]
     assert got[("crate-a::alpha", "crate-a::beta")] == ["run"]
     assert got[("crate-a::beta", "crate-a::alpha")] == ["Alpha"] and ("crate-a::beta", "serde") in got
     assert set(arcs(g, "crate_dep")) == {("crate-a", "crate_b"), ("crate-a", "serde")}
@@ -79,14 +79,14 @@ def test_two_crates(spark, tmp_path):
 def test_reexports(spark, tmp_path):
     doc, root = make(tmp_path, {"app": {
         "lib.rs": "pub mod parent; mod sibling; mod glob_user;",
-        "parent.rs": "mod child; pub use super::sibling::Widget; pub use child::*;",
-        "parent/child.rs": "use super::Widget;\npub struct Kid;",
-        "sibling.rs": "pub struct Widget; pub struct Extra; struct Hidden;",
+        "parent.rs": "mod child; pub use super::sibling::Panel; pub use child::*;",
+        "parent/child.rs": "use super::Panel;\npub struct Kid;",
+        "sibling.rs": "pub struct Panel; pub struct Extra; struct Hidden;",
         "glob_user.rs": "use super::sibling::*; use crate::parent::Kid;",
     }})
     got = arcs(Workspace(spark, doc, root).graph())
     assert ("app::parent::child", "app::sibling") in got and ("app::parent::child", "app::parent") not in got
-    assert got[("app::glob_user", "app::sibling")] == ["Extra", "Widget"]
+    assert got[("app::glob_user", "app::sibling")] == ["Extra", "Panel"]
     assert got[("app::glob_user", "app::parent::child")] == ["Kid"]
 
 
