@@ -68,9 +68,9 @@ class Texts:
         data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
         self.data, self.offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-    def words(self, data: np.ndarray | None = None) -> None:
-        """Sets starts and ends of the words, and word_offsets: each text's first word."""
-        solid = ~SPACE[self.data]
+    def words(self, between: np.ndarray = SPACE) -> None:
+        """Sets starts and ends of the words (``between``: which bytes stand between them), and word_offsets: each text's first word."""
+        solid = ~between[self.data]
         before = np.empty(len(solid) + 1, bool)
         before[0], before[1:] = False, solid
         opens, closes = solid & ~before[:-1], before[1:] & ~np.append(solid[1:], False)
