@@ -1,0 +1,81 @@
+"""Plain versions of the cycle operators, for small graphs."""
+
+import heapq
+from collections import defaultdict
+
+from weftgraph.operators.cycles import scc_kernel
+
+
+def cycles_kernel(edges: list[tuple[int, int]]) -> list[list[int]]:
+    """The shortest cycle through each edge of one component: by levels from its head, each node's parent the least one of the level before."""
+    out: dict[int, list[int]] = defaultdict(list)
+    into: dict[int, list[int]] = defaultdict(list)
+    for a, b in sorted(set(edges)):
+        if a != b:
+            out[a].append(b)
+            into[b].append(a)
+    seen: set[tuple[tuple[int, int], ...]] = set()
+    found: list[list[int]] = []
+    for v in sorted(into):
+        parent = {v: v}
+        level = [v]
+        while level:
+            new: dict[int, int] = {}
+            for u in level:
+                for w in out[u]:
+                    if w not in parent and (w not in new or u < new[w]):
+                        new[w] = u
+            parent.update(new)
+            level = sorted(new)
+        for u in into[v]:
+            path = [u]
+            while path[-1] != v:
+                path.append(parent[path[-1]])
+            path.reverse()
+            arcs = tuple(sorted(zip(path, path[1:] + path[:1], strict=True)))
+            if arcs not in seen:
+                seen.add(arcs)
+                at = path.index(min(path))
+                found.append(path[at:] + path[:at])
+    return found
+
+
+def cover(edges: list[tuple[int, int]], key: dict[tuple[int, int], tuple]) -> list[tuple[int, int]]:
+    """Greedy cover of the minimal cycles; what cycles the cut leaves are covered in turn, until there are none.
+
+    ``key``: of edges that cover equally many cycles the one with the least key goes first.
+    """
+    chosen: list[tuple[int, int]] = []
+    left = sorted(set(edges))
+    while True:
+        inside = scc_kernel(left)
+        core = [(a, b) for a, b in left if inside.get(a) is not None and inside.get(a) == inside.get(b) and a != b]
+        if not core:
+            return chosen
+        groups: dict[int, list[tuple[int, int]]] = {}
+        for e in core:
+            groups.setdefault(inside[e[0]], []).append(e)
+        for group in groups.values():
+            cycles = [list(zip(p, p[1:] + p[:1], strict=True)) for p in cycles_kernel(group)]
+            of: dict[tuple[int, int], list[int]] = {}
+            for i, c in enumerate(cycles):
+                for e in c:
+                    of.setdefault(e, []).append(i)
+            count = {e: len(x) for e, x in of.items()}
+            queue = [(-n, key[e], e) for e, n in count.items()]
+            heapq.heapify(queue)
+            covered = [False] * len(cycles)
+            while queue:
+                n, _, best = heapq.heappop(queue)
+                if -n != count[best]:  # counts only fall: back with what is left
+                    if count[best]:
+                        heapq.heappush(queue, (-count[best], key[best], best))
+                    continue
+                chosen.append(best)
+                for i in of[best]:
+                    if not covered[i]:
+                        covered[i] = True
+                        for e in cycles[i]:
+                            count[e] -= 1
+        gone = set(chosen)
+        left = [e for e in left if e not in gone]

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from plain_graph import cover, cycles_kernel
+
 from weftgraph.operators import cycles as cy
 from weftgraph.operators import feedback as fb
 from weftgraph.operators import hierarchy as hi
@@ -58,7 +60,7 @@ def test_kernels_against_naive():
         assert scc == naive_scc(edges)
         for root in set(scc.values()):
             inner = [(a, b) for a, b in edges if scc.get(a) == scc.get(b) == root and a != b]
-            found = cy.cycles_kernel(inner)
+            found = cycles_kernel(inner)
             arcs = [set(zip(p, p[1:] + p[:1], strict=True)) for p in found]
             assert all(a <= set(inner) for a in arcs)
             for a, b in inner:  # the shortest way back, plus the edge
@@ -68,20 +70,70 @@ def test_kernels_against_naive():
                     dist.update({y: max(dist.values()) + 1 for y in level})
                 assert min(len(c) for c in arcs if (a, b) in c) <= dist[a] + 1
         key = {e: (0, 0, str(e)) for e in edges}
-        gone = set(fb.cover(edges, key))
+        gone = set(cover(edges, key))
         assert not cy.scc_kernel([e for e in edges if e not in gone])
 
 
-def test_joins_give_what_kernels_give(spark):
+def plain_cycles(edges):
+    scc = cy.scc_kernel(edges)
+    return sorted(p for root in set(scc.values()) for p in cycles_kernel([(a, b) for a, b in edges if scc.get(a) == scc.get(b) == root and a != b]))
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 19])
+def test_components_by_joins(spark, chunk):
+    """Many random graphs at once, as parts of one: sparse, dense, with tails and chains."""
+    rng = random.Random(chunk)
+    edges = []
+    for k in range(120):
+        n = rng.randint(2, 12)
+        edges += [(100 * k + rng.randrange(n), 100 * k + rng.randrange(n)) for _ in range(rng.randint(1, 20))]
+        if k % 3 == 0:  # a chain beside, that may close a ring
+            chain = [100 * k + rng.randrange(n), *range(100 * k + 20, 100 * k + 20 + rng.randint(1, 30)), 100 * k + rng.randrange(n)]
+            edges += zip(chain[:-1], chain[1:], strict=True)
+    ring = list(range(99_000, 99_040))
+    rng.shuffle(ring)
+    edges += zip(ring, ring[1:] + ring[:1], strict=True)
+    got = {r["node_id"]: r["scc_id"] for r in cy.strong_components(pairs(spark, [*edges, (None, 1), (7, None)]), chunk).collect()}
+    assert got == cy.scc_kernel(edges)
+
+
+def test_components_of_a_long_path_and_of_nothing(spark):
+    n = 100_000
+    path = spark.range(n).selectExpr("(id * 48271) % 100003 as src", "((id + 1) * 48271) % 100003 as dst")
+    assert cy.strong_components(path).isEmpty()
+    closed = path.union(spark.createDataFrame([((n * 48271) % 100003, 0)], "src long, dst long"))
+    sizes = cy.strong_components(closed).groupBy("scc_id").count().collect()
+    assert [tuple(r) for r in sizes] == [(0, n + 1)]
+    assert cy.strong_components(path.limit(0)).collect() == []
+
+
+def test_cycles_of_bits_are_those_of_a_plain_search(spark):
     rng = random.Random(5)
-    edges = [(rng.randrange(14), rng.randrange(14)) for _ in range(26)]
-    df = pairs(spark, edges)
-    by_joins = {r["node_id"]: r["scc_id"] for r in cy.strong_components(df).collect()}
-    assert by_joins == cy.scc_kernel(edges)
-    components = cy.strong_components(df)
-    a = sorted(r["path"] for r in cy.cycles_by_joins(cy.inner_edges(df, components)).collect())
-    b = sorted(r["path"] for r in cy.minimal_cycles(df, components).collect())
-    assert a == b == sorted(r["path"] for r in cy.minimal_cycles(df, kernel_steps=0).collect())
+    edges = []
+    for k in range(60):
+        n = rng.randint(2, 14)
+        edges += [(100 * k + rng.randrange(n), 100 * k + rng.randrange(n)) for _ in range(rng.randint(1, 30))]
+    edges += [(9000 + i, 9000 + (i + 1) % 90) for i in range(90)] + [(9010, 9003), (9050, 9000)]  # more than 64 sources, long ways round
+    got = sorted(r["path"] for r in cy.minimal_cycles(pairs(spark, edges)).collect())
+    assert got == plain_cycles(edges)
+    assert cy.minimal_cycles(pairs(spark, [(1, 2)])).collect() == []
+
+
+def test_feedback_is_that_of_one_choice_after_the_other(spark):
+    """200 random graphs as components of one: the same picks as the one-by-one cover."""
+    rng = random.Random(8)
+    edges, refs = [], {}
+    for k in range(200):
+        n = rng.randint(2, 8)
+        some = {(100 * k + rng.randrange(n), 100 * k + rng.randrange(n)) for _ in range(rng.randint(2, 24))}
+        edges += sorted(e for e in some if e[0] != e[1])
+    refs = {e: rng.randint(0, 3) for e in edges}
+    bias = {e: rng.choice([0, 1, 1, 1, 2]) for e in edges}
+    df = spark.createDataFrame([(a, b, refs[a, b]) for a, b in edges], "src long, dst long, refs long")
+    names = df.selectExpr("explode(array(src, dst)) as node_id").distinct().selectExpr("node_id", "concat('n', node_id) as name")
+    kinds = spark.createDataFrame([(a, b, k) for (a, b), k in bias.items()], "src long, dst long, bias int")
+    got = {(r["src"], r["dst"]) for r in fb.feedback_edges(df, cy.strong_components(df), df, names, kinds).where("feedback").collect()}
+    assert got == set(cover(edges, {e: (bias[e], refs[e], f"n{e[0]}", f"n{e[1]}") for e in edges}))
 
 
 def feedback(spark, weighted, bias=None):

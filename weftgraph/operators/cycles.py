@@ -1,20 +1,18 @@
-"""Strongly connected components and the shortest cycle through every cyclic edge.
-
-Components come from joins at every size.  Shortest cycles of a component come from a grouped-map kernel where its nodes times
-edges are few (``KERNEL_STEPS``), many components side by side; from joins else.  Both give the same rows.
-"""
+"""Strongly connected components and the shortest cycle through every cyclic edge, by joins at every size."""
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.scratch import Grown, settle
 
-KERNEL_STEPS = 10_000_000
+#: Edges that a task contracts together.
+CHUNK = 1 << 19
 SCC_SCHEMA = "node_id long, scc_id long"
 CYCLE_SCHEMA = "scc_id long, path array<long>"
 
@@ -66,103 +64,174 @@ def scc_kernel(edges: list[tuple[int, int]]) -> dict[int, int]:
     return result
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node_id, scc_id): nodes of components of two nodes or more; scc_id is the least node.
+def _merged_here(edges: DataFrame, chunk: int) -> DataFrame:
+    """(node_id, rep): nodes that the edges which a task reads together connect both ways, ``chunk`` edges at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int]] = []
+
+        def close() -> pa.RecordBatch:
+            found = {n: r for n, r in scc_kernel(held).items() if n != r}
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["node_id", "rep"])
+
+        for batch in batches:
+            for at in range(0, len(batch), chunk):
+                part = batch.slice(at, chunk)
+                if held and len(held) + len(part) > chunk:
+                    yield close()
+                held += zip(part.column("src").to_pylist(), part.column("dst").to_pylist(), strict=True)
+        if held:
+            yield close()
+
+    return edges.select("src", "dst").mapInArrow(run, "node_id long, rep long")
+
+
+def _jumped(to: DataFrame) -> DataFrame:
+    """(node_id, rep) with each rep followed to the end: pointers double, so that n steps take log n rounds."""
+    while True:
+        far = to.select(F.col("node_id").alias("rep"), F.col("rep").alias("far"))
+        new = settle(to.join(far, "rep", "left").select("node_id", F.coalesce("far", "rep").alias("rep"), F.col("far").isNotNull().alias("moved")))
+        to = new.select("node_id", "rep")
+        if new.where("moved").isEmpty():
+            return to
+
+
+def _relabelled(edges: DataFrame, to: DataFrame) -> DataFrame:
+    a, b = to.toDF("src", "a"), to.toDF("dst", "b")
+    return edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
+
+
+def _contract(left: DataFrame, events: list[tuple[str, DataFrame]], chunk: int) -> DataFrame:
+    """Merges what tasks find to be connected both ways, until none finds anything.
 
-    Nodes without an edge in or out are peeled off; every node takes the least node that
-    leads to it (its colour); what leads back to that node inside the colour is its component, and leaves; again,
-    until nothing is left.
+    Where two tasks put a node under different representatives, the edges between those, both ways, stay to be merged later.
     """
-    edges = edges.select("src", "dst").where("src <> dst").distinct()
-    spark = edges.sparkSession
-    done = spark.createDataFrame([], SCC_SCHEMA)
-    left = settle(edges)
     while True:
-        n = left.count()
-        while n:  # peel
-            left = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            m = left.count()
-            if m == n:
-                break
-            n = m
-        if n == 0:
-            return done
-        colour = left.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("colour", F.col("node_id"))
-        colour = settle(colour)
-        while True:
-            came = left.join(colour.toDF("src", "from"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("from").alias("best"))
-            new = settle(colour.join(came, "node_id", "left").select("node_id", F.least("colour", F.coalesce("best", "colour")).alias("colour"), (F.col("best") < F.col("colour")).alias("moved")))
-            colour = new.select("node_id", "colour")
-            if new.where("moved").isEmpty():
-                break
-        inside = settle(left.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")))
-        back = Grown(colour.where("node_id = colour"))
-        frontier = back.rows
-        while True:  # who leads back to the root
-            step = inside.join(frontier.select(F.col("node_id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node_id"), "colour").distinct()
-            frontier = settle(step.join(back.rows, ["node_id", "colour"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            back.add(frontier)
-        back = back.rows
-        big = back.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
-        done = settle(done.union(back.join(big, "colour", "left_semi").select("node_id", F.col("colour").alias("scc_id"))))
-        gone = settle(back.select("node_id"))
-        left = settle(left.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "dst"), "dst", "left_anti"))
-
-
-def cycles_kernel(edges: list[tuple[int, int]]) -> list[list[int]]:
-    """The shortest cycle through each edge of one component: by levels from its head, each node's parent the least one of the level before."""
-    out: dict[int, list[int]] = defaultdict(list)
-    into: dict[int, list[int]] = defaultdict(list)
-    for a, b in sorted(set(edges)):
-        if a != b:
-            out[a].append(b)
-            into[b].append(a)
-    seen: set[tuple[tuple[int, int], ...]] = set()
-    found: list[list[int]] = []
-    for v in sorted(into):
-        parent = {v: v}
-        level = [v]
-        while level:
-            new: dict[int, int] = {}
-            for u in level:
-                for w in out[u]:
-                    if w not in parent and (w not in new or u < new[w]):
-                        new[w] = u
-            parent.update(new)
-            level = sorted(new)
-        for u in into[v]:
-            path = [u]
-            while path[-1] != v:
-                path.append(parent[path[-1]])
-            path.reverse()
-            arcs = tuple(sorted(zip(path, path[1:] + path[:1], strict=True)))
-            if arcs not in seen:
-                seen.add(arcs)
-                at = path.index(min(path))
-                found.append(path[at:] + path[:at])
-    return found
-
-
-def minimal_cycles(edges: DataFrame, components: DataFrame | None = None, kernel_steps: int = KERNEL_STEPS) -> DataFrame:
-    """(scc_id, path): the shortest cycle through each cyclic edge, once each, from its least node on.
+        pairs = settle(_merged_here(left, chunk).distinct())
+        if pairs.isEmpty():
+            return left
+        to = _jumped(settle(pairs.groupBy("node_id").agg(F.min("rep").alias("rep"))))
+        events.append(("merge", to))
+        apart = _relabelled(pairs.select(F.col("node_id").alias("src"), F.col("rep").alias("dst")), to)
+        both = apart.union(apart.select("dst", "src"))
+        left = settle(_relabelled(left, to).union(both).where("src <> dst").distinct())
+
+
+def _trimmed(left: DataFrame) -> DataFrame:
+    """Without nodes that have no edge in or none out, as long as a round takes a tenth of the edges."""
+    n = left.count()
+    while n:
+        left = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        m = left.count()
+        if n - m < n / 10:
+            break
+        n = m
+    return left
 
-    Components whose nodes times edges are ``kernel_steps`` or fewer are kernels of one group each, so that
-    many components run side by side; larger ones are worked on by joins (``cycles_by_joins``).
+
+def _unchained(left: DataFrame, events: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Without nodes that have one edge in and one out: an edge leads from what is before such a chain to what is after it.
+
+    Pointers double along the chains, both ways, so that a chain of n nodes takes log n rounds.  Where chains are less than a tenth of the nodes nothing is done.
     """
-    components = settle(strong_components(edges) if components is None else components)
-    inner = settle(inner_edges(edges, components))
-    nodes = components.groupBy("scc_id").agg(F.count("*").alias("n"))
-    sizes = settle(inner.groupBy("scc_id").agg(F.count("*").alias("m")).join(nodes, "scc_id").select("scc_id", (F.col("n") * F.col("m") <= kernel_steps).alias("small")))
+    into = left.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n_in"), F.min("src").alias("before"))
+    out = left.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n_out"), F.min("dst").alias("after"))
+    degrees = settle(into.join(out, "node_id", "full"))
+    one = (F.col("n_in") == 1) & (F.col("n_out") == 1)
+    n, nodes = degrees.agg(F.count_if(one), F.count("*")).first()
+    if n * 10 < nodes or not n:
+        return left
+    inner = degrees.where(one).select("node_id", "before", "after")
+    chain = settle(inner.withColumns({"first": F.col("before"), "last": F.col("after"), "low": F.col("node_id")}))
+    step = 1
+    while True:
+        back = chain.select(F.col("node_id").alias("first"), F.col("first").alias("first2"))
+        on = chain.select(F.col("node_id").alias("last"), F.col("last").alias("last2"), F.col("low").alias("low2"))
+        both = chain.join(back, "first", "left").join(on, "last", "left")
+        new = settle(both.select("node_id", "before", "after", F.coalesce("first2", "first").alias("first"), F.coalesce("last2", "last").alias("last"), F.least("low", F.coalesce("low2", "low")).alias("low"), (F.col("first2").isNotNull() | F.col("last2").isNotNull()).alias("moved")))
+        chain, step = new.select("node_id", "before", "after", "first", "last", "low"), 2 * step
+        if step > 2 * n or new.where("moved").isEmpty():
+            break
+    members = chain.select(F.col("node_id").alias("last"), F.lit(True).alias("ring"))
+    chain = settle(chain.join(members, "last", "left"))
+    rings = chain.where("ring")  # chains that end in themselves
+    events.append(("merge", settle(rings.where("node_id <> low").select("node_id", F.col("low").alias("rep")))))
+    open_ = chain.where("ring is null")
+    events.append(("chain", open_.select("node_id", "first", "last")))
+    inside = chain.select("node_id")
+    rest = left.join(inside.toDF("src"), "src", "left_anti").join(inside.toDF("dst"), "dst", "left_anti")
+    over = open_.where("first = before").select(F.col("first").alias("src"), F.col("last").alias("dst"))
+    return settle(rest.select("src", "dst").union(over).where("src <> dst").distinct())
 
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = cycles_kernel(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)))
-        return pd.DataFrame({"scc_id": [key[0]] * len(found), "path": found})
 
-    out = inner.join(sizes.where("small"), "scc_id", "left_semi").groupBy("scc_id").applyInPandas(kernel, CYCLE_SCHEMA)
-    large = sizes.where("not small")
-    return out if large.isEmpty() else out.union(cycles_by_joins(inner.join(large, "scc_id", "left_semi")))
+def _rooted(left: DataFrame, events: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Every node takes the least node that leads to it (its colour); what leads back to that node inside the colour is its component, and leaves.
+
+    A round joins the nodes whose colour has just changed, and no others.
+    """
+    nodes = left.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("colour", F.col("node_id"))
+    colours = Grown(nodes)
+    moved = colours.rows
+    while True:
+        came = left.join(moved.toDF("src", "from"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("from").alias("best"))
+        now = colours.rows.join(came.select("node_id"), "node_id", "left_semi").groupBy("node_id").agg(F.min("colour").alias("colour"))
+        moved = settle(came.join(now, "node_id").where("best < colour").select("node_id", F.col("best").alias("colour")))
+        if moved.isEmpty():
+            break
+        colours.add(moved)
+    colour = settle(colours.rows.groupBy("node_id").agg(F.min("colour").alias("colour")))
+    inside = settle(left.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b").select("src", "dst", F.col("a").alias("colour")))
+    back = Grown(colour.where("node_id = colour"))
+    frontier = back.rows
+    while True:  # who leads back to the root
+        step = inside.join(frontier.select(F.col("node_id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node_id"), "colour").distinct()
+        frontier = settle(step.join(back.rows, ["node_id", "colour"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        back.add(frontier)
+    events.append(("merge", settle(back.rows.where("node_id <> colour").select("node_id", F.col("colour").alias("rep")))))
+    gone = settle(back.rows.select("node_id"))
+    return settle(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+
+
+def strong_components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(node_id, scc_id): nodes of components of two nodes or more; scc_id is the least node.
+
+    Tasks first merge what their own edges connect both ways; then nodes without an edge in or out leave, and chains shrink to an edge; of what is left each
+    round finds the components of many roots at once.  Each step only notes what it merged; the notes are
+    read backwards at the end, when it is known what became of the nodes that others were put under.
+    Edges with a null end and loops are ignored; an empty table gives no rows.
+    """
+    events: list[tuple[str, DataFrame]] = []
+    left = settle(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").distinct())
+    while True:
+        left = _contract(left, events, chunk)
+        left = _trimmed(left)
+        if left.isEmpty():
+            break
+        left = _unchained(left, events)
+        left = _trimmed(left)
+        if left.isEmpty():
+            break
+        left = _rooted(left, events)
+    spark = edges.sparkSession
+    known = None  # (node_id, root) of nodes in components
+    for kind, table in reversed(events):
+        if kind == "merge":
+            at = table if known is None else table.join(known.toDF("rep", "root"), "rep", "left").select("node_id", F.coalesce("root", "rep").alias("rep"))
+            new = at.toDF("node_id", "root").union(at.select(F.col("rep").alias("node_id"), F.col("rep").alias("root")))
+        else:
+            ends = table.withColumns({"u": F.col("first"), "w": F.col("last")})
+            if known is not None:
+                ends = ends.join(known.toDF("first", "ru"), "first", "left").join(known.toDF("last", "rw"), "last", "left").withColumns({"u": F.coalesce("ru", "first"), "w": F.coalesce("rw", "last")})
+            same = ends.where("u = w").select("node_id", F.col("u").alias("root"))
+            new = same.union(same.select(F.col("root").alias("node_id"), "root"))
+        known = settle((new if known is None else known.union(new)).distinct())
+    if known is None:
+        return spark.createDataFrame([], SCC_SCHEMA)
+    least = known.groupBy("root").agg(F.min("node_id").alias("scc_id"))
+    return known.join(least, "root").select("node_id", "scc_id")
 
 
 def inner_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -171,32 +240,51 @@ def inner_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     return e.join(components.toDF("src", "scc_id"), "src").join(components.toDF("dst", "to_scc"), "dst").where("scc_id = to_scc").select("scc_id", "src", "dst")
 
 
-def cycles_by_joins(inner: DataFrame) -> DataFrame:
-    """``minimal_cycles`` of edges (scc_id, src, dst) by joins alone: a level of all breadth-first searches a round, then a step back of all cycles a round."""
-    inner = settle(inner)
-    onward = inner.select(F.col("src").alias("w"), F.col("dst").alias("x"))
-    tree = Grown(inner.select(F.col("dst").alias("v")).distinct().select("v", F.col("v").alias("w"), F.col("v").alias("parent")))
-    level = tree.rows
-    while True:
-        step = level.select("v", "w").join(onward, "w").groupBy("v", F.col("x").alias("reached")).agg(F.min("w").alias("parent"))
-        level = settle(step.select("v", F.col("reached").alias("w"), "parent").join(tree.rows.select("v", "w"), ["v", "w"], "left_anti"))
-        if level.isEmpty():
-            break
-        tree.add(level)
-    parents = tree.rows.select("v", F.col("w").alias("at"), "parent")
-    done, open_ = None, settle(inner.select("scc_id", F.col("dst").alias("v"), F.col("src").alias("at"), F.array("src").alias("path")))
-    while True:
-        back = settle(open_.join(parents, ["v", "at"]).select("scc_id", "v", F.col("parent").alias("at"), F.concat(F.array("parent"), "path").alias("path")))
-        closed, open_ = back.where("at = v").select("scc_id", "path"), back.where("at <> v")
-        if done is None:
-            done = Grown(closed)
-        else:
-            done.add(closed)
-        if open_.isEmpty():
+def minimal_cycles(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(scc_id, path): the shortest cycle through each cyclic edge, once each, from its least node on.
+
+    All nodes are searched from at once, 64 sources in the bits of a long: a row of a level is (node, word, bits), the sources that first reach the node at
+    this level.  An edge u -> v closes at the level where v's bit comes to u; when all have closed the search ends.  Then
+    the paths go back a level a round: of the nodes before, the least that holds the bit is the parent, and it
+    is found for the bits that open paths need, and for no others.
+    """
+    components = settle(strong_components(edges) if components is None else components)
+    inner = settle(inner_edges(edges, components))
+    seat = F.monotonically_increasing_id()
+    seats = settle(components.sortWithinPartitions("scc_id").select("node_id", F.shiftright(seat, 6).alias("word"), F.expr("shiftleft(1L, cast(monotonically_increasing_id() & 63 as int))").alias("bit")))
+    onward = inner.select(F.col("src").alias("node"), "dst")
+    level = seats.select(F.col("node_id").alias("node"), "word", F.col("bit").alias("bits"))
+    seen, levels = level, [level]
+    open_ = settle(inner.join(seats.withColumnRenamed("node_id", "dst"), "dst").select("scc_id", F.col("dst").alias("v"), F.col("src").alias("u"), "word", "bit"))
+    closed: list[DataFrame | None] = [None]
+    while not open_.isEmpty():
+        reached = level.join(onward, "node").groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        new = reached.join(seen.withColumnRenamed("bits", "old"), ["node", "word"], "left")
+        level = settle(new.select("node", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0"))
+        levels.append(level)
+        hit = settle(open_.join(level.withColumnRenamed("node", "u"), ["u", "word"], "left").select("scc_id", "v", "u", "word", "bit", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)).alias("hit")))
+        closed.append(hit.where("hit").drop("hit"))
+        open_ = hit.where("not hit").drop("hit")
+        seen = settle(seen.union(level).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    if len(levels) == 1:
+        return edges.sparkSession.createDataFrame([], CYCLE_SCHEMA)
+    before = inner.select(F.col("dst").alias("at"), F.col("src").alias("p"))
+    paths = None
+    for d in range(len(levels) - 1, 0, -1):
+        ends = closed[d].select("scc_id", "v", F.col("u").alias("at"), "word", "bit", F.array("u").alias("path"))
+        paths = ends if paths is None else paths.union(ends)
+        if d == 1:  # one step from the source
             break
+        need = paths.groupBy("at", "word").agg(F.bit_or("bit").alias("mask"))
+        held = need.join(before, "at").join(levels[d - 1].withColumnRenamed("node", "p"), ["p", "word"]).select("at", "word", "p", F.col("mask").bitwiseAND(F.col("bits")).alias("got")).where("got <> 0")
+        earlier = F.bit_or("got").over(Window.partitionBy("at", "word").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+        first = held.withColumn("fresh", F.col("got").bitwiseAND(F.bitwise_not(F.coalesce(earlier, F.lit(0).cast("long"))))).where("fresh <> 0").select("at", "word", "p", "fresh")
+        step = paths.join(first, ["at", "word"]).where(F.col("fresh").bitwiseAND(F.col("bit")) != 0)
+        paths = settle(step.select("scc_id", "v", F.col("p").alias("at"), "word", "bit", F.concat(F.array("p"), "path").alias("path")))
+    whole = paths.select("scc_id", F.concat(F.array("v"), "path").alias("path"))
     least = F.array_position("path", F.array_min("path")).cast("int")
     turned = F.concat(F.slice("path", least, F.size("path")), F.slice("path", F.lit(1), least - 1))
-    return done.rows.select("scc_id", turned.alias("path")).distinct()
+    return whole.select("scc_id", turned.alias("path")).distinct()
 
 
 def with_cycle_ids(cycles: DataFrame) -> DataFrame:
@@ -218,8 +306,6 @@ def edge_cycle_counts(cycles: DataFrame) -> DataFrame:
 
 def ranked_cycle_edges(counts: DataFrame, weights: DataFrame, names: DataFrame) -> DataFrame:
     """Cyclic edges by rank in their component: cycles descending, symbols, then names."""
-    from pyspark.sql import Window
-
     named = counts.join(weights, ["src", "dst"], "left").na.fill(0, ["refs"])
     named = named.join(names.toDF("src", "src_name"), "src").join(names.toDF("dst", "dst_name"), "dst")
     order = Window.partitionBy("scc_id").orderBy(F.desc("cycles"), "refs", "src_name", "dst_name")

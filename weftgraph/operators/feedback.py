@@ -2,59 +2,16 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import is_pure_reexport
-from weftgraph.operators.cycles import cycles_kernel, inner_edges, scc_kernel
+from weftgraph.operators.cycles import cycle_arcs, edge_cycle_counts, inner_edges, minimal_cycles
+from weftgraph.operators.numbering import numbered
+from weftgraph.scratch import Grown, settle
 
 #: Order in which edges are given up among equals: last those that a hierarchy needs.
 PREFERRED, NEUTRAL, STRUCTURAL = 0, 1, 2
-SCHEMA = "scc_id long, src long, dst long, cycles long, refs long, feedback boolean"
-
-
-def cover(edges: list[tuple[int, int]], key: dict[tuple[int, int], tuple]) -> list[tuple[int, int]]:
-    """Greedy cover of the minimal cycles; what cycles the cut leaves are covered in turn, until there are none.
-
-    ``key``: of edges that cover equally many cycles the one with the least key goes first.
-    """
-    chosen: list[tuple[int, int]] = []
-    left = sorted(set(edges))
-    while True:
-        inside = scc_kernel(left)
-        core = [(a, b) for a, b in left if inside.get(a) is not None and inside.get(a) == inside.get(b) and a != b]
-        if not core:
-            return chosen
-        groups: dict[int, list[tuple[int, int]]] = {}
-        for e in core:
-            groups.setdefault(inside[e[0]], []).append(e)
-        for group in groups.values():
-            cycles = [list(zip(p, p[1:] + p[:1], strict=True)) for p in cycles_kernel(group)]
-            of: dict[tuple[int, int], list[int]] = {}
-            for i, c in enumerate(cycles):
-                for e in c:
-                    of.setdefault(e, []).append(i)
-            count = {e: len(x) for e, x in of.items()}
-            queue = [(-n, key[e], e) for e, n in count.items()]
-            heapq.heapify(queue)
-            covered = [False] * len(cycles)
-            while queue:
-                n, _, best = heapq.heappop(queue)
-                if -n != count[best]:  # counts only fall: back with what is left
-                    if count[best]:
-                        heapq.heappush(queue, (-count[best], key[best], best))
-                    continue
-                chosen.append(best)
-                for i in of[best]:
-                    if not covered[i]:
-                        covered[i] = True
-                        for e in cycles[i]:
-                            count[e] -= 1
-        gone = set(chosen)
-        left = [e for e in left if e not in gone]
 
 
 def removal_bias(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -67,39 +24,65 @@ def removal_bias(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("src", "dst", bias.otherwise(NEUTRAL).alias("bias"))
 
 
-def feedback_edges(edges: DataFrame, components: DataFrame, weights: DataFrame, names: DataFrame, bias: DataFrame | None = None) -> DataFrame:
+def cover_by_dominance(cycles: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(src, dst): a greedy cover of cycles (scc_id, path), the same as one choice after the other would make.
+
+    ``ranks`` (src, dst, rank): of edges on equally many uncovered cycles the one of least rank goes first.  An edge that comes before all edges
+    that it shares an uncovered cycle with is chosen by the one-by-one cover too, whatever happens elsewhere: counts only fall, and its own stays
+    until one of those is chosen.  So a round takes all such edges, in all components, and the cycles on them leave.
+    """
+    left = settle(cycle_arcs(cycles).select("cycle_id", "src", "dst").distinct().join(ranks, ["src", "dst"]))
+    chosen: Grown | None = None
+    while not left.isEmpty():
+        counts = left.groupBy("src", "dst").agg(F.count("*").alias("n"))
+        ranked = settle(left.join(counts, ["src", "dst"]).select("cycle_id", "src", "dst", "rank", F.struct((-F.col("n")).alias("less"), "rank").alias("key")))
+        best = ranked.groupBy("cycle_id").agg(F.min("key").alias("best"))
+        won = ranked.join(best, "cycle_id").groupBy("src", "dst").agg(F.bool_and(F.col("key") == F.col("best")).alias("won")).where("won").select("src", "dst")
+        won = settle(won)
+        if chosen is None:
+            chosen = Grown(won)
+        else:
+            chosen.add(won)
+        covered = ranked.join(won, ["src", "dst"], "left_semi").select("cycle_id").distinct()
+        left = settle(ranked.select("cycle_id", "src", "dst", "rank").join(covered, "cycle_id", "left_anti"))
+    return chosen.rows if chosen else cycles.sparkSession.createDataFrame([], "src long, dst long")
+
+
+def feedback_edges(edges: DataFrame, components: DataFrame, weights: DataFrame, names: DataFrame, bias: DataFrame | None = None, cycles: DataFrame | None = None) -> DataFrame:
     """All edges inside components, with their minimal cycles and symbols, and whether they are to go.
 
-    Greedy cover goes by one choice after the other, so a component is a group of one kernel; components run side by side.
+    The minimal cycles are covered; what cycles the cut leaves are covered in turn, until there are none.
     """
-    inner = inner_edges(edges, components).join(weights, ["src", "dst"], "left").na.fill(0, ["refs"])
+    inner = inner_edges(edges, components).join(weights.select("src", "dst", "refs"), ["src", "dst"], "left").na.fill(0, ["refs"])
     inner = inner.join(names.toDF("src", "src_name"), "src").join(names.toDF("dst", "dst_name"), "dst")
     inner = inner.withColumn("bias", F.lit(NEUTRAL)) if bias is None else inner.join(bias, ["src", "dst"], "left").na.fill(NEUTRAL, ["bias"])
-
-    def kernel(scc: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(*(pdf[c].tolist() for c in ("src", "dst", "refs", "bias", "src_name", "dst_name")), strict=True))
-        pairs = [(a, b) for a, b, *_ in rows]
-        key = {(a, b): (bias, refs, s, d) for a, b, refs, bias, s, d in rows}
-        count = dict.fromkeys(pairs, 0)
-        for path in cycles_kernel(pairs):
-            for e in zip(path, path[1:] + path[:1], strict=True):
-                count[e] += 1
-        gone = set(cover(pairs, key))
-        return pd.DataFrame([(scc[0], a, b, count[a, b], refs, (a, b) in gone) for a, b, refs, *_ in rows], columns=["scc_id", "src", "dst", "cycles", "refs", "feedback"])
-
-    return inner.groupBy("scc_id").applyInPandas(kernel, SCHEMA)
+    inner = settle(inner)
+    ranks = numbered(inner, ["bias", "refs", "src_name", "dst_name"], "rank").select("src", "dst", "rank")
+    cycles = settle(minimal_cycles(inner, components) if cycles is None else cycles)
+    counts = edge_cycle_counts(cycles).select("src", "dst", "cycles")
+    left, gone = inner.select("src", "dst"), None
+    while not cycles.isEmpty():
+        cut = settle(cover_by_dominance(cycles, ranks))
+        gone = cut if gone is None else settle(gone.union(cut))
+        left = settle(left.join(cut, ["src", "dst"], "left_anti"))
+        cycles = settle(minimal_cycles(left))
+    out = inner.join(counts, ["src", "dst"], "left").na.fill(0, ["cycles"])
+    marked = out.withColumn("feedback", F.lit(False)) if gone is None else out.join(gone.withColumn("feedback", F.lit(True)), ["src", "dst"], "left").na.fill(False, ["feedback"])
+    return marked.select("scc_id", "src", "dst", "cycles", "refs", "feedback")
+
+
+def ranked_edges(feedback: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges of each component in order: most cycles first, then fewest symbols, then names; ``place`` from 0."""
+    names = nodes.select("node_id", "qualified_name")
+    named = feedback.join(names.toDF("src", "src_name"), "src").join(names.toDF("dst", "dst_name"), "dst")
+    return numbered(settle(named.withColumn("less", -F.col("cycles"))), ["less", "refs", "src_name", "dst_name"], "place", within=("scc_id",))
 
 
 def cluster_report(feedback: DataFrame, cycles: DataFrame, components: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row a component, in order: edges to remove, cycles, nodes, least node; with its crate and its edges by rank."""
-    from pyspark.sql import Window
-
-    names = nodes.select("node_id", "qualified_name")
-    named = feedback.join(names.toDF("src", "src_name"), "src").join(names.toDF("dst", "dst_name"), "dst")
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("cycles")).alias("less"), "refs", "src_name", "dst_name", "feedback")))
-    per = named.groupBy("scc_id").agg(ranked.alias("edges"), F.count_if("feedback").alias("n_feedback"))
+    """One row a component, in order: edges to remove, cycles, nodes, least node; with its crate and its first cycle.  Its edges: ``ranked_edges``."""
+    per = feedback.groupBy("scc_id").agg(F.count_if("feedback").alias("n_feedback"))
     per = per.join(cycles.groupBy("scc_id").agg(F.count("*").alias("n_cycles"), F.min("path").alias("first_cycle")), "scc_id")
     per = per.join(components.groupBy("scc_id").agg(F.count("*").alias("n_nodes")), "scc_id")
     crate = nodes.select(F.col("node_id").alias("scc_id"), F.get("path", F.lit(0)).alias("crate"))
-    order = Window.orderBy("n_feedback", "n_cycles", "n_nodes", "scc_id")  # one row a component
-    return per.join(crate, "scc_id", "left").withColumn("position", F.row_number().over(order))
+    rows = settle(per.join(crate, "scc_id", "left"))
+    return numbered(rows, ["n_feedback", "n_cycles", "n_nodes", "scc_id"]).withColumn("position", F.col("position") + 1)

@@ -48,15 +48,13 @@ LINE = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipd
 BRAND_ALL = f"""follow AS (SELECT CAST(substr(p_brand, 7) AS BIGINT) AS src, lead(CAST(substr(p_brand, 7) AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY {LINE}) AS dst
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 brand_all AS (SELECT src, dst, count(*) AS weight FROM follow WHERE src <> dst GROUP BY ALL)"""
-NET = """,
-g AS (SELECT x.src, x.dst, x.weight FROM {0} x LEFT JOIN {0} y ON x.src = y.dst AND x.dst = y.src WHERE x.weight > coalesce(y.weight, 0))"""
-BRAND = BRAND_ALL + NET.format("brand_all")
+NET = "SELECT x.src, x.dst, x.weight FROM {0} x LEFT JOIN {0} y ON x.src = y.dst AND x.dst = y.src WHERE x.weight > coalesce(y.weight, 0)"
+BRAND = BRAND_ALL + ",\ng AS (SELECT * FROM brand_all)"
 NATION_ALL = """nation_all AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS weight
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY ALL)"""
-NATION = NATION_ALL + NET.format("nation_all")
-SUPPLY = NATION_ALL + """,
-g AS (SELECT src, dst, weight FROM nation_all JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey WHERE a.n_regionkey < b.n_regionkey)"""
+NATION = NATION_ALL + ",\ng AS (SELECT * FROM nation_all)"
+PURCHASE = "g AS (SELECT DISTINCT o_custkey + 1000000 AS src, l_suppkey + 2000000000 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 USER = """follow AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events),
 g AS (SELECT src, dst, count(*) AS weight FROM follow WHERE src <> dst GROUP BY ALL)"""
 #: SCC by closure, cyclic edges, breadth-first distances with the least predecessor as parent, paths, turned to their least node.
@@ -64,11 +62,10 @@ CYCLES = """r AS (SELECT src AS a, dst AS b FROM g UNION SELECT r.a, g.dst FROM
 scc AS (SELECT x.a AS node_id, min(x.b) AS scc_id FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
 multi AS (SELECT node_id, scc_id FROM scc WHERE scc_id IN (SELECT scc_id FROM scc GROUP BY scc_id HAVING count(*) > 1)),
 e AS (SELECT g.src, g.dst, x.scc_id FROM g JOIN multi x ON g.src = x.node_id JOIN multi y ON g.dst = y.node_id AND x.scc_id = y.scc_id),
-size AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM multi GROUP BY scc_id)),
-bfs AS (SELECT dst AS v, dst AS w, 0 AS d FROM e UNION SELECT bfs.v, e.dst, d + 1 FROM bfs JOIN e ON e.src = bfs.w WHERE d + 1 < (SELECT n FROM size)),
-dist AS (SELECT v, w, min(d) AS d FROM bfs GROUP BY v, w),
+dist(v, w, d) USING KEY (v, w) AS (SELECT DISTINCT dst, dst, 0 FROM e
+  UNION SELECT dist.v, e.dst, min(dist.d) + 1 FROM dist JOIN e ON e.src = dist.w LEFT JOIN recurring.dist k ON k.v = dist.v AND k.w = e.dst WHERE k.v IS NULL GROUP BY dist.v, e.dst),
 parent AS (SELECT x.v, e.dst AS w, min(e.src) AS p FROM dist x JOIN e ON e.src = x.w JOIN dist y ON y.v = x.v AND y.w = e.dst AND y.d = x.d + 1 GROUP BY x.v, e.dst),
-path AS (SELECT v, v AS w, [v] AS ns FROM (SELECT DISTINCT v FROM bfs) UNION ALL SELECT path.v, p.w, list_append(path.ns, p.w) FROM path JOIN parent p ON p.v = path.v AND p.p = path.w),
+path AS (SELECT v, v AS w, [v] AS ns FROM (SELECT DISTINCT v FROM dist) UNION ALL SELECT path.v, p.w, list_append(path.ns, p.w) FROM path JOIN parent p ON p.v = path.v AND p.p = path.w),
 ring AS (SELECT e.scc_id, e.src, e.dst, path.ns AS ns FROM e JOIN path ON path.v = e.dst AND path.w = e.src),
 turned AS (SELECT scc_id, src, dst, ns[list_position(ns, list_min(ns)):] || ns[:list_position(ns, list_min(ns)) - 1] AS ns FROM ring),
 cycle AS (SELECT DISTINCT scc_id, ns FROM turned),
@@ -106,7 +103,19 @@ def dep_edges_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BRAND_ALL} SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM brand_all) WHERE k <= 2")
 def top_targets_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report: the two brands that follow each brand most."""
-    return ed.pick_top(t.brand_pairs(spark, sf_dir), 2)
+    return ed.pick_top(t.brand_edges(spark, sf_dir), 2)
+
+
+@query(f"WITH {BRAND_ALL} {NET.format('brand_all')}")
+def net_edges_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report: which brand mostly follows which."""
+    return t.net(t.brand_edges(spark, sf_dir))
+
+
+@query(f"WITH {NATION_ALL} {NET.format('nation_all')}")
+def net_edges_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report: the way that more is traded."""
+    return t.net(t.nation_edges(spark, sf_dir))
 
 
 @query("""SELECT l_suppkey, l_partkey, arg_min(l_orderkey, (l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice)) AS l_orderkey,
@@ -266,22 +275,24 @@ def feature_seed_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crates(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    nodes = t.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"), F.lit("crate").alias("kind"))
-    home = t.trade(spark, sf_dir).where("c_nationkey = s_nationkey").select(F.col("c_nationkey").cast("long").alias("src"), (F.col("l_suppkey") + t.SUPPLIER).alias("dst"))
-    inside = home.distinct()  # suppliers that sell in their own nation
-    return PropertyGraph(nodes, t.as_edges(t.supply_edges(spark, sf_dir), CRATE_DEP).unionByName(t.as_edges(inside, CONTAINS)))
+    """Customers and suppliers are crates; customers contain their orders and depend on the suppliers that they bought from."""
+    crate = F.lit("crate").alias("kind")
+    customers = t.table(spark, sf_dir, "customer").select((F.col("c_custkey") + t.CUSTOMER).alias("node_id"), crate)
+    suppliers = t.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + t.SUPPLIER).alias("node_id"), crate)
+    orders = t.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") + t.CUSTOMER).alias("src"), (F.col("o_orderkey") + t.ORDER).alias("dst"))
+    return PropertyGraph(customers.union(suppliers), t.as_edges(t.purchase_edges(spark, sf_dir), CRATE_DEP).unionByName(t.as_edges(orders, CONTAINS)))
 
 
 ENTRY = "entry AS (SELECT DISTINCT src AS node_id FROM g WHERE src NOT IN (SELECT dst FROM g))"
 
 
-@query(f"WITH {SUPPLY}, {ENTRY} SELECT node_id FROM entry")
+@query(f"WITH {PURCHASE}, {ENTRY} SELECT node_id FROM entry")
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _crates(spark, sf_dir)
     return re_.entry_points(g.edges, g.nodes)
 
 
-@query(f"WITH RECURSIVE {SUPPLY}, {ENTRY}, s AS (SELECT node_id FROM entry UNION SELECT CAST(c_nationkey AS BIGINT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey = s_nationkey), r AS (SELECT node_id FROM s UNION SELECT g.dst FROM r JOIN g ON g.src = r.node_id) SELECT node_id FROM r")
+@query(f"WITH RECURSIVE {PURCHASE}, {ENTRY}, s AS (SELECT node_id FROM entry UNION SELECT o_custkey + 1000000 FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT node_id FROM s UNION SELECT g.dst FROM r JOIN g ON g.src = r.node_id) SELECT node_id FROM r")
 def production_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _crates(spark, sf_dir)
     return re_.production_reachable(g.edges, g.nodes)
@@ -307,8 +318,13 @@ def minimal_cycles_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {NATION}, {CYCLES} SELECT scc_id, array_to_string(ns, ',') AS path FROM cycle")
 def minimal_cycles_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The way of large components, whose searches are joins."""
-    return cy.minimal_cycles(t.nation_edges(spark, sf_dir), kernel_steps=0).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+    return cy.minimal_cycles(t.nation_edges(spark, sf_dir)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+
+
+@query(f"WITH RECURSIVE {USER}, {CYCLES} SELECT scc_id, array_to_string(ns, ',') AS path FROM cycle")
+def minimal_cycles_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of longer cycles beside those of two."""
+    return cy.minimal_cycles(t.user_edges(spark, sf_dir)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
 
 
 @query(f"WITH RECURSIVE {BRAND}, {CYCLES} SELECT src, dst, CAST(min(len(ns)) AS INTEGER) AS length FROM arcs GROUP BY src, dst")
@@ -333,7 +349,17 @@ def ranked_cycle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {BRAND}, {CYCLES} SELECT DISTINCT a.src, a.dst, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.src = a.dst AND g.dst = a.src) THEN 'direct' ELSE 'transitive' END AS kind FROM arcs a")
 def cycle_kind_direct_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = t.as_edges(t.brand_edges(spark, sf_dir)).cache()
+    return _cycle_kinds(t.brand_edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {USER}, {CYCLES} SELECT DISTINCT a.src, a.dst, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.src = a.dst AND g.dst = a.src) THEN 'direct' ELSE 'transitive' END AS kind FROM arcs a")
+def cycle_kind_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds: pairs that follow each other, and longer ways round."""
+    return _cycle_kinds(t.user_edges(spark, sf_dir))
+
+
+def _cycle_kinds(pairs: DataFrame) -> DataFrame:
+    edges = t.as_edges(pairs).cache()
     cyclic = cy.cycle_arcs(cy.minimal_cycles(edges)).select("src", "dst").distinct().withColumn("edge_type", F.lit(MODULE_DEP))
     return ed.cycle_kind(cyclic, edges).select("src", "dst", "kind")
 
@@ -350,8 +376,9 @@ def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = t.brand_graph(spark, sf_dir).cache()
     components = cy.strong_components(g.edges).cache()
     weights = t.brand_edges(spark, sf_dir).select("src", "dst", F.col("weight").alias("refs"))
-    found = fb.feedback_edges(g.edges, components, weights, g.nodes.select("node_id", "qualified_name"), fb.removal_bias(g.edges, g.nodes))
-    return fb.cluster_report(found, cy.minimal_cycles(g.edges, components), components, g.nodes)
+    cycles = cy.minimal_cycles(g.edges, components).cache()
+    found = fb.feedback_edges(g.edges, components, weights, g.nodes.select("node_id", "qualified_name"), fb.removal_bias(g.edges, g.nodes), cycles)
+    return fb.cluster_report(found, cycles, components, g.nodes)
 
 
 # --- importers
@@ -514,6 +541,7 @@ def edge_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT node_id, 0 AS level FROM n WHERE node_id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, level + 1 FROM w JOIN e ON e.src = w.node_id)
 SELECT node_id, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY node_id""")
 def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels are of acyclic graphs, so each pair of brands counts from the smaller on."""
     nodes = t.table(spark, sf_dir, "part").select(t.brand_id().alias("node_id")).distinct()
     return od.topo_levels(t.brand_edges(spark, sf_dir).where("src < dst"), nodes)
 
@@ -536,15 +564,15 @@ def layout_arcs_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT page_id, string_split(regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^https?://', ''), '/') AS ps FROM pages),
-k AS (SELECT array_to_string(ps[:n], '/') AS prefix FROM s, (SELECT unnest([1, 2, 3]) AS n) WHERE n <= len(ps) GROUP BY 1 HAVING count(*) > 1),
+k AS (SELECT array_to_string(ps[:n], '/') AS prefix FROM s, (SELECT unnest(range(1, (SELECT max(len(ps)) FROM s) + 1)) AS n) WHERE n <= len(ps) GROUP BY 1 HAVING count(*) > 1),
 c AS (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS n FROM s),
 b AS (SELECT page_id, max(n) AS n FROM c JOIN k ON array_to_string(ps[:n], '/') = prefix GROUP BY page_id)
 SELECT s.page_id, CASE WHEN b.n IS NULL THEN ps[1] ELSE array_to_string(ps[:b.n], '/') END AS prefix, CAST(coalesce(b.n, 1) AS INTEGER) AS n FROM s LEFT JOIN b USING (page_id)""")
 def longest_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known prefixes: of one to three parts, those that two pages or more share."""
+    """Known prefixes: those that two pages or more share, of any number of parts."""
     path = F.regexp_replace(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), "^https?://", "")
     pages = t.table(spark, sf_dir, "pages").select("page_id", F.split(path, "/").alias("ps"))
-    some = pages.select("ps", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size("ps")))).alias("n"))
+    some = pages.select("ps", F.explode(F.sequence(F.lit(1), F.size("ps"))).alias("n"))
     known = some.groupBy(F.array_join(F.slice("ps", F.lit(1), F.col("n")), "/").alias("prefix")).agg(F.count("*").alias("pages")).where("pages > 1").select("prefix")
     return lo.longest_prefix(pages, "page_id", "ps", known, "/").select("page_id", "prefix", "n")
 

@@ -21,24 +21,19 @@ def brand_id() -> F.Column:
 
 
 def net(pairs: DataFrame) -> DataFrame:
-    """The pairs (src, dst, weight) that outweigh their way back."""
+    """A report: the pairs (src, dst, weight) that outweigh their way back."""
     back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("back"))
     return pairs.join(back, ["src", "dst"], "left").where(F.col("weight") > F.coalesce("back", F.lit(0))).drop("back")
 
 
-def brand_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight): which brand follows which within an order."""
+def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, weight): which brand follows which within an order, all pairs both ways."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), brand_id().alias("brand"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER).join(parts, "l_partkey")
     following = lines.select(F.col("brand").alias("src"), F.lead("brand").over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).alias("dst"))
     return following.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight): which brand mostly follows which."""
-    return net(brand_pairs(spark, sf_dir))
-
-
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with customer, supplier and their nations."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
@@ -47,21 +42,16 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").join(customers, "c_custkey").join(suppliers, "l_suppkey")
 
 
-def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, weight): customers' nation to suppliers' nation, all pairs that trade."""
     pairs = trade(spark, sf_dir).where("c_nationkey <> s_nationkey").groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
     return pairs.agg(F.count("*").alias("weight"))
 
 
-def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight): customers' nation to suppliers' nation, the way that more is traded."""
-    return net(nation_pairs(spark, sf_dir))
-
-
-def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight): customers' nation to suppliers' nation of a region further on."""
-    region = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.col("n_regionkey").alias("region"))
-    placed = nation_pairs(spark, sf_dir).join(region.toDF("src", "from"), "src").join(region.toDF("dst", "to"), "dst")
-    return placed.where(F.col("from") < F.col("to")).select("src", "dst", "weight")
+def purchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): customers to the suppliers that they bought from."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") + CUSTOMER).alias("src"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") + SUPPLIER).alias("dst")).join(orders, "l_orderkey").select("src", "dst").distinct()
 
 
 def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +114,7 @@ def as_edges(pairs: DataFrame, edge_type: str = MODULE_DEP, shift: int = 0) -> D
 
 def nation_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions and nations; every pair of nations that trade is a module dependency."""
-    return PropertyGraph(place_nodes(spark, sf_dir, levels=2), as_edges(nation_pairs(spark, sf_dir), shift=NATION)).cache()
+    return PropertyGraph(place_nodes(spark, sf_dir, levels=2), as_edges(nation_edges(spark, sf_dir), shift=NATION)).cache()
 
 
 def brand_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
