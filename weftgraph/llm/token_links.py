@@ -18,6 +18,7 @@ the empty string; repeated rows are documents of their own, each counted; extra
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,13 @@ from weftgraph.llm.sentencepieces import MARK, PieceModel
 from weftgraph.llm.shared import materialize
 from weftgraph.llm.word_table import WordTable
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Text of a slice: its segments are encoded and aligned once each.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: How byte-level BPE of this kind splits a text, and the first byte of characters from U+0240 on.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+FAR = bytes(range(0xC9, 0x100))
 #: Pairs whose counts are broadcast, at most.
 MOST_HOT = 250_000
 
@@ -58,6 +64,7 @@ class ByteLevel:
         vocabulary = {i: bytes(byte[c] for c in token) for token, i in spec["model"]["vocab"].items() if i not in added} | added
         self.size = max(vocabulary, default=-1) + 1
         self.tokens = [vocabulary.get(i, b"") for i in range(self.size)]
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         steps = spec.get("pre_tokenizer") or {}
         #: its split never puts what follows white space and what stands before it into one token
         self.by_segment = bool(
@@ -65,26 +72,37 @@ class ByteLevel:
             and all(t.get("special") for t in spec.get("added_tokens", []))
         )
 
-    def encode(self, segments: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast([s.decode("utf-8") for s in segments], add_special_tokens=False)]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"].get("merges", [])]
+        ranked = self.by_segment and len(byte) == 256 and all(spec["model"]["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and self.size - len(added) == 256 + len(merges)
+        self.fast = None
+        if ranked:  # ids ascend as merges do, so another library makes the same tokens, several times faster
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks={t: i for i, t in vocabulary.items() if i not in added}, special_tokens={})
+
+    def encode(self, data: bytes, plain: bool = False) -> list[int]:
+        """``plain``: no letters that the libraries' tables of characters may not agree on."""
+        if plain and self.fast:
+            return self.fast.encode_ordinary(data.decode("utf-8"))
+        return self.library.encode_batch_fast([data.decode("utf-8")], add_special_tokens=False)[0].ids
 
 
 class Pieces:
     """A SentencePiece model as bytes: U+2581 is a space, a byte piece its byte."""
 
     def __init__(self, path: str):
-        self.model = PieceModel(path)
-        library = self.model.library
+        model = PieceModel(path)
+        self.library = library = model.library
         self.size = library.get_piece_size()
         self.tokens = [bytes([int(library.id_to_piece(i)[3:5], 16)]) if library.is_byte(i) else library.id_to_piece(i).replace(MARK, " ").encode() for i in range(self.size)]
-        self.by_segment = self.model.by_segment
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.by_segment = model.by_segment
+        #: the library makes nothing of an empty text, not even its space, which stands before a line feed's byte piece
+        self.lone = len(library.encode("\n")) - 1
 
-    def encode(self, segments: list[bytes]) -> list[list[int]]:
-        """Of segments, which begin with a space: the one that the library adds."""
-        if not self.by_segment:
-            return self.model.library.encode([s[1:].decode("utf-8") for s in segments], num_threads=1)
-        ids, first, count = self.model._segments(segments)
-        return [ids[a : a + n].tolist() for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+    def encode(self, data: bytes, plain: bool = False) -> list[int]:
+        """Of a text that begins with a space: the one that the library adds."""
+        return self.library.encode(data[1:].decode("utf-8"), num_threads=1) if len(data) > 1 else self.library.encode("\n")[: self.lone]
 
 
 class Aligner:
@@ -113,25 +131,53 @@ class Aligner:
         self.numbered = 0
 
     def _number(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the table: each new segment's number stands for it; its tokens are kept aside."""
-        good = np.ones(len(segments), bool)
-        for side, tokenizer in enumerate(self.pair):
-            encoded = []
-            for at in range(0, len(segments), 2000):
-                encoded += tokenizer.encode(segments[at : at + 2000])
-            made = [[tokenizer.tokens[i] for i in ids] for ids in encoded]
-            good &= np.array([b"".join(x) == s for x, s in zip(made, segments, strict=True)], bool)
-            count = np.array([len(ids) for ids in encoded], np.int64)
-            size = np.array([len(t) for x in made for t in x], np.int64)
-            end = np.cumsum(size)
-            self.ids[side].append(np.array([i for ids in encoded for i in ids], np.int32))
-            self.ends[side].append((end - np.repeat(np.append(0, end)[np.cumsum(count) - count], count)).astype(np.int32))
-            self.counts[side].append(count)
+        """For the table: each new segment's number stands for it; its tokens are kept aside.
+
+        Segments go to the libraries end to end, some thousand bytes at once, and the tokens are told apart by their bytes.  A run whose tokens
+        don't end where its segments do is halved: where a segment ends in white space, or the library makes other bytes of it.
+        """
+        good = np.zeros(len(segments), bool)
+        found: list[tuple[list[np.ndarray], ...]] = [([], [], []), ([], [], [])]
+        none = np.zeros(0, np.int32)
+        most = 2048 if self.by_segment else 1
+        runs = [(i, min(i + most, len(segments))) for i in range(0, len(segments), most)][::-1]
+        while runs:
+            low, high = runs.pop()
+            done = self._encoded(segments[low:high])
+            if done is None and high - low > 1:  # what went wrong is in one half, or where they meet
+                runs += [((low + high) // 2, high), (low, (low + high) // 2)]
+                continue
+            good[low:high] = done is not None
+            for side in (0, 1):
+                for kept, x in zip(found[side], done[side] if done else (none, none, np.zeros(1, np.int64)), strict=True):
+                    kept.append(x)
+        for side in (0, 1):
+            for pool, new in zip((self.ids, self.ends, self.counts), found[side], strict=True):
+                pool[side] += new
         self.good.append(good)
         numbers = np.arange(self.numbered, self.numbered + len(segments))
         self.numbered += len(segments)
         return numbers.astype(np.int32), np.arange(len(segments)), np.ones(len(segments), np.int64)
 
+    def _encoded(self, segments: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+        """Each tokenizer's (ids, ends within their segment, tokens of each segment); None if tokens don't spell the segments and end with them."""
+        data = b"".join(segments)
+        close = np.cumsum([len(s) for s in segments])
+        plain = len(data.translate(None, FAR)) == len(data)
+        out = []
+        for tokenizer in self.pair:
+            ids = np.array(tokenizer.encode(data, plain), np.int32)
+            if b"".join(map(tokenizer.tokens.__getitem__, ids.tolist())) != data:
+                return None
+            ends = np.cumsum(tokenizer.sizes[ids])
+            last = np.searchsorted(ends, close)
+            if (ends[last] != close).any():
+                return None
+            count = np.diff(np.append(-1, last))
+            begin = np.append(0, close[:-1])
+            out.append((ids, (ends - np.repeat(begin, count)).astype(np.int32), count))
+        return out
+
     def __call__(self, part: Texts) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """([a ids, a ends, a counts, b ids, b ends, b counts] of the segments that occur, segments of each text end to end, how many each text has).
 
