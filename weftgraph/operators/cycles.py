@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.scratch import Grown, settle
+from weftgraph.scratch import Grown, settle, settle_counted
 
 #: Edges that a task contracts together.
 CHUNK = 1 << 19
@@ -91,9 +91,9 @@ def _jumped(to: DataFrame) -> DataFrame:
     """(node_id, rep) with each rep followed to the end: pointers double, so that n steps take log n rounds."""
     while True:
         far = to.select(F.col("node_id").alias("rep"), F.col("rep").alias("far"))
-        new = settle(to.join(far, "rep", "left").select("node_id", F.coalesce("far", "rep").alias("rep"), F.col("far").isNotNull().alias("moved")))
-        to = new.select("node_id", "rep")
-        if new.where("moved").isEmpty():
+        to, seen = settle_counted(to.join(far, "rep", "left").select("node_id", F.coalesce("far", "rep").alias("rep"), F.col("far").isNotNull().alias("moved")), moved=F.count_if("moved"))
+        to = to.select("node_id", "rep")
+        if not seen["moved"]:
             return to
 
 
@@ -102,46 +102,46 @@ def _relabelled(edges: DataFrame, to: DataFrame) -> DataFrame:
     return edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
 
 
-def _contract(left: DataFrame, events: list[tuple[str, DataFrame]], chunk: int) -> DataFrame:
+def _contract(left: DataFrame, n: int, events: list[tuple[str, DataFrame]], chunk: int) -> tuple[DataFrame, int]:
     """Merges what tasks find to be connected both ways, until none finds anything.
 
     Where two tasks put a node under different representatives, the edges between those, both ways, stay to be merged later.
     """
-    while True:
-        pairs = settle(_merged_here(left, chunk).distinct())
-        if pairs.isEmpty():
-            return left
-        to = _jumped(settle(pairs.groupBy("node_id").agg(F.min("rep").alias("rep"))))
+    while n:
+        pairs, seen = settle_counted(_merged_here(left, chunk).distinct())
+        if not seen["n"]:
+            break
+        to = _jumped(pairs.groupBy("node_id").agg(F.min("rep").alias("rep")))
         events.append(("merge", to))
         apart = _relabelled(pairs.select(F.col("node_id").alias("src"), F.col("rep").alias("dst")), to)
         both = apart.union(apart.select("dst", "src"))
-        left = settle(_relabelled(left, to).union(both).where("src <> dst").distinct())
+        left, seen = settle_counted(_relabelled(left, to).union(both).where("src <> dst").distinct())
+        n = seen["n"]
+    return left, n
 
 
-def _trimmed(left: DataFrame) -> DataFrame:
+def _trimmed(left: DataFrame, n: int) -> tuple[DataFrame, int]:
     """Without nodes that have no edge in or none out, as long as a round takes a tenth of the edges."""
-    n = left.count()
     while n:
-        left = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        m = left.count()
-        if n - m < n / 10:
+        left, seen = settle_counted(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        was, n = n, seen["n"]
+        if was - n < was / 10:
             break
-        n = m
-    return left
+    return left, n
 
 
-def _unchained(left: DataFrame, events: list[tuple[str, DataFrame]]) -> DataFrame:
+def _unchained(left: DataFrame, edges: int, events: list[tuple[str, DataFrame]]) -> tuple[DataFrame, int]:
     """Without nodes that have one edge in and one out: an edge leads from what is before such a chain to what is after it.
 
     Pointers double along the chains, both ways, so that a chain of n nodes takes log n rounds.  Where chains are less than a tenth of the nodes nothing is done.
     """
     into = left.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n_in"), F.min("src").alias("before"))
     out = left.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n_out"), F.min("dst").alias("after"))
-    degrees = settle(into.join(out, "node_id", "full"))
-    one = (F.col("n_in") == 1) & (F.col("n_out") == 1)
-    n, nodes = degrees.agg(F.count_if(one), F.count("*")).first()
-    if n * 10 < nodes or not n:
-        return left
+    one = F.coalesce((F.col("n_in") == 1) & (F.col("n_out") == 1), F.lit(False))
+    degrees, seen = settle_counted(into.join(out, "node_id", "full"), one=F.count_if(one))
+    n = seen["one"]
+    if n * 10 < seen["n"] or not n:
+        return left, edges
     inner = degrees.where(one).select("node_id", "before", "after")
     chain = settle(inner.withColumns({"first": F.col("before"), "last": F.col("after"), "low": F.col("node_id")}))
     step = 1
@@ -149,9 +149,9 @@ def _unchained(left: DataFrame, events: list[tuple[str, DataFrame]]) -> DataFram
         back = chain.select(F.col("node_id").alias("first"), F.col("first").alias("first2"))
         on = chain.select(F.col("node_id").alias("last"), F.col("last").alias("last2"), F.col("low").alias("low2"))
         both = chain.join(back, "first", "left").join(on, "last", "left")
-        new = settle(both.select("node_id", "before", "after", F.coalesce("first2", "first").alias("first"), F.coalesce("last2", "last").alias("last"), F.least("low", F.coalesce("low2", "low")).alias("low"), (F.col("first2").isNotNull() | F.col("last2").isNotNull()).alias("moved")))
-        chain, step = new.select("node_id", "before", "after", "first", "last", "low"), 2 * step
-        if step > 2 * n or new.where("moved").isEmpty():
+        chain, seen = settle_counted(both.select("node_id", "before", "after", F.coalesce("first2", "first").alias("first"), F.coalesce("last2", "last").alias("last"), F.least("low", F.coalesce("low2", "low")).alias("low"), (F.col("first2").isNotNull() | F.col("last2").isNotNull()).alias("moved")), moved=F.count_if("moved"))
+        chain, step = chain.select("node_id", "before", "after", "first", "last", "low"), 2 * step
+        if step > 2 * n or not seen["moved"]:
             break
     members = chain.select(F.col("node_id").alias("last"), F.lit(True).alias("ring"))
     chain = settle(chain.join(members, "last", "left"))
@@ -162,10 +162,11 @@ def _unchained(left: DataFrame, events: list[tuple[str, DataFrame]]) -> DataFram
     inside = chain.select("node_id")
     rest = left.join(inside.toDF("src"), "src", "left_anti").join(inside.toDF("dst"), "dst", "left_anti")
     over = open_.where("first = before").select(F.col("first").alias("src"), F.col("last").alias("dst"))
-    return settle(rest.select("src", "dst").union(over).where("src <> dst").distinct())
+    left, seen = settle_counted(rest.select("src", "dst").union(over).where("src <> dst").distinct())
+    return left, seen["n"]
 
 
-def _rooted(left: DataFrame, events: list[tuple[str, DataFrame]]) -> DataFrame:
+def _rooted(left: DataFrame, events: list[tuple[str, DataFrame]]) -> tuple[DataFrame, int]:
     """Every node takes the least node that leads to it (its colour); what leads back to that node inside the colour is its component, and leaves.
 
     A round joins the nodes whose colour has just changed, and no others.
@@ -176,8 +177,8 @@ def _rooted(left: DataFrame, events: list[tuple[str, DataFrame]]) -> DataFrame:
     while True:
         came = left.join(moved.toDF("src", "from"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("from").alias("best"))
         now = colours.rows.join(came.select("node_id"), "node_id", "left_semi").groupBy("node_id").agg(F.min("colour").alias("colour"))
-        moved = settle(came.join(now, "node_id").where("best < colour").select("node_id", F.col("best").alias("colour")))
-        if moved.isEmpty():
+        moved, seen = settle_counted(came.join(now, "node_id").where("best < colour").select("node_id", F.col("best").alias("colour")))
+        if not seen["n"]:
             break
         colours.add(moved)
     colour = settle(colours.rows.groupBy("node_id").agg(F.min("colour").alias("colour")))
@@ -186,13 +187,14 @@ def _rooted(left: DataFrame, events: list[tuple[str, DataFrame]]) -> DataFrame:
     frontier = back.rows
     while True:  # who leads back to the root
         step = inside.join(frontier.select(F.col("node_id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node_id"), "colour").distinct()
-        frontier = settle(step.join(back.rows, ["node_id", "colour"], "left_anti"))
-        if frontier.isEmpty():
+        frontier, seen = settle_counted(step.join(back.rows, ["node_id", "colour"], "left_anti"))
+        if not seen["n"]:
             break
         back.add(frontier)
     events.append(("merge", settle(back.rows.where("node_id <> colour").select("node_id", F.col("colour").alias("rep")))))
     gone = settle(back.rows.select("node_id"))
-    return settle(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+    left, seen = settle_counted(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+    return left, seen["n"]
 
 
 def strong_components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -204,17 +206,14 @@ def strong_components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Edges with a null end and loops are ignored; an empty table gives no rows.
     """
     events: list[tuple[str, DataFrame]] = []
-    left = settle(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").distinct())
-    while True:
-        left = _contract(left, events, chunk)
-        left = _trimmed(left)
-        if left.isEmpty():
-            break
-        left = _unchained(left, events)
-        left = _trimmed(left)
-        if left.isEmpty():
-            break
-        left = _rooted(left, events)
+    left, seen = settle_counted(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").distinct())
+    n = seen["n"]
+    while n:
+        left, n = _trimmed(*_contract(left, n, events, chunk))
+        if n:
+            left, n = _trimmed(*_unchained(left, n, events))
+        if n:
+            left, n = _rooted(left, events)
     spark = edges.sparkSession
     known = None  # (node_id, root) of nodes in components
     for kind, table in reversed(events):
@@ -255,17 +254,19 @@ def minimal_cycles(edges: DataFrame, components: DataFrame | None = None) -> Dat
     onward = inner.select(F.col("src").alias("node"), "dst")
     level = seats.select(F.col("node_id").alias("node"), "word", F.col("bit").alias("bits"))
     seen, levels = level, [level]
-    open_ = settle(inner.join(seats.withColumnRenamed("node_id", "dst"), "dst").select("scc_id", F.col("dst").alias("v"), F.col("src").alias("u"), "word", "bit"))
+    open_, count = settle_counted(inner.join(seats.withColumnRenamed("node_id", "dst"), "dst").select("scc_id", F.col("dst").alias("v"), F.col("src").alias("u"), "word", "bit"))
     closed: list[DataFrame | None] = [None]
-    while not open_.isEmpty():
+    while count["n"]:
+        if len(levels) > 1:
+            seen = settle(seen.union(level).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
         reached = level.join(onward, "node").groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
         new = reached.join(seen.withColumnRenamed("bits", "old"), ["node", "word"], "left")
         level = settle(new.select("node", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0"))
         levels.append(level)
-        hit = settle(open_.join(level.withColumnRenamed("node", "u"), ["u", "word"], "left").select("scc_id", "v", "u", "word", "bit", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)).alias("hit")))
+        hit, count = settle_counted(open_.join(level.withColumnRenamed("node", "u"), ["u", "word"], "left").select("scc_id", "v", "u", "word", "bit", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)).alias("hit")), hits=F.count_if("hit"))
+        count["n"] -= count["hits"]
         closed.append(hit.where("hit").drop("hit"))
         open_ = hit.where("not hit").drop("hit")
-        seen = settle(seen.union(level).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
     if len(levels) == 1:
         return edges.sparkSession.createDataFrame([], CYCLE_SCHEMA)
     before = inner.select(F.col("dst").alias("at"), F.col("src").alias("p"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.columns import is_pure_reexport
 from weftgraph.operators.cycles import cycle_arcs, edge_cycle_counts, inner_edges, minimal_cycles
 from weftgraph.operators.numbering import numbered
-from weftgraph.scratch import Grown, settle
+from weftgraph.scratch import Grown, settle, settle_counted
 
 #: Order in which edges are given up among equals: last those that a hierarchy needs.
 PREFERRED, NEUTRAL, STRUCTURAL = 0, 1, 2
@@ -31,9 +31,9 @@ def cover_by_dominance(cycles: DataFrame, ranks: DataFrame) -> DataFrame:
     that it shares an uncovered cycle with is chosen by the one-by-one cover too, whatever happens elsewhere: counts only fall, and its own stays
     until one of those is chosen.  So a round takes all such edges, in all components, and the cycles on them leave.
     """
-    left = settle(cycle_arcs(cycles).select("cycle_id", "src", "dst").distinct().join(ranks, ["src", "dst"]))
+    left, seen = settle_counted(cycle_arcs(cycles).select("cycle_id", "src", "dst").distinct().join(ranks, ["src", "dst"]))
     chosen: Grown | None = None
-    while not left.isEmpty():
+    while seen["n"]:
         counts = left.groupBy("src", "dst").agg(F.count("*").alias("n"))
         ranked = settle(left.join(counts, ["src", "dst"]).select("cycle_id", "src", "dst", "rank", F.struct((-F.col("n")).alias("less"), "rank").alias("key")))
         best = ranked.groupBy("cycle_id").agg(F.min("key").alias("best"))
@@ -44,7 +44,7 @@ def cover_by_dominance(cycles: DataFrame, ranks: DataFrame) -> DataFrame:
         else:
             chosen.add(won)
         covered = ranked.join(won, ["src", "dst"], "left_semi").select("cycle_id").distinct()
-        left = settle(ranked.select("cycle_id", "src", "dst", "rank").join(covered, "cycle_id", "left_anti"))
+        left, seen = settle_counted(ranked.select("cycle_id", "src", "dst", "rank").join(covered, "cycle_id", "left_anti"))
     return chosen.rows if chosen else cycles.sparkSession.createDataFrame([], "src long, dst long")
 
 
@@ -58,14 +58,14 @@ def feedback_edges(edges: DataFrame, components: DataFrame, weights: DataFrame,
     inner = inner.withColumn("bias", F.lit(NEUTRAL)) if bias is None else inner.join(bias, ["src", "dst"], "left").na.fill(NEUTRAL, ["bias"])
     inner = settle(inner)
     ranks = numbered(inner, ["bias", "refs", "src_name", "dst_name"], "rank").select("src", "dst", "rank")
-    cycles = settle(minimal_cycles(inner, components) if cycles is None else cycles)
+    cycles, seen = settle_counted(minimal_cycles(inner, components) if cycles is None else cycles)
     counts = edge_cycle_counts(cycles).select("src", "dst", "cycles")
     left, gone = inner.select("src", "dst"), None
-    while not cycles.isEmpty():
+    while seen["n"]:
         cut = settle(cover_by_dominance(cycles, ranks))
         gone = cut if gone is None else settle(gone.union(cut))
         left = settle(left.join(cut, ["src", "dst"], "left_anti"))
-        cycles = settle(minimal_cycles(left))
+        cycles, seen = settle_counted(minimal_cycles(left))
     out = inner.join(counts, ["src", "dst"], "left").na.fill(0, ["cycles"])
     marked = out.withColumn("feedback", F.lit(False)) if gone is None else out.join(gone.withColumn("feedback", F.lit(True)), ["src", "dst"], "left").na.fill(False, ["feedback"])
     return marked.select("scc_id", "src", "dst", "cycles", "refs", "feedback")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.cycles import minimal_cycles, strong_components
 from weftgraph.operators.edges import cycle_subgraph, edge_weights
-from weftgraph.operators.feedback import cluster_report, feedback_edges, removal_bias
+from weftgraph.operators.feedback import cluster_report, feedback_edges, ranked_edges, removal_bias
 from weftgraph.operators.rules import violations
 from weftgraph.plans.sinks import clusters_text, violations_text
 from weftgraph.schema import MODULE_DEP, PropertyGraph
+from weftgraph.scratch import settle
 from weftgraph.sources.rules_file import RulesError, RulesNotFound, load_rules
 
 
@@ -39,5 +40,6 @@ def cycles_text(graph: PropertyGraph, include_reexports: bool = False) -> str:
     if components.isEmpty():
         return ""
     weights = edge_weights(graph.edges.where(F.col("edge_type") == MODULE_DEP))
-    found = feedback_edges(logic, components, weights, graph.nodes.select("node_id", "qualified_name"), removal_bias(graph.edges, graph.nodes))
-    return clusters_text(cluster_report(found.cache(), minimal_cycles(logic, components), components, graph.nodes), graph.nodes)
+    cycles = settle(minimal_cycles(logic, components))
+    found = feedback_edges(logic, components, weights, graph.nodes.select("node_id", "qualified_name"), removal_bias(graph.edges, graph.nodes), cycles).cache()
+    return clusters_text(cluster_report(found, cycles, components, graph.nodes), ranked_edges(found, graph.nodes), graph.nodes)

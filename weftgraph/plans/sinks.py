@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def violation_block() -> Column:
     """The text of one violation, as a column."""
     level = F.when(F.col("severity") == "error", "error").otherwise("warning")
@@ -29,39 +29,48 @@ def _count(n: int, word: str) -> str:
     return f"{n} {word}" + ("" if n == 1 else "s")
 
 
-def clusters_text(report: DataFrame, nodes: DataFrame) -> str:
-    """Each tangle: a single cycle as a ring with the edge of fewest symbols, else its edges to remove, most cycles first."""
+def clusters_text(report: DataFrame, edges: DataFrame, nodes: DataFrame) -> str:
+    """A block for each tangle, a blank line between blocks, and a summary.  ``edges``: those of all tangles in order (``ranked_edges``).
+
+    A single cycle is a ring with its edge of fewest symbols.  Else the edges to remove stand in columns, most cycles first; a closing
+    sentence tells that they meet every cycle, unless edges and cycles pair off.  Names leave out the tangle's crate.
+    """
     rows = report.orderBy("position").collect()
     if not rows:
         return ""
-    members = report.select("scc_id", F.posexplode("first_cycle").alias("i", "node_id")).join(nodes.select("node_id", "qualified_name"), "node_id").orderBy("scc_id", "i").collect()
-    out, total = [], 0
+    ring_nodes = report.where("n_cycles = 1").select("scc_id", F.posexplode("first_cycle").alias("i", "node_id")).join(nodes.select("node_id", "qualified_name"), "node_id").orderBy("scc_id", "i").collect()
+    cuts: dict[int, list] = {}
+    for e in edges.where("feedback").orderBy("scc_id", "place").collect():
+        cuts.setdefault(e["scc_id"], []).append(e)
+    blocks = []
     for k, r in enumerate(rows, 1):
-        short = lambda name, crate=r["crate"]: name.removeprefix(f"{crate}::")
-        total += r["n_cycles"]
-        out.append(f"cluster {k}/{len(rows)}: {r['crate']} ({_count(r['n_nodes'], 'module')}, {_count(r['n_cycles'], 'cycle')})\n")
-        cut = [e for e in r["edges"] if e["feedback"]]
+        own = f"{r['crate']}::"
+        cut = [(e["src_name"].removeprefix(own), e["dst_name"].removeprefix(own), e["cycles"], _count(e["refs"], "symbol")) for e in cuts.get(r["scc_id"], [])]
+        lines = [f"cluster {k}/{len(rows)}: {r['crate']} ({_count(r['n_nodes'], 'module')}, {_count(r['n_cycles'], 'cycle')})"]
         if r["n_cycles"] == 1:
-            ring = [short(m["qualified_name"]) for m in members if m["scc_id"] == r["scc_id"]]
-            out.append(f"  cycle: {' -> '.join([*ring, ring[0]])}\n")
-            out += [f"  fewest symbols: {short(e['src_name'])} -> {short(e['dst_name'])} ({_count(e['refs'], 'symbol')})\n" for e in cut]
+            ring = [m["qualified_name"].removeprefix(own) for m in ring_nodes if m["scc_id"] == r["scc_id"]]
+            lines.append(f"  cycle: {' -> '.join([*ring, ring[0]])}")
+            lines += [f"  fewest symbols: {a} -> {b} ({symbols})" for a, b, _, symbols in cut[:1]]
         else:
-            differ = len({e["less"] for e in cut}) > 1
-            out.append("  edges, most cycles first:\n" if differ else "  edges:\n")
-            width = max(len(f"{short(e['src_name'])} -> {short(e['dst_name'])}") for e in cut)
-            out += [f"    {(short(e['src_name']) + ' -> ' + short(e['dst_name'])).ljust(width)}  {_count(-e['less'], 'cycle')}, {_count(e['refs'], 'symbol')}\n" for e in cut]
-        out.append("\n")
-    crates = len({r["crate"] for r in rows})
-    return "".join(out) + f"Summary: {_count(len(rows), 'cluster')}, {_count(total, 'cycle')} across {_count(crates, 'crate')}\n"
+            counts = [n for _, _, n, _ in cut]
+            wide = [max((len(str(c[i]).encode()) for c in cut), default=0) for i in range(3)]
+            lines.append("  edges, most cycles first:" if len(set(counts)) > 1 else "  edges:")
+            lines += [f"    {a.ljust(wide[0])} -> {b.ljust(wide[1])} (on {str(n).rjust(wide[2])} {'cycle' if n == 1 else 'cycles'}, {symbols})" for a, b, n, symbols in cut]
+            if len(cut) != r["n_cycles"] or set(counts) != {1}:
+                lines.append("  every cycle contains " + ("this edge" if len(cut) == 1 else f"at least one of these {len(cut)} edges"))
+        blocks.append("".join(line + "\n" for line in lines))
+    crates, cycles = len({r["crate"] for r in rows}), sum(r["n_cycles"] for r in rows)
+    return "\n".join(blocks) + f"\nSummary: {_count(len(rows), 'cluster')}, {_count(cycles, 'cycle')} across {_count(crates, 'crate')}\n"
 
 
 def volatility_text(report: DataFrame, months: int) -> str:
+    """A head, how many files are of each level, and the files, most changes first."""
     rows = report.collect()
     if not rows:
         return f"No .rs file changes in the last {months} months.\n"
-    level = lambda x: sum(r["level"] == x for r in rows)
-    head = f"Volatility over {months} months: {_count(len(rows), 'file')}; low {level('LOW')}, medium {level('MEDIUM')}, high {level('HIGH')}\n"
-    return head + "".join(f"{r['file']}  {r['changes']}  {r['score']:.2f}  {r['level']}\n" for r in rows)
+    level = Counter(r["level"] for r in rows)
+    head = f"Volatility (last {months} months, {len(rows)} files):\n  High: {level['HIGH']}  Medium: {level['MEDIUM']}  Low: {level['LOW']}\n\n"
+    return head + "".join(f"  {r['file']}  {r['changes']}  {r['score']:.2f}  {r['level']}\n" for r in rows)
 
 
 def diagram_json(items: DataFrame, edges: DataFrame, cycles: DataFrame | None = None, clusters: DataFrame | None = None, scopes: DataFrame | None = None) -> str:

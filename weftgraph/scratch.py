@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +26,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``settle``, and numbers that are counted while the rows are written: ``n``, all rows, and those that ``counts`` name.
+
+    Rounds that end by a number need no job of their own to find it.
+    """
+    seen = Observation()
+    done = settle(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(name) for name, c in counts.items())))
+    return done, {k: v or 0 for k, v in seen.get.items()}
+
+
 class Grown:
     """A table that rounds add to: each round writes its own rows only, and every ``fold`` rounds they are written as one."""
 
