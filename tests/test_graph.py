@@ -2,10 +2,9 @@ import random
 
 import pytest
 
-from plain_graph import cover, cycles_kernel
-
 from weftgraph.operators import cycles as cy
 from weftgraph.operators import feedback as fb
+from weftgraph.operators.feedback import cover, cycles_kernel
 from weftgraph.operators import hierarchy as hi
 from weftgraph.operators import importers as im
 from weftgraph.operators import order as od
@@ -116,11 +115,13 @@ def test_cycles_of_bits_are_those_of_a_plain_search(spark):
     assert cy.minimal_cycles(pairs(spark, [(1, 2)])).collect() == []
 
 
-def test_feedback_is_that_of_one_choice_after_the_other(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_feedback_is_that_of_one_choice_after_the_other(spark, monkeypatch, most):
     """200 random graphs as components of one: the same picks as the one-by-one cover."""
+    monkeypatch.setattr(fb, "MOST_OF_AN_EDGE", most)
     rng = random.Random(8)
     edges, refs = [], {}
-    for k in range(200):
+    for k in range(200 if most else 20):
         n = rng.randint(2, 8)
         some = {(100 * k + rng.randrange(n), 100 * k + rng.randrange(n)) for _ in range(rng.randint(2, 24))}
         edges += sorted(e for e in some if e[0] != e[1])
@@ -129,8 +130,9 @@ def test_feedback_is_that_of_one_choice_after_the_other(spark):
     df = spark.createDataFrame([(a, b, refs[a, b]) for a, b in edges], "src long, dst long, refs long")
     names = df.selectExpr("explode(array(src, dst)) as node_id").distinct().selectExpr("node_id", "concat('n', node_id) as name")
     kinds = spark.createDataFrame([(a, b, k) for (a, b), k in bias.items()], "src long, dst long, bias int")
-    got = {(r["src"], r["dst"]) for r in fb.feedback_edges(df, cy.strong_components(df), df, names, kinds).where("feedback").collect()}
-    assert got == set(cover(edges, {e: (bias[e], refs[e], f"n{e[0]}", f"n{e[1]}") for e in edges}))
+    got = {(r["src"], r["dst"]) for r in fb.feedback_edges(df, cy.strong_components(df), df, names, kinds, kernel_steps=0).where("feedback").collect()}
+    one_by_one = {(r["src"], r["dst"]) for r in fb.feedback_edges(df, cy.strong_components(df), df, names, kinds).where("feedback").collect()}
+    assert got == one_by_one == set(cover(edges, {e: (bias[e], refs[e], f"n{e[0]}", f"n{e[1]}") for e in edges}))
 
 
 def feedback(spark, weighted, bias=None):

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import columns as C
 from weftgraph.operators.cycles import cycle_arcs, minimal_cycles, strong_components
 from weftgraph.operators.edges import crate_weights, cycle_subgraph, edge_weights, sibling_weights, suppress_implied_crate_deps
+from weftgraph.operators.numbering import numbered
 from weftgraph.operators.order import order_siblings, tree_order
 from weftgraph.operators.reach import production_reachable
 from weftgraph.schema import CONTAINS, CRATE_DEP, DEV_DEP, MODULE_DEP, PropertyGraph
+from weftgraph.scratch import settle
 
 
 def place(items: DataFrame) -> DataFrame:
@@ -26,9 +28,8 @@ def layout_items(graph: PropertyGraph) -> DataFrame:
     kept = production_reachable(graph.edges, graph.nodes).withColumn("reached", F.lit(True))
     owner = F.coalesce("crate_id", "node_id")
     rows = nodes.withColumn("owner", owner).join(kept.withColumnRenamed("node_id", "owner"), "owner", "left").where("reached or kind <> 'crate'").join(order, "node_id")
-    # a diagram is read as a whole: its items are numbered in one go
-    number = F.row_number().over(Window.orderBy(F.col("reached").desc_nulls_last(), "rank_path")) - 1
-    return place(rows.select("node_id", "kind", "name", "qualified_name", F.col("depth").alias("nesting"), number.alias("position")))
+    rows = settle(rows.select("node_id", "kind", "name", "qualified_name", F.col("depth").alias("nesting"), F.col("reached").isNull().alias("unreached"), "rank_path"))
+    return place(numbered(rows, ["unreached", "rank_path"]).drop("unreached", "rank_path"))
 
 
 def layout_edges(graph: PropertyGraph, items: DataFrame, include_reexports: bool = False) -> DataFrame:

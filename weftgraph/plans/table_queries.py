@@ -21,8 +21,9 @@ from weftgraph.operators import reach as re_
 from weftgraph.operators import rules as ru
 from weftgraph.operators import views as vi
 from weftgraph.operators import volatility as vo
+from weftgraph.operators.numbering import numbered
 from weftgraph.schema import CONTAINS, CRATE_DEP, MODULE_DEP, PropertyGraph
-from weftgraph.scratch import shared_dir
+from weftgraph.scratch import settle, shared_dir
 from weftgraph.sources import tables as t
 from weftgraph.sources.history import RECORD, change_log
 from weftgraph.sources.table_workspace import market
@@ -520,15 +521,13 @@ def highlight_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT CAST(r_regionkey AS BIGINT) AS node_id, 0 AS nesting, r_name AS a, '' AS b FROM region UNION ALL SELECT n_nationkey + 100, 1, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 p AS (SELECT *, row_number() OVER (ORDER BY a, b) - 1 AS position FROM n)
-SELECT node_id, 20 + 20 * nesting AS x, CAST(60 + 30 * position AS INTEGER) AS y, CASE WHEN nesting = 0 THEN 24 ELSE 20 END AS height FROM p""")
+SELECT node_id, 20 + 20 * nesting AS x, 60 + 30 * position AS y, CASE WHEN nesting = 0 THEN 24 ELSE 20 END AS height FROM p""")
 def layout_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = t.place_nodes(spark, sf_dir, levels=2)
     none = spark.createDataFrame([], "src long, dst long, weight long")
     rank = od.tree_order(nodes, od.order_siblings(nodes, none))
-    from pyspark.sql import Window
-
-    items = nodes.join(rank, "node_id").select("node_id", F.col("depth").alias("nesting"), (F.row_number().over(Window.orderBy("rank_path")) - 1).alias("position"))
-    return la.place(items).select("node_id", "x", "y", "height")
+    items = settle(nodes.join(rank, "node_id").select("node_id", F.col("depth").alias("nesting"), "rank_path"))
+    return la.place(numbered(items, ["rank_path"])).select("node_id", "x", "y", "height")
 
 
 @query(f"WITH {BRAND} SELECT src, dst, CASE WHEN 'Brand#' || src < 'Brand#' || dst THEN 'downward' ELSE 'upward' END AS direction, CAST(20 + 15 * greatest(1, abs(src - dst)) AS INTEGER) AS reach FROM g")
