@@ -57,6 +57,12 @@ def test_pieces_are_the_librarys_and_spans_cover_the_text(spark):
         assert r["ends"][-1] == len(text.encode())
 
 
+def test_the_query_returns_the_spans(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"]: hashlib.sha256(" ".join(map(str, [*r["begins"], *r["ends"]])).encode()).hexdigest() for r in sentencepieces.encode(docs, P.path("piece_bpe_32k.model")).collect()}
+    assert {r["doc_id"]: r["spans_sha256"] for r in llm.op5_sentencepieces(spark, SF).collect()} == want
+
+
 def double_array(keys):
     """A trie of (key, replacement offset) in the compiled map's layout, by a plain builder."""
     units = {0: 0}

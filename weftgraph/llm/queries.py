@@ -129,7 +129,9 @@ def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm.sentencepieces import encode
 
     done = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    # the byte spans of the pieces: all first bytes, then all ends
+    spans = F.sha2(F.concat_ws(" ", F.col("begins").cast("array<string>"), F.col("ends").cast("array<string>")), 256)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), spans.alias("spans_sha256"))
 
 
 def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
