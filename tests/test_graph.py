@@ -156,6 +156,19 @@ def test_feedback(spark):
     assert feedback(spark, [("a", "b", 2), ("b", "a", 5)], [("a", "b", fb.STRUCTURAL), ("b", "a", fb.PREFERRED)]) == {("b", "a"): 1}
 
 
+def test_order_inside_a_component_is_that_of_all_permutations():
+    from itertools import permutations
+
+    rng = random.Random(4)
+    for _ in range(150):
+        n = rng.randint(2, 6)
+        name = {i: rng.choice("abc") + str(i) for i in range(n)}  # siblings have names of their own
+        weights = {(i, j): rng.randint(0, 3) for i in range(n) for j in range(n) if i != j and rng.random() < 0.6}
+        cost = lambda o: sum(weights.get((late, early), 0) for i, late in enumerate(o) for early in o[:i])  # noqa: E731, B023
+        want = min(permutations(sorted(range(n), key=lambda x: (name[x], x))), key=lambda o: (cost(o), [name[x] for x in o]))  # noqa: B023
+        assert od.within_component(list(range(n)), weights, name) == list(want)
+
+
 @pytest.mark.parametrize(
     ("names", "weights", "expected"),
     [
