@@ -82,6 +82,27 @@ def test_diagram_and_view(spark):
     assert ViewState().select(1).select(1).selected is None
 
 
+def test_clicks_on_arcs_and_rows():
+    start = ViewState()
+    outside = start.click_arc("1-2")
+    assert outside.arc == "1-2" and outside.cluster is None and outside.click_arc("1-2").arc is None
+    first = start.hover("3-4").click_arc("3-4", 3)
+    assert (first.cluster, first.arc, first.hovered) == (3, None, None)  # the component, as one
+    inner = first.click_arc("3-4", 3)
+    assert (inner.cluster, inner.arc) == (3, "3-4")
+    again = inner.hover("3-4").click_arc("3-4", 3)
+    assert (again.cluster, again.arc, again.hovered) == (3, None, None)
+    other = inner.hover("3-4").click_arc("7-8", 7)
+    assert (other.cluster, other.arc, other.hovered) == (7, None, None)
+    away = inner.click_arc("1-2")
+    assert (away.cluster, away.arc) == (None, "1-2")
+    assert inner.click_empty() == start and inner.select(5).arc is None and inner.select(5).pin("1-2").selected is None
+    assert first.click_row("3-4", 3, True, False) == (inner, True)
+    assert inner.click_row("3-4", 3, True, False) == (inner, True)  # closed by hand: opens, stays pinned
+    assert inner.click_row("3-4", 3, True, True) == (first, False)
+    assert inner.click_row("3-4", 3, False, False) == (first, False)
+
+
 def changes(spark):
     at = datetime.datetime(2024, 5, 1)
     rows = [(at, "a.rs", "M")] * 3 + [(at, "b.rs", "A")] * 11 + [(at, "c.rs", "D"), (datetime.datetime(2020, 1, 1), "c.rs", "M"), (at, "d.rs", "R100")]

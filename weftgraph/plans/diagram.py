@@ -37,25 +37,63 @@ def volatility_report(changes: DataFrame, config: volatility.VolatilityConfig =
 
 @dataclass(frozen=True)
 class ViewState:
-    """What a reader has collapsed, selected and hidden.  Changes give new states."""
+    """What a reader has collapsed, selected and hidden.  Changes give new states.
+
+    One thing is pinned at a time, a node (``selected``) or an arc (``arc``); ``hovered`` is the arc under the pointer.  ``cluster`` is the component that is
+    looked at, around the arc that is pinned inside it.
+    """
 
     collapsed: frozenset[int] = frozenset()
     selected: int | None = None
     layers: frozenset[str] = frozenset({"crate", "module", "reexport", "cycle"})
     cluster: int | None = None
+    arc: str | None = None
+    hovered: str | None = None
 
     def toggle(self, node: int) -> ViewState:
         return replace(self, collapsed=self.collapsed ^ {node})
 
     def select(self, node: int) -> ViewState:
         """Selecting the selected node clears the selection."""
-        return replace(self, selected=None if self.selected == node else node)
+        return replace(self, selected=None if self.selected == node else node, arc=None)
+
+    def pin(self, arc: str) -> ViewState:
+        """Pinning the pinned arc lets it go."""
+        return replace(self, arc=None if self.arc == arc else arc, selected=None)
+
+    def hover(self, arc: str | None) -> ViewState:
+        return replace(self, hovered=arc)
 
     def layer(self, name: str) -> ViewState:
         return replace(self, layers=self.layers ^ {name})
 
-    def click_cluster(self, scc: int) -> ViewState:
-        return replace(self, cluster=None if self.cluster == scc else scc)
+    def click_arc(self, arc: str, scc: int | None = None) -> ViewState:
+        """A click on an arc, in a component (``scc``) or in none.
+
+        The first click on a component's arc selects the component; further ones pin arcs inside it.  A click into another component
+        goes there and drops the pin; one on an arc outside all components leaves the component and pins that arc.
+        """
+        if scc is None:
+            return replace(self, cluster=None).pin(arc)
+        if self.cluster is None:
+            return replace(self, cluster=scc, hovered=None)
+        if self.cluster != scc:
+            return replace(self, cluster=scc, selected=None, arc=None, hovered=None)
+        done = self.pin(arc)
+        return done if done.arc else done.hover(None)
+
+    def click_row(self, arc: str, scc: int | None, expandable: bool, expanded: bool) -> tuple[ViewState, bool]:
+        """A click on an arc's row in the list of a component: the new state, and whether the row is open then.
+
+        Row and pin go together, but a row that was closed while its arc stayed pinned only opens again.
+        """
+        if expandable and not expanded and self.arc == arc:
+            return self, True
+        done = self.click_arc(arc, scc)
+        return done, done.arc == arc
+
+    def click_empty(self) -> ViewState:
+        return replace(self, cluster=None, selected=None, arc=None, hovered=None)
 
 
 def view(graph: PropertyGraph, arcs: DataFrame, state: ViewState) -> tuple[DataFrame, DataFrame, DataFrame]:
