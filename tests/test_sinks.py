@@ -8,6 +8,7 @@ from weftgraph.operators import volatility as vo
 from weftgraph.operators.hierarchy import with_paths
 from weftgraph.plans.check import cycles_text
 from weftgraph.plans.diagram import ViewState, diagram, view, volatility_report
+from weftgraph.plans.sinks import read_diagram
 from weftgraph.schema import EDGES, PropertyGraph
 from weftgraph.streaming.changes import windowed_changes
 
@@ -73,7 +74,14 @@ def test_diagram_and_view(spark):
     g = graph(spark, [edge(1, 2, 1), edge(2, 1, 3), edge(1, 3, 2)])
     data = json.loads(diagram(g, "json"))
     assert set(data["nodes"]) == {"0", "1", "2", "3"} and data["arcs"]["2-1"]["cycle_kind"] == "direct"
+    [cycle] = data["cycles"].values()
+    assert cycle == {"scc": 1, "nodes": [1, 2], "arcs": ["1-2", "2-1"]}
+    [cluster] = data["clusters"]
+    assert (cluster["n_nodes"], cluster["n_cycles"], cluster["crate"]) == (2, 1, "app")
+    assert cluster["edges"] == [{"arc": "1-2", "cycles": 1, "refs": 1, "feedback": True}, {"arc": "2-1", "cycles": 1, "refs": 3, "feedback": False}]
+    assert {(r["provider"], r["scope"]) for r in data["symbol_scopes"]} == {(1, "single_consumer"), (2, "single_consumer"), (3, "single_consumer")}
     svg = diagram(g, expand_level=1)
+    assert read_diagram(svg)["cycles"] == data["cycles"]
     assert svg.count("<text") == 3 and svg.count("<path") == 2 and "cyclic" in svg
     arcs = g.edges.select("src", "dst", "edge_type", F.lit(False).alias("reexport"), F.lit(False).alias("cyclic"), F.size("locations").cast("long").alias("usages"), F.lit("downward").alias("direction"))
     nodes, shown, rolled = view(g, arcs, ViewState().toggle(2))

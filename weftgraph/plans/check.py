@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.cycles import minimal_cycles, strong_components
+from weftgraph.operators.cycles import minimal_cycles, strong_components, with_cycle_ids
 from weftgraph.operators.edges import cycle_subgraph, edge_weights
 from weftgraph.operators.feedback import cluster_report, feedback_edges, ranked_edges, removal_bias
 from weftgraph.operators.rules import violations
@@ -34,12 +35,16 @@ def check(graph: PropertyGraph, rules_path: str | None, explicit: bool = False,
     return violations_text(found), 0 if found.isEmpty() else 1
 
 
-def cycles_text(graph: PropertyGraph, include_reexports: bool = False) -> str:
+def tangles(graph: PropertyGraph, include_reexports: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cycles, cluster report, ranked edges) of a graph's production logic; all empty where nothing is cyclic."""
     logic = cycle_subgraph(graph.edges, include_reexports).cache()
-    components = strong_components(logic).cache()
-    if components.isEmpty():
-        return ""
+    components = settle(strong_components(logic))
     weights = edge_weights(graph.edges.where(F.col("edge_type") == MODULE_DEP))
     cycles = settle(minimal_cycles(logic, components))
     found = feedback_edges(logic, components, weights, graph.nodes.select("node_id", "qualified_name"), removal_bias(graph.edges, graph.nodes), cycles).cache()
-    return clusters_text(cluster_report(found, cycles, components, graph.nodes), ranked_edges(found, graph.nodes), graph.nodes)
+    return with_cycle_ids(cycles), cluster_report(found, cycles, components, graph.nodes), ranked_edges(found, graph.nodes)
+
+
+def cycles_text(graph: PropertyGraph, include_reexports: bool = False) -> str:
+    _, clusters, edges = tangles(graph, include_reexports)
+    return clusters_text(clusters, edges, graph.nodes)

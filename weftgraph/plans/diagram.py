@@ -7,14 +7,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators import hierarchy, layout, volatility
+from weftgraph.operators import hierarchy, importers, layout, volatility
 from weftgraph.operators.views import visible_arcs
 from weftgraph.plans import sinks
+from weftgraph.plans.check import tangles
 from weftgraph.schema import PropertyGraph
 
 
 def diagram(graph: PropertyGraph, form: str = "svg", expand_level: int | None = None, include_reexports: bool = False, changes: DataFrame | None = None, root: str = "", config: volatility.VolatilityConfig = volatility.VolatilityConfig()) -> str:
-    """SVG or JSON of a graph; with ``expand_level`` only nodes nested up to it.
+    """SVG or JSON of a graph, with its cycles, its tangles and how far its symbols' uses reach; with ``expand_level`` only nodes nested up to it.
 
     ``changes`` (file, changes) add levels by the files of the graph's nodes, as seen from the folder ``root``.
     """
@@ -28,7 +29,10 @@ def diagram(graph: PropertyGraph, form: str = "svg", expand_level: int | None =
         inside = root.rstrip("/") + "/" if root else ""
         file = F.when(F.col("file").startswith(inside), F.substring("file", len(inside) + 1, 1 << 20)).otherwise(F.col("file"))
         items = volatility.enrich(items.join(graph.nodes.select("node_id", file.alias("file")), "node_id", "left"), changes, config).drop("file")
-    return sinks.diagram_svg(items, edges) if form == "svg" else sinks.diagram_json(items, edges)
+    cycles, clusters, ranked = tangles(graph, include_reexports)
+    scopes = importers.consumer_scopes(importers.symbol_clusters(importers.importer_partition(importers.symbol_uses(graph.edges))), graph.nodes)
+    sink = sinks.diagram_svg if form == "svg" else sinks.diagram_json
+    return sink(items, edges, cycles, clusters, ranked, scopes)
 
 
 def volatility_report(changes: DataFrame, config: volatility.VolatilityConfig = volatility.VolatilityConfig(), now: F.Column | None = None) -> str:

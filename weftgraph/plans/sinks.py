@@ -73,8 +73,8 @@ def volatility_text(report: DataFrame, months: int) -> str:
     return head + "".join(f"  {r['file']}  {r['changes']}  {r['score']:.2f}  {r['level']}\n" for r in rows)
 
 
-def diagram_json(items: DataFrame, edges: DataFrame, cycles: DataFrame | None = None, clusters: DataFrame | None = None, scopes: DataFrame | None = None) -> str:
-    """Nodes and arcs by id; with ``cycles`` (scc_id, cycle_id, path), ``clusters`` (a cluster report) and ``scopes`` (consumer scopes) also these.
+def diagram_json(items: DataFrame, edges: DataFrame, cycles: DataFrame | None = None, clusters: DataFrame | None = None, ranked: DataFrame | None = None, scopes: DataFrame | None = None) -> str:
+    """Nodes and arcs by id; with ``cycles`` (scc_id, cycle_id, path), ``clusters`` (a cluster report, its edges ``ranked``) and ``scopes`` (consumer scopes) also these.
 
     Fields without a value are left out.  A diagram is read as a whole, so its rows come together here.
     """
@@ -86,7 +86,10 @@ def diagram_json(items: DataFrame, edges: DataFrame, cycles: DataFrame | None =
         rows = cycles.orderBy("scc_id", "path").collect()
         doc["cycles"] = {str(r["cycle_id"]): {"scc": r["scc_id"], "nodes": r["path"], "arcs": [f"{a}-{b}" for a, b in zip(r["path"], r["path"][1:] + r["path"][:1], strict=True)]} for r in rows}
     if clusters is not None:
-        doc["clusters"] = [plain(r) for r in clusters.orderBy("position").collect()]
+        own: dict[int, list[dict]] = {}
+        for r in ranked.orderBy("scc_id", "place").collect() if ranked is not None else []:
+            own.setdefault(r["scc_id"], []).append({"arc": f"{r['src']}-{r['dst']}", "cycles": r["cycles"], "refs": r["refs"], "feedback": r["feedback"]})
+        doc["clusters"] = [plain(r) | {"edges": own.get(r["scc_id"], [])} for r in clusters.orderBy("position").collect()]
     if scopes is not None:
         doc["symbol_scopes"] = [plain(r) for r in scopes.orderBy("provider", "symbols").collect()]
     return json.dumps(doc, ensure_ascii=False)
@@ -99,7 +102,7 @@ def read_diagram(text: str) -> dict:
     return json.loads(text)
 
 
-def diagram_svg(items: DataFrame, edges: DataFrame) -> str:
+def diagram_svg(items: DataFrame, edges: DataFrame, *tables: DataFrame) -> str:
     """A static drawing: rows of the tree and the arcs beside them, later layers on top; the data as JSON inside."""
     rows, arcs = items.orderBy("position").collect(), edges.orderBy("z", "src", "dst").collect()
     height = max((r["y"] + r["height"] for r in rows), default=0) + 20
@@ -107,5 +110,5 @@ def diagram_svg(items: DataFrame, edges: DataFrame) -> str:
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:.0f}" height="{height}">', "<style>path{fill:none;stroke:#777}path.upward{stroke:#c33}path.cyclic{stroke:#c0c}text{font:12px monospace}</style>"]
     out += [f'<text x="{r["x"]}" y="{r["y"] + r["height"] // 2 + 4}" class={quoteattr(r["kind"])}>{escape(r["name"])}</text>' for r in rows]
     out += [f'<path class="{a["direction"]}{" cyclic" if a["cycle_ids"] else ""}" stroke-width="{a["stroke"]:.2f}" d="{a["path"]}"/>' for a in arcs]
-    data = diagram_json(items, edges).replace("]]>", "]]]]><![CDATA[>")
+    data = diagram_json(items, edges, *tables).replace("]]>", "]]]]><![CDATA[>")
     return "\n".join([*out, f'<metadata><![CDATA[{data}]]></metadata>', "</svg>\n"])
