@@ -117,11 +117,11 @@ def test_cycles_of_bits_are_those_of_a_plain_search(spark):
 
 @pytest.mark.parametrize("most", [0, 1_000_000])
 def test_feedback_is_that_of_one_choice_after_the_other(spark, monkeypatch, most):
-    """200 random graphs as components of one: the same picks as the one-by-one cover."""
+    """Random graphs as components of one: the same picks as the one-by-one cover."""
     monkeypatch.setattr(fb, "MOST_OF_AN_EDGE", most)
     rng = random.Random(8)
     edges, refs = [], {}
-    for k in range(200 if most else 20):
+    for k in range(50 if most else 20):
         n = rng.randint(2, 8)
         some = {(100 * k + rng.randrange(n), 100 * k + rng.randrange(n)) for _ in range(rng.randint(2, 24))}
         edges += sorted(e for e in some if e[0] != e[1])
