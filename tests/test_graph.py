@@ -253,3 +253,19 @@ def test_reachability(spark):
 def test_symbol_weight_counts_unnamed_once(spark):
     row = (0, 1, "module_dep", "production", None, [], [("a", 1, ["X", "Y"], "m", False), ("a", 2, [], "m", False), ("b", 3, [], "m", False), ("b", 4, ["X"], "m", True)])
     assert ed.edge_weights(spark.createDataFrame([row], EDGES)).first()["refs"] == 3
+
+
+def test_chains_are_searched_as_arcs(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(26)]
+    long, new = [], 100
+    for a, b in sorted({(a, b) for a, b in edges if a != b}):  # most edges become chains of up to four nodes, with ids in any order
+        inside = rng.sample(range(new, new + 50), rng.randrange(4))
+        new += 50
+        long += zip([a, *inside], [*inside, b], strict=True)
+    long += [(9000 + i, 9000 + (i + 1) % 5) for i in range(5)] + [(0, 8001), (8001, 8002), (8002, 0)]  # a ring, and a chain from a node to itself
+    got = sorted(r["path"] for r in cy.minimal_cycles(pairs(spark, long)).collect())
+    assert got == plain_cycles(long)
+    arcs, chains = cy.arcs_of(cy.inner_edges(pairs(spark, long), cy.strong_components(pairs(spark, long))))
+    hubs = {r["node_id"] for r in arcs.selectExpr("explode(array(a, b)) as node_id").collect()}
+    assert max(hubs - {9000}) < 12 and arcs.where("len > 1").count() == chains.count()
