@@ -11,6 +11,7 @@ from weftgraph.operators import order as od
 from weftgraph.operators import reach as re_
 from weftgraph.operators import rules as ru
 from weftgraph.operators import edges as ed
+from weftgraph.plans.table_queries import _cycle_kinds
 from weftgraph.schema import EDGES, PropertyGraph
 
 PATHS = "node_id long, kind string, name string, crate_id long, parent_id long"
@@ -269,3 +270,13 @@ def test_chains_are_searched_as_arcs(spark):
     arcs, chains = cy.arcs_of(cy.inner_edges(pairs(spark, long), cy.strong_components(pairs(spark, long))))
     hubs = {r["node_id"] for r in arcs.selectExpr("explode(array(a, b)) as node_id").collect()}
     assert max(hubs - {9000}) < 12 and arcs.where("len > 1").count() == chains.count()
+
+
+def test_kinds_of_a_long_ring_take_few_rounds(spark, monkeypatch):
+    made = []
+    for name in ("settle", "settle_counted"):
+        monkeypatch.setattr(cy, name, lambda df, _f=getattr(cy, name), **k: made.append(1) or _f(df, **k))
+    ring = [(i, (i + 1) % 300) for i in range(300)]
+    kinds = {(r["src"], r["dst"]): r["kind"] for r in _cycle_kinds(pairs(spark, [*ring, (5, 4)])).collect()}
+    assert kinds == {e: "direct" if set(e) == {4, 5} else "transitive" for e in [*ring, (5, 4)]}
+    assert len(made) < 60  # a table or two a node before
