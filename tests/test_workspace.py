@@ -1,8 +1,10 @@
 import json
 
+import pyarrow as pa
 import pytest
 
 from weftgraph.plans.check import check
+from weftgraph.sources import rust_text
 from weftgraph.sources.rust_text import scan
 from weftgraph.sources.workspace import Workspace, WorkspaceOptions
 
@@ -138,3 +140,15 @@ def test_metadata_without_resolve_fails(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"packages": []}')
     with pytest.raises(ValueError, match="resolve"):
         Workspace(spark, str(tmp_path / "m.json"), str(tmp_path))
+
+
+def test_a_long_files_facts_go_out_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, run, schema: run)  # the function that a task runs
+    run = rust_text.facts(spark.createDataFrame([], "crate string, file string, text string"))
+    n = 3 * rust_text.BATCH
+    texts = ["".join(f"mod c{i};\n" for i in range(n)), "mod a;\n" * rust_text.LONG + "#[path = ]", None]
+    parts = list(run([pa.RecordBatch.from_pydict({"crate": [""] * 3, "file": ["long", "bad", "none"], "text": pa.array(texts, pa.string())})]))
+    assert max(map(len, parts)) == rust_text.BATCH
+    rows = pa.Table.from_batches(parts).to_pylist()
+    assert [(r["file"], r["name"], r["line"]) for r in rows if r["fact"] == "mod"] == [("long", f"c{i}", i + 1) for i in range(n)]
+    assert [r["file"] for r in rows if r["fact"] != "mod"] == ["bad"]
