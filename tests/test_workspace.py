@@ -152,3 +152,11 @@ def test_a_long_files_facts_go_out_in_parts(spark, monkeypatch):
     rows = pa.Table.from_batches(parts).to_pylist()
     assert [(r["file"], r["name"], r["line"]) for r in rows if r["fact"] == "mod"] == [("long", f"c{i}", i + 1) for i in range(n)]
     assert [r["file"] for r in rows if r["fact"] != "mod"] == ["bad"]
+
+
+def test_exports_resolve_no_private_use(spark, tmp_path):
+    doc, root = make(tmp_path, {"app": {"lib.rs": "pub mod a; pub use a::T; use a::U;", "a.rs": "pub struct T; pub struct U;"}})
+    w = Workspace(spark, doc, root)
+    assert [tuple(r) for r in w.exports["reexports"].collect()] == [("app", "T", "app::a", "T")]
+    assert set(w.exports) == {"reexports"}
+    assert [tuple(r) for r in w.exports["private_uses"].collect()] == [("app", "U", "app::a", "U")]

@@ -7,6 +7,7 @@ crates and externals; re-exports are followed by pointer jumping until nothing m
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -129,6 +130,17 @@ def follow_reexports(rows: DataFrame, exports: dict[str, DataFrame]) -> DataFram
     return rows.drop("target_module").join(state.select("rid", "target_module"), "rid")
 
 
+class Exports(dict[str, DataFrame]):
+    """Tables by name, each made when it is first asked for."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self.makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.makers[name]()
+        return self[name]
+
+
 class Workspace:
     """The tables of a workspace, each made when it is first asked for.
 
@@ -155,7 +167,7 @@ class Workspace:
         mine = self.sources.join(folders, F.col("file").startswith(F.concat("folder", F.lit("/"))), "left_semi")
         if self.options.include_tests:
             mine = mine.union(self.sources.join(self._tests.select("file").distinct(), "file", "left_semi").select("file", "text")).dropDuplicates(["file"])
-        return settle(mine.withColumn("crate", F.lit("")))
+        return settle(mine.withColumn("crate", F.lit("")).repartition("file"))  # long files don't stay in the task that wrote them
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -177,8 +189,9 @@ class Workspace:
         return self.spark.createDataFrame([], "id string, name string, version string, is_direct boolean, node_key string")
 
     @cached_property
-    def exports(self) -> dict[str, DataFrame]:
-        return self._exports()
+    def exports(self) -> Exports:
+        """definitions, reexports, private_uses (module, name, to_module, to_name) and glob_exports: what globs make visible, transitively."""
+        return Exports(definitions=self._definitions, reexports=self._reexports, private_uses=self._private_uses, globs=self._globs, glob_exports=self._glob_exports)
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -201,25 +214,40 @@ class Workspace:
         test = F.col("is_test") | F.col("test")
         return rows.withColumn("is_test", test) if self.options.include_tests else rows.where(~test)
 
-    def _exports(self) -> dict[str, DataFrame]:
-        """definitions, reexports, private_uses (module, name, to_module, to_name) and glob_exports: what globs make visible, transitively."""
+    def _definitions(self) -> DataFrame:
         inner = F.concat_ws("::", "module", F.array_join("inline", "::"))
         place = F.when(F.size("inline") > 0, inner).otherwise(F.col("module"))
-        definitions = settle(self._located("def").where(F.col("visibility").isin(*EXPORTED)).select(place.alias("module"), "name").distinct())
-        uses = self._located("use").where("detail = 'item' and not is_test").withColumn("rid", F.xxhash64("file", "module", "line", "segments", F.coalesce("alias", F.lit("")))).dropDuplicates(["rid"])
+        return settle(self._located("def").where(F.col("visibility").isin(*EXPORTED)).select(place.alias("module"), "name").distinct())
+
+    def _item_uses(self, *visibility: str) -> DataFrame:
+        """(module, name, to_module, to_name) of the items' ``use`` of one of these visibilities."""
+        uses = self._located("use").where(F.col("visibility").isin(*visibility) & (F.col("detail") == "item") & ~F.col("is_test")).withColumn("rid", F.xxhash64("file", "module", "line", "segments", F.coalesce("alias", F.lit("")))).dropDuplicates(["rid"])
         found = split_target(absolute(uses, self.tree, self.crates, self.externals).where("abs is not null"), self.tree).where("item is not null")
-        found = settle(found.select("module", F.coalesce("alias", "item").alias("name"), F.col("target_module").alias("to_module"), F.col("item").alias("to_name"), "visibility"))
-        named = found.where("to_name <> '*'")
-        reexports = settle(named.where(F.col("visibility").isin(*EXPORTED)).drop("visibility").distinct())
-        private = settle(named.where("visibility = ''").drop("visibility").distinct())
-        globs = settle(found.where((F.col("to_name") == "*") & F.col("visibility").isin(*EXPORTED)).select("module", "to_module").distinct())
-        out = Grown(globs.join(definitions.union(reexports.select("module", "name")).distinct().withColumnRenamed("module", "to_module"), "to_module").select("module", "name", "to_module", F.col("name").alias("to_name")))
+        return found.select("module", F.coalesce("alias", "item").alias("name"), F.col("target_module").alias("to_module"), F.col("item").alias("to_name"))
+
+    @cached_property
+    def _exported_uses(self) -> DataFrame:
+        return settle(self._item_uses(*EXPORTED))
+
+    def _reexports(self) -> DataFrame:
+        return settle(self._exported_uses.where("to_name <> '*'").distinct())
+
+    def _private_uses(self) -> DataFrame:
+        return settle(self._item_uses("").where("to_name <> '*'").distinct())
+
+    def _globs(self) -> DataFrame:
+        return settle(self._exported_uses.where("to_name = '*'").select("module", "to_module").distinct())
+
+    def _glob_exports(self) -> DataFrame:
+        globs = self.exports["globs"]
+        named = self.exports["definitions"].union(self.exports["reexports"].select("module", "name")).distinct()
+        out = Grown(globs.join(named.withColumnRenamed("module", "to_module"), "to_module").select("module", "name", "to_module", F.col("name").alias("to_name")))
         frontier = out.rows
         while not frontier.isEmpty():
             step = globs.join(frontier.select(F.col("module").alias("to_module"), "name").distinct(), "to_module").select("module", "name", "to_module", F.col("name").alias("to_name"))
             frontier = settle(step.join(out.rows.select("module", "name"), ["module", "name"], "left_anti").distinct())
             out.add(frontier)
-        return {"definitions": definitions, "reexports": reexports, "private_uses": private, "globs": globs, "glob_exports": out.rows}
+        return out.rows
 
     def _refs(self) -> DataFrame:
         """Resolved references: crate, module, target_module (or external), item, file, line, is_test, via_reexport, ord."""
