@@ -299,3 +299,15 @@ def test_components(spark):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     assert got == {x: find(x) for x in list(root)}
+
+
+def test_quality_takes_all_labels(spark):
+    labels = spark.range(41_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    docs = spark.range(41_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six seven eight nine ten w"), "id").alias("text"))
+    known = quality.labelled(labels)
+    assert {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()} == {0: 20_500, 1: 20_500}
+    measured = docs.select("doc_id", F.lit(50).alias("n_words"), F.lit(0).alias("n_repeat_words"), (F.col("doc_id") % 2 - F.lit(0.5)).alias("score"))
+    assert quality.best_threshold(measured, known) == 0.5
+    weights = quality.bucket_weights(docs, known, 1, 8.0)
+    total, counted = 41_000 * 21, known.where("counted").count() * 21
+    assert abs(weights[0] - np.log((counted + 8.0 * counted / total) / (counted / total * (total + 8.0)))) < 1e-12
