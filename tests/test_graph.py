@@ -280,3 +280,18 @@ def test_kinds_of_a_long_ring_take_few_rounds(spark, monkeypatch):
     kinds = {(r["src"], r["dst"]): r["kind"] for r in _cycle_kinds(pairs(spark, [*ring, (5, 4)])).collect()}
     assert kinds == {e: "direct" if set(e) == {4, 5} else "transitive" for e in [*ring, (5, 4)]}
     assert len(made) < 60  # a table or two a node before
+
+
+def test_scopes_make_the_clusters_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    uses = spark.createDataFrame([(9, "x", 3), (9, "x", 3), (9, "x", 2), (9, "y", 2)], "provider long, symbol string, consumer long").localCheckpoint()
+    clusters = im.symbol_clusters(im.importer_partition(uses)).coalesce(1)
+    counted = clusters.mapInArrow(lambda batches: (seen(b) for b in batches), clusters.schema)
+    rows = im.consumer_scopes(counted, tree(spark)).collect()
+    assert sorted((r["consumers"], r["symbols"], r["scope"]) for r in rows) == [([2], ["y"], "single_consumer"), ([2, 3], ["x"], "common_ancestor")]
+    assert made.value == 1

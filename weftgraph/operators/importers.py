@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import is_production_module_dep
+from weftgraph.scratch import settle
 
 
 def symbol_uses(edges: DataFrame) -> DataFrame:
@@ -46,8 +47,10 @@ def deepest_common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 def consumer_scopes(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     """``clusters`` with scope and scope_node: the single consumer, or the common ancestor that the provider lies outside of, else crate-wide."""
     above = nodes.select(F.col("node_id").alias("provider"), F.concat("ancestors", F.array("node_id")).alias("line"))
-    clusters = clusters.withColumn("set_id", set_id())
-    joined = clusters.join(deepest_common(clusters.where(F.size("consumers") > 1).select("set_id", "consumers"), nodes), "set_id", "left").join(above, "provider", "left")
+    clusters = settle(clusters.withColumn("set_id", F.when(F.size("consumers") > 1, set_id())))  # read twice
+    several = clusters.where("set_id is not null")
+    found = several.join(deepest_common(several.select("set_id", "consumers"), nodes), "set_id", "left")
+    joined = found.unionByName(clusters.where("set_id is null").withColumn("common", F.lit(None).cast("long"))).join(above, "provider", "left")
     one, outside = F.size("consumers") == 1, F.col("common").isNotNull() & ~F.coalesce(F.array_contains("line", F.col("common")), F.lit(False))
     scope = F.when(one, "single_consumer").when(outside, "common_ancestor").otherwise("crate_wide")
     node = F.when(one, F.get("consumers", F.lit(0))).when(outside, F.col("common"))
