@@ -282,6 +282,20 @@ def test_kinds_of_a_long_ring_take_few_rounds(spark, monkeypatch):
     assert len(made) < 60  # a table or two a node before
 
 
+def test_kinds_are_those_of_the_arcs_of_all_cycles_without_a_path(spark, monkeypatch):
+    """The paths of many cycles over one long chain hold its nodes again and again."""
+    rng = random.Random(12)
+    edges = [(7000 + i, 7000 + (i + 1) % 50) for i in range(50)] + [(7000 + i, 7000) for i in range(20, 49)]
+    for k in range(40):
+        n = rng.randint(2, 9)
+        edges += [(100 * k + rng.randrange(n), 100 * k + rng.randrange(n)) for _ in range(rng.randint(1, 20))]
+    arcs = {a for p in plain_cycles(edges) for a in zip(p, p[1:] + p[:1], strict=True)}
+    monkeypatch.setattr(cy, "minimal_cycles", None)
+    got = sorted((r["src"], r["dst"], r["kind"]) for r in _cycle_kinds(pairs(spark, [*edges, (9, None)])).collect())
+    assert got == sorted((a, b, "direct" if (b, a) in edges else "transitive") for a, b in arcs)
+    assert _cycle_kinds(pairs(spark, [(1, 2), (3, 3)])).collect() == []
+
+
 def test_scopes_make_the_clusters_once(spark):
     made = spark.sparkContext.accumulator(0)
 
