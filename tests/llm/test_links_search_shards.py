@@ -154,6 +154,17 @@ def test_links_of_nothing_and_of_a_long_word(spark):
     assert sorted((r["doc_id"] or 0, r["n_a"]) for r in token_links.link_statistics(null, *files).collect()) == [(0, 2), (0, 2), (3, 0)]
 
 
+def test_segments_of_one_shape_are_aligned_once(spark):
+    files = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 6))) for _ in range(1500)] + [c * n for c in ("x", "é", "qz") for n in (31, 32, 63, 64, 65, 130)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)] + [" ".join(words)]
+    [[shapes, segments]] = token_links.tokenize(rows(spark, texts).coalesce(1), *files).selectExpr("size(shapes)", "size(segments)").collect()
+    assert segments >= 300 and shapes < segments / 3
+    got = {r["doc_id"]: tuple(r)[1:] for r in token_links.link_statistics(rows(spark, texts), *files).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_links(texts)
+
+
 def test_a_table_of_segments_that_begins_anew(spark):
     align = token_links.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
     align.table = token_links.WordTable(align._number, bits=5)
