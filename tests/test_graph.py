@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -272,6 +273,37 @@ def test_chains_are_searched_as_arcs(spark):
     assert max(hubs - {9000}) < 12 and arcs.where("len > 1").count() == chains.count()
 
 
+def written(spark):
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(root) for f in files if f.endswith(".parquet"))
+
+
+def test_cycles_of_a_large_component_are_searched_in_blocks_that_write_no_levels(spark):
+    """Who reached whom at a distance are nodes times nodes; before, every distance was written."""
+    rng = random.Random(3)
+    edges = sorted({(rng.randrange(2500), rng.randrange(2500)) for _ in range(10_000)} | {(3000 + i, 3000 + (i + 1) % 3) for i in range(3)})
+    before = written(spark)
+    got = sorted(r["path"] for r in cy.minimal_cycles(pairs(spark, edges), side=256).collect())
+    assert written(spark) - before < 3_000_000
+    assert got == plain_cycles(edges)
+
+
+@pytest.mark.parametrize("side", [2, 40])
+def test_blocks_of_sources_and_windows_give_the_same_cycles(spark, side):
+    """Chains of many lengths, and more sources than a block has."""
+    rng = random.Random(side)
+    edges = [(-500 + rng.randrange(150), -500 + rng.randrange(150)) for _ in range(330)]
+    new = 1000
+    for a, b in edges[::7]:
+        inside = list(range(new, new + rng.randrange(1, 9)))
+        new += 9
+        edges += zip([a, *inside], [*inside, b], strict=True)
+    for k in range(10):
+        edges += [(5000 + 10 * k + rng.randrange(6), 5000 + 10 * k + rng.randrange(6)) for _ in range(12)]
+    got = sorted(r["path"] for r in cy.minimal_cycles(pairs(spark, edges), side=side).collect())
+    assert got == plain_cycles(edges)
+
+
 def test_kinds_of_a_long_ring_take_few_rounds(spark, monkeypatch):
     made = []
     for name in ("settle", "settle_counted"):
