@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from weftgraph.plans.check import check
-from weftgraph.sources import rust_text
+from weftgraph.sources import rust_text, workspace
 from weftgraph.sources.rust_text import scan
 from weftgraph.sources.workspace import Workspace, WorkspaceOptions
 
@@ -92,6 +92,20 @@ def test_reexports(spark, tmp_path):
     assert got[("app::glob_user", "app::parent::child")] == ["Kid"]
 
 
+def test_references_of_one_text_are_resolved_once(spark, tmp_path, monkeypatch):
+    """Many modules that use the same names: only distinct texts are looked up, and private uses of modules that nobody refers to not at all."""
+    seen, plain = [], workspace.absolute
+    monkeypatch.setattr(workspace, "absolute", lambda rows, *more: seen.append(rows.count()) or plain(rows, *more))
+    mods = [f"m{i}" for i in range(30)]
+    doc, root = make(tmp_path, {"app": {
+        "lib.rs": "pub mod port; pub mod near;" + "".join(f"mod {m};" for m in mods), "port.rs": "pub struct Port;", "near.rs": "mod port; use port::Other; use self::port::Other as Third; use crate::port::Port;", "near/port.rs": "pub struct Other;",
+        **{f"{m}.rs": "use crate::port::Port;\nfn f() { Port::new(); }" for m in mods},
+    }})
+    got = {(r["module"], r["target_module"], r["item"]) for r in Workspace(spark, doc, root).refs.collect()}
+    assert got == {(f"app::{m}", "app::port", "Port") for m in [*mods, "near"]} | {("app::near", "app::near::port", "Other")}
+    assert sum(seen) < 10  # before: 33 uses and 30 paths, the uses twice
+
+
 CYCLIC = {"app": {
     "lib.rs": "mod alpha; mod beta; mod gamma; mod delta;",
     "alpha.rs": "pub use crate::beta::B; pub struct A;", "beta.rs": "pub use crate::alpha::A; pub struct B;",

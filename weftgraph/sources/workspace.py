@@ -20,7 +20,7 @@ from weftgraph.operators.hierarchy import with_paths
 from weftgraph.operators.lookup import longest_prefix
 from weftgraph.operators.reach import feature_reachable
 from weftgraph.schema import CONTAINS, CRATE_DEP, DEV_DEP, PRODUCTION, TEST, PropertyGraph
-from weftgraph.scratch import Grown, settle
+from weftgraph.scratch import Grown, settle, settle_counted
 from weftgraph.sources.metadata import Metadata, source_files
 from weftgraph.sources.rust_text import facts
 
@@ -140,6 +140,12 @@ class Exports(dict[str, DataFrame]):
         self[name] = self.makers[name]()
         return self[name]
 
+    def seen_from(self, private_uses: DataFrame) -> Exports:
+        """The same, with these private uses."""
+        made = Exports(**{name: lambda name=name: self[name] for name in self.makers})
+        made["private_uses"] = private_uses
+        return made
+
 
 class Workspace:
     """The tables of a workspace, each made when it is first asked for.
@@ -167,11 +173,12 @@ class Workspace:
         mine = self.sources.join(folders, F.col("file").startswith(F.concat("folder", F.lit("/"))), "left_semi")
         if self.options.include_tests:
             mine = mine.union(self.sources.join(self._tests.select("file").distinct(), "file", "left_semi").select("file", "text")).dropDuplicates(["file"])
-        return settle(mine.withColumn("crate", F.lit("")).repartition("file"))  # long files don't stay in the task that wrote them
+        return settle(mine.withColumn("crate", F.lit("")))
 
     @cached_property
     def facts(self) -> DataFrame:
-        return settle(facts(self.files))
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.spark.sparkContext.defaultParallelism)
+        return settle(facts(self.files.repartition(parts, "file")))  # long files don't stay in the task that wrote them
 
     @property
     def errors(self) -> DataFrame:
@@ -208,8 +215,8 @@ class Workspace:
         kept = feature_reachable(keyed.select("node_id", "name", "features"), links, list(o.features))
         return crates if kept.isEmpty() else keyed.join(kept, "node_id", "left_semi").drop("node_id")
 
-    def _located(self, fact: str) -> DataFrame:
-        f = self.facts.where(F.col("fact") == fact).drop("crate", "name" if fact in ("use", "path") else "alias")
+    def _located(self, *kinds: str) -> DataFrame:
+        f = self.facts.where(F.col("fact").isin(*kinds)).drop("crate", "alias" if kinds == ("def",) else "name")
         rows = f.join(self.tree, "file")
         test = F.col("is_test") | F.col("test")
         return rows.withColumn("is_test", test) if self.options.include_tests else rows.where(~test)
@@ -219,9 +226,12 @@ class Workspace:
         place = F.when(F.size("inline") > 0, inner).otherwise(F.col("module"))
         return settle(self._located("def").where(F.col("visibility").isin(*EXPORTED)).select(place.alias("module"), "name").distinct())
 
-    def _item_uses(self, *visibility: str) -> DataFrame:
-        """(module, name, to_module, to_name) of the items' ``use`` of one of these visibilities."""
-        uses = self._located("use").where(F.col("visibility").isin(*visibility) & (F.col("detail") == "item") & ~F.col("is_test")).withColumn("rid", F.xxhash64("file", "module", "line", "segments", F.coalesce("alias", F.lit("")))).dropDuplicates(["rid"])
+    def _item_uses(self, *visibility: str, within: DataFrame | None = None) -> DataFrame:
+        """(module, name, to_module, to_name) of the items' ``use`` of one of these visibilities, of all modules or those ``within`` (module)."""
+        uses = self._located("use")
+        if within is not None:
+            uses = uses.join(within, "module", "left_semi")
+        uses = uses.where(F.col("visibility").isin(*visibility) & (F.col("detail") == "item") & ~F.col("is_test")).withColumn("rid", F.xxhash64("file", "module", "line", "segments", F.coalesce("alias", F.lit("")))).dropDuplicates(["rid"])
         found = split_target(absolute(uses, self.tree, self.crates, self.externals).where("abs is not null"), self.tree).where("item is not null")
         return found.select("module", F.coalesce("alias", "item").alias("name"), F.col("target_module").alias("to_module"), F.col("item").alias("to_name"))
 
@@ -235,6 +245,10 @@ class Workspace:
     def _private_uses(self) -> DataFrame:
         return settle(self._item_uses("").where("to_name <> '*'").distinct())
 
+    def _private_uses_in(self, modules: DataFrame) -> DataFrame:
+        """Of ``private_uses`` those of some modules: a re-export is followed through modules that something refers to, and no others."""
+        return settle(self._item_uses("", within=modules).where("to_name <> '*'").distinct())
+
     def _globs(self) -> DataFrame:
         return settle(self._exported_uses.where("to_name = '*'").select("module", "to_module").distinct())
 
@@ -250,33 +264,72 @@ class Workspace:
         return out.rows
 
     def _refs(self) -> DataFrame:
-        """Resolved references: crate, module, target_module (or external), item, file, line, is_test, via_reexport, ord."""
-        uses, paths = self._located("use"), self._located("path")
-        rid = F.xxhash64("fact", "file", "module", "line", "segments", F.coalesce("alias", F.lit("")))
-        both = uses.unionByName(paths).withColumn("rid", rid).dropDuplicates(["rid"])
-        resolved = settle(absolute(both, self.tree, self.crates, self.externals))
-        names = resolved.where("fact = 'use' and abs is not null").select("file", "module", F.coalesce("alias", F.element_at("segments", -1)).alias("bound"), F.array_join("abs", "::").alias("path"))
-        bound = names.join(self.tree.select(F.col("module").alias("path")).distinct(), "path", "left_semi").groupBy("file", "module", "bound").agg(F.min("path").alias("bound_path"))
-        seen = both.where("fact = 'path'").join(bound, (both["file"] == bound["file"]) & (both["module"] == bound["module"]) & (F.get(both["segments"], F.lit(0)) == bound["bound"])).select(both["rid"], "bound_path")
-        plain = resolved.where("fact = 'path'").join(seen, "rid", "left_anti").select("rid", "abs", "external")
-        rewritten = both.join(seen, "rid").select("rid", F.concat(F.split("bound_path", "::"), F.slice("segments", F.lit(2), F.size("segments"))).alias("abs"), F.lit(None).cast("string").alias("external"))
-        targets = resolved.where("fact = 'use'").select("rid", "abs", "external").union(plain).union(rewritten)
-        info = both.select("rid", "crate", "module", "file", "line", "is_test", "fact", "visibility")
-        rows = settle(targets.join(info, "rid"))
+        """Resolved references: crate, module, target_module (or external), item, file, line, is_test, via_reexport, ord.
+
+        What a reference means depends on its crate and segments, and on its module only if it starts with ``self``, ``super`` or a child of the module.  So each
+        distinct such text is resolved once, and the references look it up.
+        """
+        both = settle(self._located("use", "path").select("fact", "file", "crate", "module", "line", "is_test", "visibility", "segments", "alias", F.get("segments", F.lit(0)).alias("first"), F.size("inline").alias("deep")))
+        modules = self.tree.select("module").distinct()
+        parents = modules.select(F.regexp_replace("module", "::[^:]*$", "").alias("module")).distinct()
+        near = both.join(parents, "module", "left_semi").select("module", "first").distinct()
+        children = settle(near.join(modules.withColumnRenamed("module", "child"), F.concat_ws("::", "module", "first") == F.col("child"), "left_semi").withColumn("is_child", F.lit(True)))
+        own = F.col("first").isin("self", "super")
+        place = F.when(own | F.col("is_child"), F.col("module")).otherwise("")
+        scoped = both.join(children, ["module", "first"], "left").withColumns({"scope": place, "deep": F.when(own, F.col("deep")).otherwise(0)}).drop("is_child")
+        key = ["crate", "scope", "segments", "deep"]
+        texts = settle(scoped.select(*key).distinct().withColumn("rid", F.monotonically_increasing_id()))
+        found = absolute(texts.select("rid", "crate", F.col("scope").alias("module"), "segments", F.array_repeat(F.lit(""), F.col("deep")).alias("inline")), self.tree, self.crates, self.externals)
+        known = settle(texts.join(found.select("rid", "abs", "external"), "rid").drop("rid"))
+        scoped, rewritten = self._through_bound(scoped, known, key, modules)
+        heads = known.where("abs is not null").select("abs")
+        heads = settle((heads if rewritten is None else heads.union(rewritten.select("abs"))).distinct().withColumn("rid", F.monotonically_increasing_id()))
+        targets = settle(split_target(heads, self.tree))
+        exports = self.exports.seen_from(self._private_uses_in(targets.select(F.col("target_module").alias("module")).distinct()))
+        holders, seen = settle_counted(exports["private_uses"].select(F.col("module").alias("prefix")).distinct())
+        if seen["n"]:  # which private uses a module sees is told by the innermost module around it that has any
+            inside = longest_prefix(modules.withColumn("parts", F.split("module", "::")), "module", "parts", holders).join(holders, "prefix").select("module", F.col("prefix").alias("holder"))
+            inside = settle(inside)
+            within = lambda df: df.join(inside, "module", "left").na.fill("", ["holder"])
+        else:
+            within = lambda df: df.withColumn("holder", F.lit(""))
+        scoped = within(scoped)
+        asked = scoped.join(known.where("abs is not null"), key).select("abs", "holder").distinct() if seen["n"] else known.where("abs is not null").select("abs", F.lit("").alias("holder")).distinct()
+        if rewritten is not None:
+            rewritten = within(rewritten)
+            asked = asked.union(rewritten.select("abs", "holder")).distinct()
+        sources = exports["definitions"].union(exports["reexports"].select("module", "name")).distinct().select(F.col("module").alias("target_module"), F.col("name").alias("exported"))
+        globs = targets.where("item = '*'").join(sources, "target_module", "left").withColumn("item", F.coalesce("exported", "item")).drop("exported")
+        expanded = targets.where("item is null or item <> '*'").unionByName(globs.select(*targets.columns))
+        starts = settle(expanded.drop("rid").join(asked, "abs").select("abs", F.col("holder").alias("module"), "target_module", "item").withColumn("rid", F.monotonically_increasing_id()))
+        ends = settle(follow_reexports(starts, exports).select("abs", F.col("module").alias("holder"), "target_module", "item"))
         via = (F.col("fact") == "use") & F.col("visibility").isin(*EXPORTED)
-        inner = split_target(rows.where("abs is not null"), self.tree).withColumn("via_reexport", via)
-        sources = self.exports["definitions"].union(self.exports["reexports"].select("module", "name")).distinct().select(F.col("module").alias("target_module"), F.col("name").alias("exported"))
-        globs = inner.where("item = '*'").join(sources, "target_module", "left").withColumn("item", F.coalesce("exported", "item")).drop("exported")
-        expanded = inner.where("item is null or item <> '*'").unionByName(globs.select(*inner.columns)).withColumn("rid", F.xxhash64("rid", "item"))
-        moved = follow_reexports(settle(expanded), self.exports)
         columns = ["crate", "module", "target_module", "external", "item", "file", "line", "is_test", "via_reexport", "fact"]
-        outer = rows.where("abs is null").select("crate", "module", F.lit(None).cast("string").alias("target_module"), "external", F.lit(None).cast("string").alias("item"), "file", "line", "is_test", via.alias("via_reexport"), "fact")
-        kept = moved.select(*columns).unionByName(outer)
+        inner = scoped.join(known.where("abs is not null").select(*key, "abs").join(ends, "abs").drop("abs"), [*key, "holder"])
+        if rewritten is not None:
+            inner = inner.select("crate", "module", "target_module", "item", "file", "line", "is_test", "fact", "visibility").unionByName(rewritten.join(ends, ["abs", "holder"]).select("crate", "module", "target_module", "item", "file", "line", "is_test", "fact", "visibility"))
+        inner = inner.withColumns({"via_reexport": via, "external": F.lit(None).cast("string")}).select(*columns)
+        outer = scoped.join(known.where("abs is null"), key).withColumns({"via_reexport": via, "target_module": F.lit(None).cast("string"), "item": F.lit(None).cast("string")}).select(*columns)
+        kept = inner.unionByName(outer)
         # the first reference to a target of a kind stands for all of a module's
         first = F.min(F.struct(F.when(F.col("fact") == "use", 0).otherwise(1).alias("o"), "line", "file"))
         return kept.groupBy("crate", "module", "target_module", "external", "item", "is_test").agg(first.alias("x"), F.bool_and("via_reexport").alias("via_reexport")).select(
             "crate", "module", "target_module", "external", "item", "is_test", "via_reexport", "x.line", "x.file", (F.col("x.o") * 10**9 + F.col("x.line")).cast("long").alias("ord"))
 
+    def _through_bound(self, scoped: DataFrame, known: DataFrame, key: list[str], modules: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The references but paths that start with a name which a ``use`` of the same module binds to a module; and these, with abs, if there are paths at all."""
+        spots = ["file", "module", "bound"]
+        wanted, seen = settle_counted(scoped.where("fact = 'path'").select("file", "module", F.col("first").alias("bound")).distinct())
+        if not seen["n"]:
+            return scoped, None
+        names = scoped.where("fact = 'use'").withColumn("bound", F.coalesce("alias", F.element_at("segments", -1))).join(wanted, spots, "left_semi")
+        named = names.join(known.where("abs is not null"), key).select(*spots, F.array_join("abs", "::").alias("path"))
+        bound = settle(named.join(modules.withColumnRenamed("module", "path"), "path", "left_semi").groupBy(*spots).agg(F.min("path").alias("bound_path")))
+        paths = settle(scoped.where("fact = 'path'").withColumn("bound", F.col("first")).join(bound, spots, "left").drop("bound"))
+        whole = F.concat(F.split("bound_path", "::"), F.slice("segments", F.lit(2), F.size("segments")))
+        plain = scoped.where("fact <> 'path'").unionByName(paths.where("bound_path is null").drop("bound_path"))
+        return plain, paths.where("bound_path is not null").withColumn("abs", whole).drop("bound_path")
+
     def graph(self) -> PropertyGraph:
         """Nodes (with the file of each crate and module) and edges.  Ids: crates by name, then modules by path, then externals by name and version."""
         none = F.lit(None)
