@@ -257,6 +257,17 @@ def test_symbol_weight_counts_unnamed_once(spark):
     assert ed.edge_weights(spark.createDataFrame([row], EDGES)).first()["refs"] == 3
 
 
+def test_edges_of_references_take_one_shuffle(spark):
+    schema = "src long, dst long, source_file string, line int, symbol string, module_path string, via_reexport boolean, ctx_kind string, ctx_sub_kind string, features array<string>, ord long"
+    row = lambda a, b, line, symbol, o: (a, b, "f", line, symbol, "m", False, "production", None, [], o)
+    refs = spark.createDataFrame([row(1, 2, 9, "B", 5), row(1, 2, 3, "A", 4), row(1, 2, 9, "A", 2), row(2, 2, 1, "A", 1), row(2, 1, 1, None, 3)], schema)
+    edges = ed.aggregate_edges(refs)
+    got = {(r["src"], r["dst"]): [(x["line"], x["symbols"]) for x in r["locations"]] for r in edges.collect()}
+    assert got == {(1, 2): [(3, ["A"]), (9, ["A", "B"])], (2, 1): [(1, [])]}
+    plan = ed.aggregate_edges(refs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # before: by line, then by edge
+
+
 def test_chains_are_searched_as_arcs(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(26)]

@@ -11,13 +11,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import normalize_crate_name, resolve_relative
 from weftgraph.operators.edges import aggregate_edges
 from weftgraph.operators.hierarchy import with_paths
 from weftgraph.operators.lookup import longest_prefix
+from weftgraph.operators.numbering import numbered
 from weftgraph.operators.reach import feature_reachable
 from weftgraph.schema import CONTAINS, CRATE_DEP, DEV_DEP, PRODUCTION, TEST, PropertyGraph
 from weftgraph.scratch import Grown, settle, settle_counted
@@ -338,8 +339,7 @@ class Workspace:
         mods = self.tree.where("module <> crate").select("module", "crate").union(groups).distinct()
         modules = mods.select(F.lit(1).alias("t"), F.col("module").alias("key"), F.lit("module").alias("kind"), F.element_at(F.split("module", "::"), -1).alias("name"), "crate", F.regexp_replace("module", "::[^:]*$", "").alias("parent"), none.cast("string").alias("version"), none.cast("string").alias("package_id"), none.cast("boolean").alias("is_direct"))
         outside = self.externals.select(F.lit(2).alias("t"), F.col("node_key").alias("key"), F.lit("external").alias("kind"), "name", none.cast("string").alias("crate"), none.cast("string").alias("parent"), "version", F.col("id").alias("package_id"), "is_direct")
-        # node ids are one sequence over the nodes of a workspace, a small table
-        keyed = settle(crates.union(modules).union(outside).withColumn("node_id", F.row_number().over(Window.orderBy("t", "key", "name")).cast("long") - 1))
+        keyed = settle(numbered(settle(crates.union(modules).union(outside)), ["t", "key", "name"], "node_id"))
         ids = keyed.where("t < 2").select("key", "node_id")
         up = keyed.join(ids.toDF("parent", "parent_id"), "parent", "left").join(keyed.where("t = 0").select(F.col("key").alias("crate"), F.col("node_id").alias("owner")), "crate", "left")
         nodes = with_paths(up.select("node_id", "kind", "name", F.when(F.col("kind") == "module", F.col("owner")).alias("crate_id"), "parent_id", "version", "package_id", "is_direct"))
