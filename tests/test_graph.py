@@ -268,6 +268,36 @@ def test_edges_of_references_take_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1  # before: by line, then by edge
 
 
+def test_edges_of_references_are_grouped_once_and_keep_odd_rows(spark):
+    schema = "src long, dst long, source_file string, line int, symbol string, module_path string, via_reexport boolean, ctx_kind string, ctx_sub_kind string, features array<string>, ord long"
+    rng = random.Random(8)
+    pick = lambda *x: rng.choice(x)
+    rows = [(pick(1, 2, None), pick(1, 3, 4), pick("f", "g", None), pick(1, 2, None), pick("A", "B", None), pick("m", None), pick(True, False, None), pick("test", "test", "test", None, "production"), pick("unit", None), pick(["x"], [], None), pick(None, *range(50))) for _ in range(150)]
+    rows = [(*r[:5], None if r[10] is None or r[10] % 3 == 0 else f"m{r[10]}", *r[6:]) for r in rows] * 2  # modules follow ord, so that no tie is open
+    rows += [(9, 8, "f", 1, None, None, None, None, None, None, None)]
+    low = lambda v: (v is not None, v if v is not None else 0)
+    texts = lambda v: (v is not None, v or [])
+    all_of = lambda vs: None if not [v for v in vs if v is not None] else all(v for v in vs if v is not None)
+    want = {}
+    for edge in {r[:2] for r in rows if r[0] is not None and r[0] != r[1]}:
+        own = [r for r in rows if r[:2] == edge]
+        places = []
+        for file, line in {r[2:4] for r in own}:
+            here = sorted((r for r in own if r[2:4] == (file, line)), key=lambda r: (low(r[10]), r[4] or ""))
+            places.append((file, line, [r[4] for r in here if r[4] is not None], next((r[5] for r in here if r[10] is not None), None), all_of([r[6] for r in here])))
+        places.sort(key=lambda x: (x[0] is not None, x[0] or "", low(x[1])))
+        kinds = [r[7] for r in own]
+        first = min(own, key=lambda r: (low(r[10]), (r[7] is not None, r[7] or ""), (r[8] is not None, r[8] or ""), texts(r[9])))
+        context = ("production", None, []) if "production" in kinds else (first[7], first[8] if any(kinds) else None, first[9])
+        want[edge] = (*context, places)
+    assert {w[0] for w in want.values()} == {"production", "test", None}
+    edges = ed.aggregate_edges(spark.createDataFrame(rows, schema).repartition(5))
+    got = {(r["src"], r["dst"]): (r["ctx_kind"], r["ctx_sub_kind"], r["features"], [tuple(x) for x in r["locations"]]) for r in edges.collect()}
+    assert got == want
+    plan = edges._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ObjectHashAggregate") == 2  # before: 4, for lines and then for edges
+
+
 def test_chains_are_searched_as_arcs(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(26)]
