@@ -257,6 +257,26 @@ def test_symbol_weight_counts_unnamed_once(spark):
     assert ed.edge_weights(spark.createDataFrame([row], EDGES)).first()["refs"] == 3
 
 
+def test_clusters_with_one_consumer_are_not_joined_with_ancestors(spark):
+    nodes = tree(spark)
+    uses = spark.createDataFrame([(4, "A", 2), (4, "B", 2), (4, "B", 2), (4, "C", 2), (4, "C", 3), (4, "D", None), (None, "E", 2), (4, None, 3), (77, "F", 5)], "provider long, symbol string, consumer long")
+    clusters = im.symbol_clusters(im.importer_partition(uses))
+    plan = clusters._jdf.queryExecution().sparkPlan().toString()
+    assert "xxhash64" not in plan and "any_value" not in plan  # before: hashes and a second copy of the set went through the shuffle
+
+    def rows(nodes):
+        found = im.consumer_scopes(clusters, nodes)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        return sorted(((r["provider"], r["consumers"], r["symbols"], r["scope"], r["scope_node"]) for r in found.collect()), key=str), plan
+
+    once, plan = rows(nodes)
+    alone = [(4, [], ["D"], "crate_wide", None), (4, [2], ["A", "B"], "single_consumer", 2), (4, [3], [], "single_consumer", 3), (77, [5], ["F"], "single_consumer", 5), (None, [2], ["E"], "single_consumer", 2)]
+    assert [r for r in once if len(r[1]) < 2] == sorted(alone, key=str) and len(once) == 6
+    assert plan.index("Union") < plan.index("Join")  # before: all clusters met the ancestors, above the union
+    twice, _ = rows(nodes.union(nodes.where("node_id = 4")))  # a repeated id repeats its clusters
+    assert [r for r in twice if len(r[1]) < 2] == sorted([r for r in alone for _ in range(1 + (r[0] == 4))], key=str)
+
+
 def test_edges_of_references_take_one_shuffle(spark):
     schema = "src long, dst long, source_file string, line int, symbol string, module_path string, via_reexport boolean, ctx_kind string, ctx_sub_kind string, features array<string>, ord long"
     row = lambda a, b, line, symbol, o: (a, b, "f", line, symbol, "m", False, "production", None, [], o)

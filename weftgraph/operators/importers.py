@@ -27,8 +27,7 @@ def set_id() -> Column:
 
 def symbol_clusters(partition: DataFrame) -> DataFrame:
     """(provider, consumers, symbols): symbols that have the same consumer set."""
-    keyed = partition.withColumn("set_id", set_id())
-    return keyed.groupBy("provider", "set_id").agg(F.any_value("consumers").alias("consumers"), F.sort_array(F.collect_list("symbol")).alias("symbols")).drop("set_id")
+    return partition.groupBy("provider", "consumers").agg(F.sort_array(F.collect_list("symbol")).alias("symbols"))
 
 
 def deepest_common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -49,8 +48,11 @@ def consumer_scopes(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     above = nodes.select(F.col("node_id").alias("provider"), F.concat("ancestors", F.array("node_id")).alias("line"))
     clusters = settle(clusters.withColumn("set_id", F.when(F.size("consumers") > 1, set_id())))  # read twice
     several = clusters.where("set_id is not null")
-    found = several.join(deepest_common(several.select("set_id", "consumers"), nodes), "set_id", "left")
-    joined = found.unionByName(clusters.where("set_id is null").withColumn("common", F.lit(None).cast("long"))).join(above, "provider", "left")
+    found = several.join(deepest_common(several.select("set_id", "consumers"), nodes), "set_id", "left").join(above, "provider", "left")
+    alone = clusters.where("set_id is null").withColumns({"common": F.lit(None).cast("long"), "line": F.lit(None).cast("array<long>")})  # no ancestor is asked for
+    if not nodes.groupBy("node_id").count().where("count > 1").isEmpty():
+        alone = alone.join(above.select("provider"), "provider", "left")  # a cluster comes once for each node that its provider's id has
+    joined = found.unionByName(alone)
     one, outside = F.size("consumers") == 1, F.col("common").isNotNull() & ~F.coalesce(F.array_contains("line", F.col("common")), F.lit(False))
     scope = F.when(one, "single_consumer").when(outside, "common_ancestor").otherwise("crate_wide")
     node = F.when(one, F.get("consumers", F.lit(0))).when(outside, F.col("common"))
