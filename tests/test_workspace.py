@@ -174,3 +174,44 @@ def test_exports_resolve_no_private_use(spark, tmp_path):
     assert [tuple(r) for r in w.exports["reexports"].collect()] == [("app", "T", "app::a", "T")]
     assert set(w.exports) == {"reexports"}
     assert [tuple(r) for r in w.exports["private_uses"].collect()] == [("app", "U", "app::a", "U")]
+
+
+def test_plain_lines_are_split_in_one_call(monkeypatch):
+    asked = []
+
+    class Counted:
+        def finditer(self, *a):
+            for m in token.finditer(*a):
+                asked.append(m.group())
+                yield m
+
+    token = rust_text.TOKEN
+    monkeypatch.setattr(rust_text, "TOKEN", Counted())
+    text = 'use a::b;\nmod r#x; // mod y;\nuse c::{d, e as f};\nconst S: &str = r"\nmod z;\n"; use g::h;\n/* use\n*/ use i;\r\n\tuse é9::9k::j;\n' + "use k;\n" * 50
+    found = rust_text.tokens(text)
+    words = [w for w, _ in found if w.isalpha()]
+    assert words == ["use", "a", "b", "mod", "x", "use", "c", "d", "e", "as", "f", "const", "S", "str", "use", "g", "h", "use", "i", "use", "j"] + ["use", "k"] * 50
+    assert [line for w, line in found if w == "use"] == [1, 3, 6, 8, 9, *range(10, 60)]
+    assert sum(map(len, asked)) < 90 < len(text)  # before: the whole text
+    monkeypatch.setattr(rust_text, "LONG", 16)
+    assert rust_text.tokens(text) == found
+    plain = []  # what the pattern alone finds
+    line = 1
+    for m in token.finditer(text):
+        if m.lastgroup in ("word", "sign", "str", "raw"):
+            plain.append((m.group().removeprefix("r#"), line))
+        line += m.group().count("\n")
+    assert plain == found
+
+
+def test_facts_keep_their_columns(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, run, schema: run)
+    run = rust_text.facts(spark.createDataFrame([], "crate string, file string, text string"))
+    texts = ["pub use a::self as b;\nmod t { use super::{x::self, y::*}; fn f() { use z; p::q(); } }", "", None, "#[path = ]"]
+    rows = pa.Table.from_batches(run([pa.RecordBatch.from_pydict({"crate": ["c", "", None, "d"], "file": list("abcd"), "text": pa.array(texts, pa.string())})])).to_pylist()
+    assert [tuple(r[c] for c in ("crate", "file", "fact", "name", "segments", "alias", "line", "visibility", "inline", "detail")) for r in rows] == [
+        ("c", "a", "use", None, ["a"], "b", 1, "pub", [], "item"),
+        ("c", "a", "use", None, ["super", "x"], None, 2, "", ["t"], "item"), ("c", "a", "use", None, ["super", "y", "*"], None, 2, "", ["t"], "item"),
+        ("c", "a", "def", "f", [], None, 2, "", ["t"], "fn"), ("c", "a", "use", None, ["z"], None, 2, "", ["t"], "body"), ("c", "a", "path", None, ["p", "q"], None, 2, "", ["t"], None),
+        ("d", "d", "error", None, [], None, None, None, [], "list index out of range"),
+    ]
